@@ -29,6 +29,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import report
+
+    return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import report
 
@@ -39,6 +45,7 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
 }
 
