@@ -9,6 +9,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -29,6 +35,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
@@ -41,12 +53,43 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_minhash": op2_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op6_line_templates": op6_line_templates,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
+    "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_line_templates": r"""
+with cut as (
+    select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+lines as (
+    select doc_id, text, unnest(parts) as line, generate_subscripts(parts, 1) as pos from cut),
+masked as (
+    select *, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') as tokens from lines),
+named as (
+    select *, case when len(tokens) >= 4 then array_to_string(tokens, ' ') end as template, array_to_string(tokens, ' ') as flat from masked),
+placed as (
+    select *, lag(flat, 1, chr(1)) over w || chr(2) || lead(flat, 1, chr(1)) over w as context
+    from named window w as (partition by doc_id, text order by pos)),
+recurring as (
+    select template, min((doc_id, pos)) as kept from placed where template is not null
+    group by template having count(distinct context) >= 3),
+judged as (
+    select p.*, r.template is not null and (p.doc_id, p.pos) <> r.kept as gone
+    from placed p left join recurring r on p.template = r.template)
+select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
+    coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
+from judged group by doc_id""",
+}
