@@ -35,12 +35,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .htmltext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op6_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import report
 
     return report(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import report
+
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import report
 
@@ -64,13 +76,16 @@ QUERIES = {
     "op2_minhash": op2_minhash,
     "op3_decontamination": op3_decontamination,
     "op4_packing": op4_packing,
+    "op5_html": op5_html,
     "op6_line_templates": op6_line_templates,
+    "op7_secrets": op7_secrets,
     "op8_toxicity": op8_toxicity,
     "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op5_html": op5_html,
     "op6_line_templates": r"""
 with cut as (
     select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
