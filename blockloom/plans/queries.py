@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import matrix_queries
+
+QUERIES: dict = dict(matrix_queries.QUERIES)
+ORACLES: dict[str, str] = dict(matrix_queries.ORACLES)
