@@ -36,7 +36,7 @@ def recommend(name: Column, rows: Column, cols: Column, importance: Column, high
 def fallback(cols: Column, wanted: Column) -> Column:
     """The type that the row length allows: 256 for K and I types, 32 for the older ones, else half floats."""
     wide = wanted.isin(*K_TYPES, *I_TYPES)
-    return F.when(wanted.isin("F32", "F16"), wanted).when(wide & (cols % 256 == 0), wanted).when(wide & (cols % 32 == 0), "Q8_0").when(~wide & (cols % 32 == 0), wanted).otherwise("F16")
+    return F.when(wanted.isNull(), wanted).when(wanted.isin("F32", "F16"), wanted).when(wide & (cols % 256 == 0), wanted).when(wide & (cols % 32 == 0), "Q8_0").when(~wide & (cols % 32 == 0), wanted).otherwise("F16")
 
 
 def dtype_bytes(dtype: Column) -> Column:

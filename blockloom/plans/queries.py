@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import matrix_queries
+from . import catalog_queries, matrix_queries
 
-QUERIES: dict = dict(matrix_queries.QUERIES)
-ORACLES: dict[str, str] = dict(matrix_queries.ORACLES)
+QUERIES: dict = matrix_queries.QUERIES | catalog_queries.QUERIES
+ORACLES: dict[str, str] = matrix_queries.ORACLES | catalog_queries.ORACLES
