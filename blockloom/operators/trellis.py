@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 SCALES, CAP, LAMBDA = 64, 3.91, 0.3
 STATES, SMOOTH, COUPLING, KEPT = 16, 0.3, 0.2, 8
 
@@ -75,6 +77,7 @@ def superblock_scales(rows: DataFrame, row: str = "row", values: str = "values",
 
     from ..functions.codec import slices
 
+    ship(rows.sparkSession)
     cut = rows.select(F.col(row).cast("long").alias("row"), F.posexplode(slices(F.col(values), 256)).alias("sb", "v")).where(F.size("v") == 256)
     return cut.mapInPandas(run, "row long, sb int, scales array<int>")
 
@@ -103,6 +106,7 @@ def trellis_single(rows: DataFrame, row: str = "row", values: str = "values", si
 
     from ..functions.codec import slices
 
+    ship(rows.sparkSession)
     cut = rows.select(F.col(row).cast("long").alias("row"), F.posexplode(slices(F.col(values), size)).alias("block", "v"))
     return cut.mapInPandas(run, "row long, block int, scale double, signs int, states array<int>")
 
@@ -151,6 +155,7 @@ def trellis_dual(rows: DataFrame, threshold: float = 1.0, row: str = "row", valu
 
     from ..functions.codec import slices
 
+    ship(rows.sparkSession)
     pairs = rows.groupBy(F.floor(F.col(row) / 2).cast("long").alias("pair")).agg(F.max(F.when(F.col(row) % 2 == 0, F.col(values))).alias("a"), F.max(F.when(F.col(row) % 2 == 1, F.col(values))).alias("b"))
     pairs = pairs.withColumn("a", F.coalesce("a", "b")).withColumn("b", F.coalesce("b", "a"))
     cut = pairs.select("pair", F.posexplode(F.arrays_zip(slices(F.col("a"), size).alias("x"), slices(F.col("b"), size).alias("y"))).alias("block", "z")).select("pair", "block", "z.x", "z.y")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dims import FORMATS
 from ..operators.blocks import bytes_hex
+from ..shipping import ship
 
 MAGIC = b"GMAT"  #: fixed value: the first bytes of a block matrix file
 
@@ -81,6 +82,7 @@ def read_matrices(spark, path: str) -> DataFrame:
                 name = read_block_header(content)[0]
                 yield pd.DataFrame([(p, name, *b) for b in unpack_blocks(content)], columns=["path", "format", "row_group", "block", "scale_log", "rows"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, f"path string, format string, {BLOCKS}")
 
 
@@ -144,6 +146,7 @@ def write_shards(records: DataFrame, folder: str, stem: str, metadata: dict) ->
         os.replace(temporary, path)
         return pd.DataFrame([(shard, path, len(tensors), size)], columns=["shard", "path", "tensors", "size"])
 
+    ship(records.sparkSession)
     return records.groupBy("shard").applyInPandas(one, "shard int, path string, tensors int, size long")
 
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..shipping import ship
+
 HEADER = "path string, name string, dtype string, shape array<long>, begin long, end long"
 TENSOR = "path string, name string, dtype string, shape array<long>, plane long, row long, values array<double>"
 
@@ -60,6 +62,7 @@ def rows_of(path: str, name: str, info: dict, raw: bytes | memoryview) -> Iterat
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """The tensor files of a folder, not those of folders in it, or a single file."""
+    ship(spark)
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.safetensors").load(path)
     if found.select("path").limit(1).count() == 0:
         raise FileNotFoundError(f"no .safetensors file in {path}")

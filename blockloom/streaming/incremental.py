@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import blocks as B
+from ..shipping import ship
 from ..sources.safetensors import TENSOR, parse_header, rows_of
 
 
@@ -29,6 +30,7 @@ def _tensors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def import_new_files(spark: SparkSession, source: str, out: str, checkpoint: str, format: str = "B8x8"):
     """Imports what has arrived since the last call and ends; returns the finished query."""
+    ship(spark)
     kinds = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(kinds).option("pathGlobFilter", "*.safetensors").load(source)
 
