@@ -10,6 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
+__all__ = ["chunks", "lists", "materialize", "shared_dir", "ship", "text_buffers"]
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
@@ -66,26 +70,3 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     at = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package, also where it isn't installed on the executors."""
-    import io
-    import os
-    import zipfile
-
-    sc = spark.sparkContext
-    if getattr(sc, "_blockloom_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    data = io.BytesIO()
-    with zipfile.ZipFile(data, "w") as z:
-        for folder, _, names in os.walk(root):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                path = os.path.join(folder, name)
-                z.write(path, os.path.relpath(path, os.path.dirname(root)))
-    path = os.path.join(tempfile.mkdtemp(prefix="blockloom-src-"), "blockloom-src.zip")
-    with open(path, "wb") as f:
-        f.write(data.getvalue())
-    sc.addPyFile(path)
-    sc._blockloom_shipped = True
