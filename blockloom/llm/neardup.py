@@ -13,8 +13,8 @@ Documents with equal sets are one class from the start.  Within a bucket each
 class is first compared with a central member (the one with most neighbours in
 all its buckets), which joins a group of copies with one row for each member.
 What the links so found leave in different components of the same bucket is
-compared after that, but for pairs that the triangle inequality of the Jaccard
-distance rules out.  No pairs of a group of copies are written out.
+compared after that, if two buckets agree and the triangle inequality of the
+Jaccard distance doesn't rule a link out.  No pairs of a group of copies are written out.
 
 Defined results: null, empty and word-less texts have an empty set, no links,
 and are kept; fewer words than a shingle are one shingle; repeated rows of a
@@ -101,13 +101,35 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes_of = WordCodes(SHINGLE)
-    for batch in batches:
-        raw, at = text_buffers(batch.column(1))
-        for lo, hi in chunks(at, 1 << 18):
-            sets = [s.tobytes() for s in shingle_sets(raw, at[lo : hi + 1], codes_of)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+def _sets(sieve):
+    """Sets and their digests of the documents that pass the sieve (a bit map over hashed ids)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        codes_of, bits = WordCodes(SHINGLE), sieve.value
+        for batch in batches:
+            places = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).astype(bool)))
+            raw, at = text_buffers(batch.column(1))
+            for lo, hi in chunks(at, 1 << 18):
+                sets = [s.tobytes() for s in shingle_sets(raw, at[lo : hi + 1], codes_of)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([xxhash.xxh3_128_hexdigest(s) for s in sets], pa.string()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "shingles"])
+
+    return run
+
+
+SIEVE_BITS = 1 << 26  #: 8 MB, however many documents there are; what passes by chance goes in the join
+
+
+def _sieve(ids: DataFrame, column: str) -> np.ndarray:
+    """Bit map of the hashed ids: it keeps the texts of most other documents out of a shuffle."""
+    place = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+    words = ids.select(F.shiftright(place, 6).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({column}), {SIEVE_BITS}L), 64) as int))").alias("bit"))
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # SIEVE_BITS / 64 rows at most
+    out = np.zeros(SIEVE_BITS >> 6, np.uint64)
+    out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return out
 
 
 def _shared_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,17 +142,20 @@ def _shared_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             where = np.searchsorted(y, x)
             where[where == len(y)] = 0
             n.append(int((y[where] == x).sum()) if len(y) else 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["a", "b", "both"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(4), batch.column(5)], names=["a", "b", "both", "n_a", "n_b"])
 
 
 def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with both set sizes and their Jaccard similarity, from the full sets."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialize(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary").dropDuplicates(["doc_id"]), "neardup-sets")
-    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_shared_count, "a long, b long, both long")
-    size = classes.select("rep", "n_shingles")
-    both = both.join(size.select(F.col("rep").alias("a"), F.col("n_shingles").alias("n_a")), "a").join(size.select(F.col("rep").alias("b"), F.col("n_shingles").alias("n_b")), "b")
+    """pairs(a, b) with both set sizes and their Jaccard distance, from the full sets."""
+    wanted = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "digest", "n_shingles"), "rep"), "neardup-wanted")
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, "rep"))
+    hashed = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)))
+    passed = hashed.mapInArrow(_sets(sieve), "doc_id long, digest string, shingles binary")
+    # Rows repeated with the same id and text give the same pairs again, which changes nothing.
+    sets = materialize(passed.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]), "neardup-sets")
+    left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"), F.col("n_shingles").alias("n_a")), "a")
+    both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), F.col("n_shingles").alias("n_b")), "b")
+    both = both.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(_shared_count, "a long, b long, both long, n_a long, n_b long")
     return both.withColumn("linked", F.expr(f"{OUT_OF} * both >= {LEAST} * (n_a + n_b - both)")).withColumn("distance", F.expr("1 - both / (n_a + n_b - both)"))
 
 
@@ -164,12 +189,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     state = state.join(measured.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "distance"), ["rep", "leader"], "left")
     state = state.where("rep <> leader").select("key", "rep", "n_shingles", "component", "distance")  # the leader is compared with all
     open_keys = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    state = materialize(state.join(open_keys, "key", "left_semi"), "neardup-open")
-    x = state.select("key", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("c_a"), F.col("distance").alias("d_a"))
-    y = state.select("key", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("c_b"), F.col("distance").alias("d_b"))
+    state = state.join(open_keys, "key", "left_semi")
+    # A similar pair that is still apart shares about ten open buckets, and fewer than two with a
+    # chance of 1 in 100,000; others rarely share two.  So buckets are intersected by twos, and
+    # a pair is made where its first two common buckets meet, once.
+    held = state.groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.map_from_entries(F.collect_set(F.struct("key", "distance"))).alias("far")).where("size(keys) > 1")
+    twos = F.expr("flatten(transform(slice(keys, 1, size(keys) - 1), (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> named_struct('k', x, 'l', y))))")
+    held = materialize(held.withColumn("two", F.explode(twos)).select("rep", "n_shingles", "component", "keys", F.col("two.k").alias("k"), F.col("two.l").alias("l"), F.col("far")[F.col("two.k")].alias("distance")), "neardup-open")
+
+    def side(name: str) -> DataFrame:
+        return held.select("k", "l", F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), F.col("keys").alias(f"k_{name}"), F.col("distance").alias(f"d_{name}"))
+
     reach = (OUT_OF - LEAST) / OUT_OF + 1e-9
-    near = F.col("d_a").isNull() | F.col("d_b").isNull() | ((F.abs(F.col("d_a") - F.col("d_b")) <= reach) & (F.col("d_a") + F.col("d_b") >= 0))
-    rest = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & near).select("a", "b").distinct()
+    near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= reach)
+    first_two = F.expr("slice(array_sort(array_intersect(k_a, k_b)), 1, 2) = array(k, l)")
+    rest = side("a").join(side("b"), ["k", "l"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & near & first_two).select("a", "b")
     rest = materialize(rest.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "neardup-rest")
     more = _confirm(rest, classes, docs).where("linked").select("a", "b")
     joined = links.unionByName(more)
