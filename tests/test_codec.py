@@ -64,7 +64,7 @@ def test_known_matrices(spark):
     ramp = [float(i) for i in range(1, 33)]
     rows = spark.createDataFrame([(0, ramp[:16]), (1, ramp[16:])], "row long, values array<double>")
     assert B.statistics(B.encode(rows, "B16x8"), "B16x8").first().nnz == 32
-    sparse = spark.createDataFrame([(0, [1.0, 0, 2, 0]), (1, [0.0, 3, 0, 4])], "row long, values array<double>")
+    sparse = spark.createDataFrame([(0, [1.0, 0.0, 2.0, 0.0]), (1, [0.0, 3.0, 0.0, 4.0])], "row long, values array<double>")
     assert B.statistics(B.encode(sparse, "B16x8"), "B16x8").first().nnz == 4
     empty = spark.createDataFrame([(r, [0.0] * 16) for r in range(4)], "row long, values array<double>")
     stats = B.statistics(B.encode(empty, "B16x8"), "B16x8").first()

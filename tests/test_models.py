@@ -90,7 +90,7 @@ def test_sparse_golden(spark):
     coo = spark.createDataFrame([(0, 0, 1.0), (0, 2, 2.0), (1, 3, 3.0), (2, 0, 4.0), (2, 1, 5.0)], "row long, col long, value double")
     assert [r.row_ptr for r in S.coo_to_csr(coo, 3).orderBy("row").collect()] == [0, 2, 3, 5]
     assert [r.row_ptr for r in S.coo_to_csr(coo.limit(0), 3).orderBy("row").collect()] == [0, 0, 0, 0]
-    rows = spark.createDataFrame([(0, [1.0, 0, 2, 0]), (1, [0.0, 0, 0, 3]), (2, [4.0, 5, 0, 0])], "row long, values array<double>")
+    rows = spark.createDataFrame([(0, [1.0, 0.0, 2.0, 0.0]), (1, [0.0, 0.0, 0.0, 3.0]), (2, [4.0, 5.0, 0.0, 0.0])], "row long, values array<double>")
     assert S.csr_to_coo(S.to_csr(rows)).exceptAll(coo).count() == 0
 
 
