@@ -57,16 +57,18 @@ def _encode_dual(a: Column, b: Column, bits: int) -> Column:
     return C.let(F.array(_logs(a), _logs(b)), of)
 
 
-def encode(rows: DataFrame, format: str, row: str = "row", values: str = "values") -> DataFrame:
-    """(row_group, block, scale_log, rows): one row a block.
+def encode(rows: DataFrame, format: str, row: str = "row", values: str = "values", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(row_group, block, scale_log, rows): one row a block.  Single-row formats keep the columns in ``carry``.
 
     ``rows`` holds one struct (zero_map, signs, octave_shift, codes) for single-row
     formats and two for dual ones, whose odd last row is paired with zeros.
     """
     f = FORMATS[format]
     if not f.dual:
-        made = rows.select(F.col(row).alias("row_group"), F.posexplode(F.transform(C.slices(F.col(values), f.size), lambda v: _encode_single(v, f.bits))).alias("block", "b"))
-        return made.select("row_group", "block", "b.scale_log", "b.rows")
+        made = rows.select(F.col(row).alias("row_group"), *carry, F.posexplode(F.transform(C.slices(F.col(values), f.size), lambda v: _encode_single(v, f.bits))).alias("block", "b"))
+        return made.select("row_group", *carry, "block", "b.scale_log", "b.rows")
+    if carry:
+        raise ValueError("dual-row formats carry no columns")
     pairs = rows.groupBy(F.floor(F.col(row) / 2).cast("long").alias("row_group")).agg(F.max(F.when(F.col(row) % 2 == 0, F.col(values))).alias("a"), F.max(F.when(F.col(row) % 2 == 1, F.col(values))).alias("b"))
     pairs = pairs.withColumn("b", F.coalesce("b", F.transform("a", lambda x: F.lit(0.0)))).withColumn("a", F.coalesce("a", F.transform("b", lambda x: F.lit(0.0))))
     both = F.zip_with(C.slices(F.col("a"), f.size), C.slices(F.col("b"), f.size), lambda x, y: _encode_dual(x, y, f.bits))

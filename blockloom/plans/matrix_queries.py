@@ -267,8 +267,7 @@ select label, nnz, shifted, round(importance, 6) as importance, {_LADDER} as qua
 def tensor_importance(spark, sf_dir):
     """The flagship: rows to blocks, masks to importance, importance to a recommended type."""
     rows = embz(spark, sf_dir)
-    blocks = B.encode(rows, "B8x8").join(rows.select(F.col("row").alias("row_group"), "label"), "row_group")
-    stats = B.statistics(blocks, "B8x8", ["label"])
+    stats = B.statistics(B.encode(rows, "B8x8", carry=("label",)), "B8x8", ["label"])
     sizes = rows.groupBy("label").agg((F.count(F.lit(1)) * 1000).alias("n_rows"))
     both = stats.join(sizes, "label").withColumn("name", F.format_string("model.layers.%d.mlp.down_proj.weight", "label"))
     return both.select("label", "nnz", "shifted", F.round("importance", 6).alias("importance"), T.recommend(F.col("name"), F.col("n_rows"), F.lit(64), F.col("importance")).alias("quant_type"))

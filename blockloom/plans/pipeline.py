@@ -54,8 +54,7 @@ def import_model(spark: SparkSession, source: str, config: dict, out: str) -> Da
     f = FORMATS[fmt]
     if f.dual:
         raise ValueError("dual-row formats pair rows of one matrix; import single-row formats and re-encode")
-    made = rows.withColumn("_b", F.transform(B.C.slices(F.col("values"), f.size), lambda v: B._encode_single(v, f.bits)))
-    flat = made.select("uuid", F.col("row").alias("row_group"), F.posexplode("_b").alias("block", "b")).select("uuid", "row_group", "block", "b.scale_log", "b.rows")
+    flat = B.encode(rows, fmt, carry=("uuid",))
     flat.repartitionByRange("uuid", "row_group").sortWithinPartitions("uuid", "row_group", "block").write.mode("overwrite").parquet(f"{out}/blocks")
     catalog = rows.groupBy("uuid").agg(F.first("name").alias("name"), F.first("base_uuid").alias("base_uuid"), F.first("plane").alias("plane"), F.first("planes").alias("planes"), F.first("dtype").alias("dtype"), F.first("shape").alias("shape"), F.count(F.lit(1)).alias("rows"), F.max(F.size("values")).cast("long").alias("cols"))
     catalog = catalog.withColumn("plane_name", N.plane_name(F.col("name"), F.col("plane"), F.col("planes"))).withColumn("block_format", F.lit(fmt))
