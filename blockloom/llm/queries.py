@@ -85,7 +85,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
-    "op5_html": op5_html,
     "op6_line_templates": r"""
 with cut as (
     select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
