@@ -106,4 +106,27 @@ judged as (
 select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
     coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
 from judged group by doc_id""",
+    "op10_quality": r"""
+with d as (
+    select doc_id, coalesce(text, '') as t from documents),
+w as (
+    select doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
+g as (
+    select doc_id, i, count(*) over (partition by doc_id, words[i], words[i + 1], words[i + 2]) as n
+    from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w)),
+r as (
+    select doc_id, count(distinct p) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as p from g where n > 1) group by doc_id),
+c as (
+    select w.doc_id, cast(len(words) as bigint) as n_words, cast(length(array_to_string(words, '')) as bigint) as word_chars,
+        cast(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) as bigint) as n_symbols, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, len(lines) as n_lines,
+        length(regexp_replace(t, '[^\p{L}]+', '', 'g')) as letters, length(regexp_replace(t, '[^\p{Lu}]+', '', 'g')) as capitals
+    from w left join r on w.doc_id = r.doc_id),
+b as (
+    select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from c)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not base_failed and 20 * n_symbols <= word_chars and 2 * n_dup_lines <= n_lines and word_chars between 2 * n_words and 20 * n_words
+        and 2 * letters >= word_chars and 2 * capitals <= word_chars as kept
+from b""",
 }
