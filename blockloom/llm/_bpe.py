@@ -17,7 +17,7 @@ CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: Code points with the Unicode property White_Space.
 SPACES = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
-CACHE_ENTRIES = 1 << 21
+CACHE_ENTRIES = 1 << 20
 
 _classes: np.ndarray | None = None
 
@@ -224,3 +224,16 @@ def encoder(path: str) -> BatchEncoder:
     if path not in _encoders:
         _encoders[path] = BatchEncoder(path)
     return _encoders[path]
+
+
+def release() -> None:
+    """Gives the encoders' memory back: workers outlive the task and serve other stages."""
+    import ctypes
+    import gc
+
+    _encoders.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..shipping import ship
+from ..shipping import ship as _ship
 
 __all__ = ["chunks", "lists", "materialize", "shared_dir", "ship", "text_buffers"]
 
@@ -70,3 +70,13 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     at = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=at[1:])
     return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+
+
+BATCH_ROWS = 1_000  #: rows of an Arrow batch, where the session leaves Spark's 10,000: texts are long
+
+
+def ship(spark: SparkSession) -> None:
+    """Prepares the session for the text operators' Python workers."""
+    _ship(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 10_000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)

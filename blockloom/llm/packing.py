@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bpe import encoder
+from ._bpe import encoder, release
 from ._shared import chunks, materialize, ship, text_buffers
 
 MAX_PIVOTS = 4000  #: of the simplex method; any basis on the way is a valid packing
@@ -70,6 +70,7 @@ def document_pieces(docs: DataFrame, tokenizer_path: str, length: int = 1024, en
                 before += full
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["doc_id", *(c.split()[0] for c in PIECES.split(", "))])
+        release()
 
     kind = schema.dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, {PIECES}")
@@ -304,6 +305,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int =
                 keys.append(f"{len(x)}:{zlib.crc32(raw)}")
                 ids.append(raw[len(raw) - 4 * (len(x) % length) :])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.string()), pa.array(ids, pa.binary())], names=["doc_id", "row_key", "ids"])
+        release()
 
     tails_again = again.mapInArrow(tail_ids, f"doc_id {kind}, row_key string, ids binary").dropDuplicates(["doc_id", "row_key"])
     cut = cut.drop("ids_crc32").join(tails_again, ["doc_id", "row_key"])
