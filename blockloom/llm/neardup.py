@@ -37,7 +37,7 @@ from ._shared import chunks, materialize, ship, text_buffers
 from ._words import SHINGLE, WordCodes, mix, windows
 
 WORDS, BANDS, ROWS = 5, 20, 4
-AGREE = 54  #: coordinates of BANDS * ROWS that leftover pairs must share
+AGREE = 56  #: coordinates of BANDS * ROWS that leftover pairs must share
 LEAST, OUT_OF = 85, 100  #: 100 * intersection >= 85 * union
 
 
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reach = (OUT_OF - LEAST) / OUT_OF + 1e-9
     near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= reach)
     first_two = F.expr("slice(array_sort(array_intersect(k_a, k_b)), 1, 2) = array(k, l)")
-    # A pair of similarity 0.85 has 68 of 80 coordinates in common, and fewer than AGREE in 1 of 100,000 cases.
+    # A pair of similarity 0.85 has 68 of 80 coordinates in common, and fewer than AGREE in 1 of 20,000 cases.
     alike = F.expr(f"aggregate(zip_with(m_a, m_b, (x, y) -> if(x = y, 1, 0)), 0, (t, v) -> t + v) >= {AGREE}")
     rest = side("a").join(side("b"), ["k", "l"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & near & first_two & alike).select("a", "b")
     rest = materialize(rest.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "neardup-rest")
