@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._bpe import encoder, release
 from ._shared import chunks, materialize, ship, text_buffers
 
-MAX_PIVOTS = 4000  #: of the simplex method; any basis on the way is a valid packing
+MAX_PIVOTS = 1000  #: of the simplex method; any basis on the way is a valid packing
 LP_GAP = 0.001  #: the program counts as solved within this share of its lower bound
 
 PIECES = "row_key string, doc_tokens long, all_crc32 long, pid int, full_before long, full_crc32 array<long>, tail int, tail_crc32 long"
