@@ -2,7 +2,8 @@
 
 A small parser turns tag soup into elements.  Every element outside the article
 is hashed with all it holds; Spark counts, per host, the pages on which a hash
-occurs, and what recurs on ``MIN_PAGES`` pages is template and is deleted.
+occurs, and what recurs on ``MIN_PAGES`` pages is template and is deleted;
+an element that holds an article or main never is.
 Elements that are no text by their tag or by the words of their class, id or
 role (menus, notices, adverts, forms, comments and so on) go as well.  Inside
 an article recurring paragraphs stay: they are what pages have in common
@@ -146,12 +147,12 @@ def _no_text(e: Element, inside: bool) -> bool:
     return e.tag in NO_TEXT or bool(e.words & NO_TEXT_WORDS) or not inside and (e.tag == "header" or "header" in e.words)
 
 
-def subtree_hashes(root: Element, host: str) -> set[int]:
-    """Hashes of the block elements outside articles, each with all it holds."""
+def _subtrees(root: Element, host: str) -> Iterator[tuple[Element, int]]:
+    """Block elements with text outside articles, each with the hash of all it holds; none that holds an article or main."""
     import xxhash
 
-    found: set[int] = set()
     done: dict[int, bytes] = {}
+    around: set[int] = set()
     todo = [(root, False)]
     while todo:
         e, ready = todo.pop()
@@ -169,35 +170,21 @@ def subtree_hashes(root: Element, host: str) -> set[int]:
             elif id(c) in done:
                 h.update(done[id(c)])
                 some = True
+            if isinstance(c, Element) and (c.tag in ("article", "main") or id(c) in around):
+                around.add(id(e))
         done[id(e)] = h.digest()
-        if some and e.tag in BLOCK and e.tag not in ("html", "body"):
-            found.add(h.intdigest() - (1 << 63))
-    return found
+        if some and e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in around:
+            yield e, h.intdigest() - (1 << 63)
 
 
-def _template_elements(root: Element, host: str, keys) -> set[int]:
-    """ids of the elements outside articles whose hash is among ``keys``."""
-    import xxhash
+def subtree_hashes(root: Element, host: str) -> set[int]:
+    """The different hashes of a page."""
+    return {key for _, key in _subtrees(root, host)}
 
-    gone: set[int] = set()
-    done: dict[int, bytes] = {}
-    todo = [(root, False)]
-    while todo:
-        e, ready = todo.pop()
-        if not ready:
-            todo.append((e, True))
-            todo.extend((c, False) for c in e.children if isinstance(c, Element) and c.tag not in ("article", "main"))
-            continue
-        h = xxhash.xxh3_64(f"{host}\0{e.tag}\0{' '.join(sorted(e.words))}\0".encode())
-        for c in e.children:
-            if isinstance(c, str):
-                h.update(" ".join(c.split()).encode("utf-8", "surrogatepass"))
-            elif id(c) in done:
-                h.update(done[id(c)])
-        done[id(e)] = h.digest()
-        if e.tag in BLOCK and h.intdigest() - (1 << 63) in keys:
-            gone.add(id(e))
-    return gone
+
+def _template_elements(root: Element, host: str, keys) -> set[int]:
+    """ids of the elements whose hash is among ``keys``."""
+    return {id(e) for e, key in _subtrees(root, host) if key in keys}
 
 
 def main_text(root: Element, gone: set[int] = frozenset()) -> str:
