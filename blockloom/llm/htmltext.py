@@ -47,7 +47,10 @@ ENDS_P = BLOCK - {"body", "html"}
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: An attribute: its name, and its value in either kind of quotes or bare. A quote that is never closed is part of a name.
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)|(?=>)))?""")
+ATTRIBUTES = re.compile(r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+|(?=>)))?+)*+>""")
+CLASSES = frozenset(("class", "id", "role"))
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 
@@ -60,17 +63,12 @@ class Element:
 
 
 def _tag_end(text: str, at: int) -> int:
-    """Position of the > that closes the tag begun before ``at``; those in quotes don't."""
+    """Position of the > that closes the tag begun before ``at``; those in quoted values don't."""
     end = text.find(">", at)
-    first = end
-    while end >= 0:
-        inside = text[at:end]
-        if inside.count('"') % 2 == 0 and inside.count("'") % 2 == 0:
-            return end
-        if end - at > 20_000:
-            break
-        end = text.find(">", end + 1)
-    return first
+    if end < 0 or text.find('"', at, end) < 0 and text.find("'", at, end) < 0:
+        return end
+    tag = ATTRIBUTES.match(text, at)
+    return tag.end() - 1 if tag else -1
 
 
 def parse(text: str) -> Element:
@@ -116,7 +114,7 @@ def parse(text: str) -> Element:
             if tag in starts:
                 _close(stack, {ended}, SCOPE[ended])
         raw = text[name.end() : end]
-        words = frozenset(w for a in ATTRIBUTE.finditer(raw) for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower())) if "=" in raw else frozenset()
+        words = frozenset(w for a in ATTRIBUTE.finditer(raw) if a[1].lower() in CLASSES for w in WORDS.findall((a[2] or a[3] or a[4] or "").lower())) if "=" in raw else frozenset()
         element = Element(tag, words)
         stack[-1].children.append(element)
         if tag in VOID or raw.endswith("/") and tag in ("svg", "path"):

@@ -11,3 +11,51 @@ def test_wrapper_around_articles_stays(spark):
         rows = htmltext.extract(df, broadcast_keys=limit).collect()
         assert len(rows) == 24
         assert all(r.text == f"Text number {r.page_id}" for r in rows)
+
+
+def test_quotes_in_attributes():
+    def text(page):
+        return htmltext.main_text(htmltext.parse(page))
+
+    assert text("""<article><p><a title="Don't">one</a> two <img alt="Tom's">three</p><p>it's four</p></article>""") == "one two three\n\nit's four"
+    assert text("""<p title='say "hi'>one</p><p>two "quoted" words</p>""") == 'one\n\ntwo "quoted" words'
+    assert text('<p data-x="' + "a>b " * 10_000 + '">one</p>') == "one"
+    assert text("""<p a=b'c d = 'x>y' e/f="z>" g>one</p>""") == "one"
+    assert text("""<p title="never closed>one</p><p>two</p>""") == "one\n\ntwo"
+    assert text("""<p title="see class=ad">one</p><div Class = 'x AD'>two</div><div id=ad>three</div>""") == "one"
+    assert text("<p x=' " * 50_000) == text('<p x="' + "'" * 200_000) == ""
+
+
+def test_attributes_against_a_state_machine():
+    import random
+
+    def end(page, at):
+        """The tokenizer of the HTML standard, for tags whose quotes are closed; None if one isn't."""
+        state = "before"
+        while at < len(page):
+            c = page[at]
+            if state in "\"'":
+                state = "before" if c == state else state
+            elif c == ">":
+                return at
+            elif state == "value":
+                state = c if c in "\"'" else state if c.isspace() else "bare"
+            elif state == "bare":
+                state = "before" if c.isspace() else state
+            elif c == "/":
+                state = "before"
+            elif c.isspace():
+                state = "after" if state in ("name", "after") else "before"
+            elif c == "=" and state != "before":
+                state = "value"
+            else:
+                state = "name"
+            at += 1
+        return None if state in "\"'" else -1
+
+    r = random.Random(5)
+    pages = ["".join(r.choice("ab=/ >\"'") for _ in range(r.randint(1, 16))) for _ in range(50_000)]
+    judged = [(page, want) for page in pages if (want := end(page, 0)) is not None]
+    assert len(judged) > 20_000
+    for page, want in judged:
+        assert htmltext._tag_end(page, 0) == want, page
