@@ -1,13 +1,13 @@
 """Main text of web pages, with site template removal.
 
-A small parser turns tag soup into elements.  Every element outside the article
-is hashed with all it holds; Spark counts, per host, the pages on which a hash
-occurs, and what recurs on ``MIN_PAGES`` pages is template and is deleted;
-an element that holds an article or main never is.
+A small parser turns tag soup into elements.  Every block element is hashed
+with all it holds; Spark counts, per host, the pages on which a hash occurs, and
+what recurs on ``MIN_PAGES`` pages is template and is deleted; an article, a main
+and the elements around them never are.  What stands inside an article or main
+counts once for all pages on which that holds the same, so pages served under
+several urls keep their text.
 Elements that are no text by their tag or by the words of their class, id or
-role (menus, notices, adverts, forms, comments and so on) go as well.  Inside
-an article recurring paragraphs stay: they are what pages have in common
-because their articles do.
+role (menus, notices, adverts, forms, comments and so on) go as well.
 
 The recurring hashes are sent to the executors if they number at most
 ``BROADCAST_KEYS`` (8 bytes each); beyond that they are joined to the pages.
@@ -145,18 +145,23 @@ def _no_text(e: Element, inside: bool) -> bool:
     return e.tag in NO_TEXT or bool(e.words & NO_TEXT_WORDS) or not inside and (e.tag == "header" or "header" in e.words)
 
 
-def _subtrees(root: Element, host: str) -> Iterator[tuple[Element, int]]:
-    """Block elements with text outside articles, each with the hash of all it holds; none that holds an article or main."""
+def _subtrees(root: Element, host: str) -> Iterator[tuple[Element, int, int | None]]:
+    """Block elements with text, each with the hash of all it holds and, inside an article or main, the hash of that.
+
+    Articles, mains and the elements around them are left out.
+    """
     import xxhash
 
     done: dict[int, bytes] = {}
     around: set[int] = set()
-    todo = [(root, False)]
+    inside: list[tuple[Element, int]] = []  # of the article or main at hand
+    todo: list = [(root, False, False)]
     while todo:
-        e, ready = todo.pop()
+        e, within, ready = todo.pop()
+        top = not within and e.tag in ("article", "main")
         if not ready:
-            todo.append((e, True))
-            todo.extend((c, False) for c in e.children if isinstance(c, Element) and c.tag not in ("article", "main"))
+            todo.append((e, within, True))
+            todo.extend((c, within or top, False) for c in e.children if isinstance(c, Element))
             continue
         h = xxhash.xxh3_64(f"{host}\0{e.tag}\0{' '.join(sorted(e.words))}\0".encode())
         some = False
@@ -165,24 +170,31 @@ def _subtrees(root: Element, host: str) -> Iterator[tuple[Element, int]]:
                 piece = " ".join(c.split())
                 some |= bool(piece)
                 h.update(piece.encode("utf-8", "surrogatepass"))
-            elif id(c) in done:
+            else:
                 h.update(done[id(c)])
                 some = True
-            if isinstance(c, Element) and (c.tag in ("article", "main") or id(c) in around):
-                around.add(id(e))
+                if c.tag in ("article", "main") or id(c) in around:
+                    around.add(id(e))
         done[id(e)] = h.digest()
-        if some and e.tag in BLOCK and e.tag not in ("html", "body") and id(e) not in around:
-            yield e, h.intdigest() - (1 << 63)
+        key = h.intdigest() - (1 << 63)
+        if top:
+            yield from ((x, k, key) for x, k in inside)
+            inside.clear()
+        elif some and e.tag in BLOCK and e.tag not in ("html", "body", "article", "main") and id(e) not in around:
+            if within:
+                inside.append((e, key))
+            else:
+                yield e, key, None
 
 
-def subtree_hashes(root: Element, host: str) -> set[int]:
-    """The different hashes of a page."""
-    return {key for _, key in _subtrees(root, host)}
+def subtree_hashes(root: Element, host: str) -> set[tuple[int, int | None]]:
+    """The different hashes of a page, each with that of the article or main around it."""
+    return {(key, top) for _, key, top in _subtrees(root, host)}
 
 
 def _template_elements(root: Element, host: str, keys) -> set[int]:
     """ids of the elements whose hash is among ``keys``."""
-    return {id(e) for e, key in _subtrees(root, host) if key in keys}
+    return {id(e) for e, key, _ in _subtrees(root, host) if key in keys}
 
 
 def main_text(root: Element, gone: set[int] = frozenset()) -> str:
@@ -239,11 +251,11 @@ def host_of(url: str | None) -> str:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys: list[int] = []
+        keys: list[tuple[int, int | None]] = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if text := page.as_py():
                 keys.extend(subtree_hashes(parse(text), host_of(url)))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64())], names=["key"])
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.int64())], names=["key", "top"])
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -251,7 +263,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
     spark = pages.sparkSession
     ship(spark)
     pages = pages.select("page_id", "url", "html")
-    counted = pages.select("url", "html").mapInArrow(_hashes, "key long").groupBy("key").count()
+    by_top = pages.select("url", "html").mapInArrow(_hashes, "key long, top long").groupBy("key", "top").count()
+    counted = by_top.groupBy("key").agg(F.sum(F.when(F.col("top").isNull(), F.col("count")).otherwise(1)).alias("count"))
     recurring = materialize(counted.where(F.col("count") >= min_pages).select("key"), "html-template")
     schema = pages.schema
     result = f"page_id {schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
@@ -277,7 +290,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
 
     def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted(subtree_hashes(parse(t), host_of(u))) if t else [] for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [sorted({k for k, _ in subtree_hashes(parse(t), host_of(u))}) if t else [] for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
     from pyspark.sql import types as T

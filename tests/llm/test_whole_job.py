@@ -59,3 +59,15 @@ def test_attributes_against_a_state_machine():
     assert len(judged) > 20_000
     for page, want in judged:
         assert htmltext._tag_end(page, 0) == want, page
+
+
+def test_blocks_that_recur_in_articles_go(spark):
+    page = "<body><{0}><div><section><h1>Title {1}</h1><div class=x1><p>Follow us on every channel</p></div><p>Text number {1}</p></section></div></{0}></body>"
+    pages = [(k, f"http://{tag}.example/{k}", page.format(tag, k)) for tag in ("article", "main") for k in range(12)]
+    pages += [(100 + k, f"http://few.example/{k}", page.format("article", k)) for k in range(9)]
+    pages += [(200 + k, f"http://copies.example/?{k}", page.format("article", 0)) for k in range(12)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    own, notice = "Title {0}\n\n{1}Text number {0}", "Follow us on every channel\n\n"
+    want = {k: own.format(k, "") for k in range(12)} | {100 + k: own.format(k, notice) for k in range(9)} | {200 + k: own.format(0, notice) for k in range(12)}
+    for limit in (500_000, 0):
+        assert {(r.page_id, r.text) for r in htmltext.extract(df, broadcast_keys=limit).collect()} == set(want.items())
