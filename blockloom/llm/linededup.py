@@ -4,15 +4,18 @@ A line descends a tree of fixed depth: its number of tokens, then its leading
 tokens, then its template.  Tokens with a digit are variable fields, at every
 level, so lines that differ in counts, dates or ids share a template.
 
-A template recurs if it stands in at least ``MIN_CONTEXTS`` different contexts
-(the templates of the lines before and after it).  Copies of whole documents
-have one context, however many they are, and are left to near-dedup; a passage
-or notice that is put into different documents has as many as there are
-documents.  The first occurrence of a recurring template, by doc_id and line,
-stays, the others are dropped.
+``drop_lines`` takes a template as recurring if it stands in at least
+``MIN_DOCUMENTS`` documents of different texts.  Copies of whole documents count
+once, however many they are, and are left to near-dedup.  The first occurrence of
+a recurring template, by doc_id and line, stays, the others are dropped.
+
+``report`` has the rule of its SQL twin: ``MIN_CONTEXTS`` different contexts (the
+templates of the lines before and after it).  By that the inner lines of a
+passage that is put whole into different documents have one context and stay,
+and one document alone can make three.
 
 Only hashes of lines are shuffled to find them, pre-aggregated by template and
-context, so that a line found in every other document makes no large group.
+text or context, so that a line found in every other document makes no large group.
 
 Defined results: a null text is one empty line; lines of fewer than
 ``MIN_TOKENS`` tokens stay; rows repeated with the same id and text are treated
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_TOKENS, MIN_CONTEXTS, LEAD = 4, 3, 2
+MIN_DOCUMENTS = 3
 BLANK = r"[\x20\x09-\x0D]+"
 #: A token with a digit, entered only at its start.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
@@ -49,19 +53,20 @@ def _templated(docs: DataFrame) -> DataFrame:
             'context', xxhash64(if(k > 0, _path[k - 1].h, 1L), if(k < size(_path) - 1, _path[k + 1].h, 1L))))""")).withColumn("_row", F.xxhash64("_text")).drop("_tokens", "_path")
 
 
-def dropped_positions(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """doc_id, _row and the positions of the lines to drop."""
+def dropped_positions(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, min_contexts: int | None = None) -> DataFrame:
+    """doc_id, _row and the positions of the lines to drop; ``min_contexts`` counts contexts instead of documents."""
+    apart, least = ("_row", min_documents) if min_contexts is None else ("context", min_contexts)
     flat = _templated(docs.select("doc_id", "text")).select("doc_id", "_row", F.explode(F.expr(f"filter(_lines, x -> x.n >= {min_tokens})")).alias("x"))
     flat = flat.select("doc_id", "_row", "x.pos", "x.n", "x.template", "x.context")
-    by_context = flat.groupBy("n", "template", "context").agg(F.min(F.struct("doc_id", "pos")).alias("kept"))
-    recurring = by_context.groupBy("n", "template").agg(F.count(F.lit(1)).alias("contexts"), F.min("kept").alias("kept")).where(F.col("contexts") >= min_contexts)
+    counted = flat.groupBy("n", "template", apart).agg(F.min(F.struct("doc_id", "pos")).alias("kept"))
+    recurring = counted.groupBy("n", "template").agg(F.count(F.lit(1)).alias("times"), F.min("kept").alias("kept")).where(F.col("times") >= least)
     gone = flat.join(recurring, ["n", "template"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("pos") != F.col("kept.pos")))
     return gone.groupBy("doc_id", "_row").agg(F.collect_set("pos").alias("_gone"))
 
 
-def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, min_contexts: int | None = None) -> DataFrame:
     """All columns of ``docs`` with the text that stays, and ``_n_lines`` and ``_n_dropped``."""
-    gone = dropped_positions(docs, min_tokens, min_contexts)
+    gone = dropped_positions(docs, min_tokens, min_documents, min_contexts)
     df = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", "_row"], "left")
     lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     stays = F.array_join(F.expr("filter(_all, (x, k) -> not array_contains(_gone, k))"), "\n")
@@ -72,5 +77,5 @@ def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_contexts: int
 
 
 def report(docs: DataFrame) -> DataFrame:
-    found = drop_lines(docs.select("doc_id", "text"))
+    found = drop_lines(docs.select("doc_id", "text"), min_contexts=MIN_CONTEXTS)
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))

@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from blockloom.llm import htmltext
+from blockloom.llm import htmltext, linededup
 
 
 def test_wrapper_around_articles_stays(spark):
@@ -71,3 +71,19 @@ def test_blocks_that_recur_in_articles_go(spark):
     want = {k: own.format(k, "") for k in range(12)} | {100 + k: own.format(k, notice) for k in range(9)} | {200 + k: own.format(0, notice) for k in range(12)}
     for limit in (500_000, 0):
         assert {(r.page_id, r.text) for r in htmltext.extract(df, broadcast_keys=limit).collect()} == set(want.items())
+
+
+def test_passages_count_by_documents(spark):
+    passage = "\n".join(f"line {w} of the notice here" for w in ("one", "two", "three", "four", "five"))
+    names = ["alpha", "beta", "gamma", "delta", "omega"]
+    rows = [(k, f"{passage}\nown text of document {n} follows") for k, n in enumerate(names)]
+    alone = "\n".join(f"the same line again and again\nanother {n} line in between" for n in names)
+    shared = "a line of two documents only"
+    rows += [(10, alone), (11, f"{shared}\nthen the words of one"), (12, f"{shared}\nthen the words of another")]
+    rows += [(20 + k, "copies of a whole document stay\nwith both of their lines") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r._n_dropped, r.text) for r in linededup.drop_lines(df).collect()}
+    assert got.pop(0) == (0, rows[0][1])
+    for k, n in list(enumerate(names))[1:]:
+        assert got.pop(k) == (5, f"own text of document {n} follows")
+    assert got == {d: (0, text) for d, text in rows[5:]}
