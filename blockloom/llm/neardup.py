@@ -13,8 +13,8 @@ Documents with equal sets are one class from the start.  Within a bucket each
 class is first compared with a central member (the one with most neighbours in
 all its buckets), which joins a group of copies with one row for each member.
 What the links so found leave in different components of the same bucket is
-compared after that, if two buckets and enough coordinates agree and the
-triangle inequality of the Jaccard distance doesn't rule a link out.  No pairs of a group of copies are written out.
+compared after that on the full sets, if two buckets agree and the triangle
+inequality of the Jaccard distance doesn't rule a link out.  No pairs of a group of copies are written out.
 
 Defined results: null, empty and word-less texts have an empty set, no links,
 and are kept; fewer words than a shingle are one shingle; repeated rows of a
@@ -37,7 +37,6 @@ from ._shared import chunks, materialize, ship, text_buffers
 from ._words import SHINGLE, WordCodes, mix, windows
 
 WORDS, BANDS, ROWS = 5, 20, 4
-AGREE = 56  #: coordinates of BANDS * ROWS that leftover pairs must share
 LEAST, OUT_OF = 85, 100  #: 100 * intersection >= 85 * union
 
 
@@ -83,7 +82,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, size of the set, 128-bit digest of the set, band keys, low bytes of the coordinates."""
+    """doc_id, size of the set, 128-bit digest of the set, band keys."""
     import xxhash
 
     codes_of = WordCodes(SHINGLE)
@@ -93,14 +92,12 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = list(shingle_sets(raw, at[lo : hi + 1], codes_of))
             some = [k for k, s in enumerate(sets) if len(s)]
             keys: list = [[]] * len(sets)
-            marks: list = [[]] * len(sets)
             if some:
-                found = signatures([sets[k] for k in some])
-                for k, row, low in zip(some, band_keys(found), found.astype(np.uint8).view(np.int8), strict=True):
-                    keys[k], marks[k] = row, low
+                for k, row in zip(some, band_keys(signatures([sets[k] for k in some])), strict=True):
+                    keys[k] = row
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int8()))],
-                names=["doc_id", "n_shingles", "digest", "keys", "marks"],
+                [batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], pa.string()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "keys"],
             )
 
 
@@ -167,10 +164,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialize(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest string, keys array<long>, marks array<tinyint>"), "neardup-profile")
+    profile = materialize(docs.mapInArrow(_profile, "doc_id long, n_shingles long, digest string, keys array<long>"), "neardup-profile")
     # A doc_id that has several rows stands for one node: rows with different texts link through it.
     filled = profile.where("n_shingles > 0")
-    classes = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "neardup-classes")
+    classes = materialize(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys")), "neardup-classes")
 
     entries = classes.select("rep", "n_shingles", F.explode("keys").alias("key"))
     sized = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -198,18 +195,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # a pair is made where its first two common buckets meet, once.
     held = state.groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.map_from_entries(F.collect_set(F.struct("key", "distance"))).alias("far")).where("size(keys) > 1")
     twos = F.expr("flatten(transform(slice(keys, 1, size(keys) - 1), (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> named_struct('k', x, 'l', y))))")
-    held = held.join(classes.select("rep", "marks"), "rep")
-    held = materialize(held.withColumn("two", F.explode(twos)).select("rep", "n_shingles", "component", "keys", "marks", F.col("two.k").alias("k"), F.col("two.l").alias("l"), F.col("far")[F.col("two.k")].alias("distance")), "neardup-open")
+    held = materialize(held.withColumn("two", F.explode(twos)).select("rep", "n_shingles", "component", "keys", F.col("two.k").alias("k"), F.col("two.l").alias("l"), F.col("far")[F.col("two.k")].alias("distance")), "neardup-open")
 
     def side(name: str) -> DataFrame:
-        return held.select("k", "l", F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), F.col("keys").alias(f"k_{name}"), F.col("distance").alias(f"d_{name}"), F.col("marks").alias(f"m_{name}"))
+        return held.select("k", "l", F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), F.col("keys").alias(f"k_{name}"), F.col("distance").alias(f"d_{name}"))
 
     reach = (OUT_OF - LEAST) / OUT_OF + 1e-9
     near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= reach)
     first_two = F.expr("slice(array_sort(array_intersect(k_a, k_b)), 1, 2) = array(k, l)")
-    # A pair of similarity 0.85 has 68 of 80 coordinates in common, and fewer than AGREE in 1 of 20,000 cases.
-    alike = F.expr(f"aggregate(zip_with(m_a, m_b, (x, y) -> if(x = y, 1, 0)), 0, (t, v) -> t + v) >= {AGREE}")
-    rest = side("a").join(side("b"), ["k", "l"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & near & first_two & alike).select("a", "b")
+    rest = side("a").join(side("b"), ["k", "l"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & near & first_two).select("a", "b")
     rest = materialize(rest.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "neardup-rest")
     more = _confirm(rest, classes, docs).where("linked").select("a", "b")
     joined = links.unionByName(more)
@@ -219,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(joined.unionByName(own))
 
     of = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = profile.drop("keys", "marks").join(of, "digest", "left")
+    out = profile.drop("keys").join(of, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.least("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
 

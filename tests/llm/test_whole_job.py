@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from blockloom.llm import htmltext, linededup
+from blockloom.llm import htmltext, linededup, neardup
 
 
 def test_wrapper_around_articles_stays(spark):
@@ -87,3 +87,23 @@ def test_passages_count_by_documents(spark):
     for k, n in list(enumerate(names))[1:]:
         assert got.pop(k) == (5, f"own text of document {n} follows")
     assert got == {d: (0, text) for d, text in rows[5:]}
+
+
+def test_borderline_pair_that_leaders_leave_apart(spark):
+    def edited(mark, places):
+        words = [f"w{k}" for k in range(375)]
+        for p in places:
+            words[p] = mark
+        return " ".join(words)
+
+    # 341 of 401 shingles in common, but 53 of 80 coordinates; the groups of copies lead all four common buckets.
+    rows = [(1, edited("z0x4", (19, 204, 254))), (2, edited("z0x240", (42, 96, 143)))]
+    for g in range(8):
+        own = [150 + 3 * g, 220 + 3 * g, 270 + 3 * g, 310 + 3 * g]
+        for k in range(8):
+            words = edited(f"g{g}", own).split()
+            words[340 + 3 * k] = f"g{g}k{k}"
+            rows.append((100 * (g + 1) + k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {d: 1 if d < 100 else d // 100 * 100 for d, _ in rows}
