@@ -31,7 +31,7 @@ FINDINGS, TREES, DEPTH = 4_000, 32, 8
 ACCEPT = 0.5
 
 RUN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{16,}={0,2}(?![A-Za-z0-9+/_=-])"
-NAMED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth)\b[\"']?[ ]?[=:]{1,2}[ ]?[\"']?([^\s\"'<>]{6,200})"
+NAMED = r"(?i:pass(?:word|wd)?|pwd|secret|token|api[_-]?key|auth)\b[\"']?[ ]?[=:]{1,2}[ ]?[\"']?([^\s\"'<>]{6,})"
 CANDIDATE = re.compile(f"{NAMED}|({RUN})")
 #: Words beside a finding.
 FOR = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|login")

@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than the whole job."""
 
-from blockloom.llm import htmltext, linededup, neardup
+from blockloom.llm import htmltext, linededup, neardup, secrets
 
 
 def test_wrapper_around_articles_stays(spark):
@@ -107,3 +107,13 @@ def test_borderline_pair_that_leaders_leave_apart(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()}
     assert got == {d: 1 if d < 100 else d // 100 * 100 for d, _ in rows}
+
+
+def test_long_secrets_are_whole():
+    import random
+
+    r = random.Random(2)
+    for size in (201, 350, 900, 50_000):
+        value = "eyJ" + "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789-_.") for _ in range(size - 3))
+        text = f'set token = "{value}" and go on'
+        assert [text[a:b] for a, b in secrets.candidates(text)] == [value]
