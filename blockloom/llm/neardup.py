@@ -11,10 +11,15 @@ coordinates is (1 - 0.85**4) ** 20, below one in a million.
 
 Documents with equal sets are one class from the start.  Within a bucket each
 class is first compared with a central member (the one with most neighbours in
-all its buckets), which joins a group of copies with one row for each member.
-What the links so found leave in different components of the same bucket is
-compared after that on the full sets, if two buckets agree and the triangle
-inequality of the Jaccard distance doesn't rule a link out.  No pairs of a group of copies are written out.
+all its buckets), which joins a group of copies with one row for each member;
+what stays apart from it elects another leader, as long as that joins many.
+
+Classes of a bucket that are still in different components are then joined
+exactly, without writing out their pairs: each is replaced by its symmetric
+difference to a common reference, as |x ^ y| = |(x ^ r) ^ (y ^ r)|.  A link needs
+a certain number of common elements of these small sets, so it has one among the
+first elements of both (prefix and position filters), and only pairs that meet
+there are confirmed on the full sets.
 
 Defined results: null, empty and word-less texts have an empty set, no links,
 and are kept; fewer words than a shingle are one shingle; repeated rows of a
@@ -29,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -38,6 +43,7 @@ from ._words import SHINGLE, WordCodes, mix, windows
 
 WORDS, BANDS, ROWS = 5, 20, 4
 LEAST, OUT_OF = 85, 100  #: 100 * intersection >= 85 * union
+LEADERS_JOIN = 8  #: another round of leaders if the last one joined one in so many; decides the time, not the result
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, codes_of: WordCodes) -> Iterator[np.ndarray]:
@@ -145,18 +151,80 @@ def _shared_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), batch.column(4), batch.column(5)], names=["a", "b", "both", "n_a", "n_b"])
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs(a, b) with both set sizes and their Jaccard distance, from the full sets."""
-    wanted = materialize(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(classes.select("rep", "digest", "n_shingles"), "rep"), "neardup-wanted")
+def _sets_of(reps: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id, shingles and n_shingles of the classes ``reps(rep)``, from the whole texts."""
+    wanted = materialize(reps.join(classes.select("rep", "digest", "n_shingles"), "rep"), "neardup-wanted")
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(wanted, "rep"))
     hashed = docs.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE_BITS)))
     passed = hashed.mapInArrow(_sets(sieve), "doc_id long, digest string, shingles binary")
     # Rows repeated with the same id and text give the same pairs again, which changes nothing.
-    sets = materialize(passed.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]), "neardup-sets")
+    return materialize(passed.join(wanted.withColumnRenamed("rep", "doc_id"), ["doc_id", "digest"]), "neardup-sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs(a, b) and whether they are linked, from the full sets."""
     left = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"), F.col("n_shingles").alias("n_a")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"), F.col("n_shingles").alias("n_b")), "b")
     both = both.select("a", "b", "x", "y", "n_a", "n_b").mapInArrow(_shared_count, "a long, b long, both long, n_a long, n_b long")
-    return both.withColumn("linked", F.expr(f"{OUT_OF} * both >= {LEAST} * (n_a + n_b - both)")).withColumn("distance", F.expr("1 - both / (n_a + n_b - both)"))
+    return both.withColumn("linked", F.expr(f"{OUT_OF} * both >= {LEAST} * (n_a + n_b - both)"))
+
+
+def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    return _confirmed(pairs, _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, docs))
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first elements of each class's difference to its reference, of which every link of it holds one.
+
+    Sets x and y are linked if |x ^ y| <= reach * (|x| + |y|).  The order is: elements
+    that the reference lacks, then those that only it has, each by hash.  Classes that
+    are linked to the reference need no links to each other, so of any pair one is
+    further from it than that; both bounds below follow from it.
+    """
+    reach = (OUT_OF - LEAST) / (OUT_OF + LEAST)
+    for batch in batches:
+        rows, tokens, places, sizes, near = [], [], [], [], []
+        if not batch.num_rows:
+            continue
+        for k, (x, r) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            x, r = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(r.as_buffer(), np.uint64)
+            own = np.setdiff1d(x, r, assume_unique=True)
+            lost = np.setdiff1d(r, x, assume_unique=True)
+            n = len(own) + len(lost)
+            linked = (OUT_OF + LEAST) * n <= (OUT_OF - LEAST) * (len(x) + len(r))
+            common = n - reach * len(x) * (1 + OUT_OF / LEAST)  # with the farthest size that can be linked
+            if linked:  # then the other one isn't
+                common = max(common, (n + reach * (len(r) - len(x))) / 2)
+            first = n - max(1, int(np.ceil(common - 1e-6))) + 1
+            found = np.concatenate((own, ~lost))[: max(0, first)]
+            rows.append(np.full(len(found), k))
+            tokens.append(found)
+            places.append(np.arange(len(found)))
+            sizes.append(np.full(len(found), n))
+            near.append(np.full(len(found), linked))
+        at = pa.array(np.concatenate(rows))
+        taken = [batch.column(c).take(at) for c in range(4)]
+        yield pa.RecordBatch.from_arrays(
+            [*taken, pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(near), pa.bool_())],
+            names=["ref", "rep", "n", "component", "token", "place", "apart", "near"],
+        )
+
+
+def _close_pairs(grouped: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, for classes ``grouped(ref, rep, n, component)`` by reference."""
+    both = grouped.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep")
+    both = both.join(sets.select(F.col("doc_id").alias("ref"), F.col("shingles").alias("r")), "ref")
+    firsts = both.select("ref", "rep", "n", "component", "x", "r").mapInArrow(_differences, "ref long, rep long, n long, component long, token long, place int, apart long, near boolean")
+    firsts = materialize(firsts, "neardup-firsts")
+
+    def side(name: str) -> DataFrame:
+        return firsts.select("ref", "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "place", "apart", "near")])
+
+    # 2 * common >= apart_a + apart_b - reach * (n_a + n_b), in whole numbers.
+    least = f"{OUT_OF + LEAST} * (apart_a + apart_b) - {OUT_OF - LEAST} * (n_a + n_b)"
+    most = f"2 * {OUT_OF + LEAST} * least(apart_a - place_a, apart_b - place_b)"
+    met = side("a").join(side("b"), ["ref", "token"]).where("rep_a < rep_b and component_a <> component_b and not (near_a and near_b)").where(f"{most} >= {least}")
+    return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -173,44 +241,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sized = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     entries = materialize(entries.join(sized, "key"), "neardup-entries")
     central = entries.groupBy("rep").agg(F.sum("n").alias("weight"))
-    weighed = entries.join(central, "rep")
-    leaders = weighed.groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("leader"))
-    led = materialize(entries.join(leaders, "key"), "neardup-led")
-    close = F.expr(f"{OUT_OF} * least(n_a, n_b) >= {LEAST} * greatest(n_a, n_b)")
-    pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = materialize(pairs, "neardup-pairs")
-    measured = materialize(_confirm(pairs, classes, docs), "neardup-measured")
-    links = measured.where("linked").select("a", "b")
-    found = materialize(components(links), "neardup-found")
-
-    # Second look: classes of one bucket that are still in different components.
+    entries = materialize(entries.drop("n").join(central, "rep"), "neardup-weighed")
+
+    def by_weight(column: str) -> Column:
+        return F.max_by(column, F.struct("weight", -F.col("rep")))
+
+    found = spark.createDataFrame([], "node long, component long")
+    links = spark.createDataFrame([], "a long, b long")
+    apart, first_leaders = entries, None
+    while True:  # each round sends one row for each class and bucket that no leader has joined
+        leaders = apart.groupBy("key").agg(by_weight("rep").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "leader")
+        led = materialize(apart.join(leaders, "key"), "neardup-led")
+        first_leaders = led.select("key", "leader").distinct() if first_leaders is None else first_leaders
+        pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
+        measured = materialize(_confirm(materialize(pairs, "neardup-pairs"), classes, docs), "neardup-measured")
+        compared, joined = measured.select(F.count(F.lit(1)), F.count_if("linked")).first()
+        if joined:
+            links = links.unionByName(measured.where("linked").select("a", "b"))
+            found = materialize(components(links), "neardup-found")
+        of = found.select(F.col("node").alias("rep"), "component")
+        of_leader = found.select(F.col("node").alias("leader"), F.col("component").alias("joined"))
+        state = led.join(of, "rep", "left").join(of_leader, "leader", "left").withColumn("component", F.coalesce("component", "rep"))
+        apart = materialize(state.where(F.col("component") != F.coalesce("joined", "leader")).select("key", "rep", "n_shingles", "weight"), "neardup-apart")
+        if LEADERS_JOIN * joined < compared or not compared:
+            break
+
+    # What is still in different components of one bucket, by a reference: the central class of its first leader's component.
     of = found.select(F.col("node").alias("rep"), "component")
-    state = led.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    state = state.join(measured.select(F.col("a").alias("rep"), F.col("b").alias("leader"), "distance"), ["rep", "leader"], "left")
-    state = state.where("rep <> leader").select("key", "rep", "n_shingles", "component", "distance")  # the leader is compared with all
+    state = entries.join(of, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    state = materialize(state, "neardup-state")
     open_keys = state.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    state = state.join(open_keys, "key", "left_semi")
-    # A similar pair that is still apart shares about ten open buckets, and fewer than two with a
-    # chance of 1 in 100,000; others rarely share two.  So buckets are intersected by twos, and
-    # a pair is made where its first two common buckets meet, once.
-    held = state.groupBy("rep", "n_shingles", "component").agg(F.sort_array(F.collect_set("key")).alias("keys"), F.map_from_entries(F.collect_set(F.struct("key", "distance"))).alias("far")).where("size(keys) > 1")
-    twos = F.expr("flatten(transform(slice(keys, 1, size(keys) - 1), (x, i) -> transform(slice(keys, i + 2, size(keys)), y -> named_struct('k', x, 'l', y))))")
-    held = materialize(held.withColumn("two", F.explode(twos)).select("rep", "n_shingles", "component", "keys", F.col("two.k").alias("k"), F.col("two.l").alias("l"), F.col("far")[F.col("two.k")].alias("distance")), "neardup-open")
-
-    def side(name: str) -> DataFrame:
-        return held.select("k", "l", F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("component").alias(f"c_{name}"), F.col("keys").alias(f"k_{name}"), F.col("distance").alias(f"d_{name}"))
-
-    reach = (OUT_OF - LEAST) / OUT_OF + 1e-9
-    near = F.col("d_a").isNull() | F.col("d_b").isNull() | (F.abs(F.col("d_a") - F.col("d_b")) <= reach)
-    first_two = F.expr("slice(array_sort(array_intersect(k_a, k_b)), 1, 2) = array(k, l)")
-    rest = side("a").join(side("b"), ["k", "l"]).where((F.col("a") < F.col("b")) & (F.col("c_a") != F.col("c_b")) & close & near & first_two).select("a", "b")
-    rest = materialize(rest.join(measured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "neardup-rest")
-    more = _confirm(rest, classes, docs).where("linked").select("a", "b")
-    joined = links.unionByName(more)
+    references = state.groupBy("component").agg(by_weight("rep").alias("ref"))
+    of_key = materialize(first_leaders.join(open_keys, "key", "left_semi").join(state.select("key", F.col("rep").alias("leader"), "component"), ["key", "leader"]).join(references, "component").select("key", "ref"), "neardup-open")
+    grouped = materialize(state.join(of_key, "key").select("ref", "rep", F.col("n_shingles").alias("n"), "component").distinct(), "neardup-grouped")
+    sets = _sets_of(grouped.select("rep").union(grouped.select("ref")).distinct(), classes, docs)
+    rest = materialize(_close_pairs(grouped, sets), "neardup-rest")
+    untested = grouped.where("rep <> ref").select(F.col("rep").alias("a"), F.col("ref").alias("b"))
+    rest = rest.unionByName(untested.join(of.select(F.col("rep").alias("a"), F.col("component").alias("c")), "a", "left").join(of.select(F.col("rep").alias("b"), F.col("component").alias("d")), "b", "left").where("coalesce(c, a) <> coalesce(d, b)").select("a", "b"))
+    more = _confirmed(rest, sets).where("linked").select("a", "b")
     # Rows that share a doc_id are one document.
     same_id = filled.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     own = filled.join(same_id, "doc_id", "left_semi").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(joined.unionByName(own))
+    found = components(links.unionByName(more).unionByName(own))
 
     of = classes.select("digest", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = profile.drop("keys").join(of, "digest", "left")
