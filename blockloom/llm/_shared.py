@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..shipping import ship as _ship
 
-__all__ = ["chunks", "lists", "materialize", "shared_dir", "ship", "text_buffers"]
+__all__ = ["chunks", "free_names", "materialize", "shared_dir", "ship", "text_buffers"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,11 +65,15 @@ def chunks(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]
         start = end
 
 
-def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
-    """An Arrow list column from flat values and the length of each row's list."""
-    at = np.zeros(len(counts) + 1, np.int32)
-    np.cumsum(counts, out=at[1:])
-    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values, kind))
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The names wanted, each lengthened until no column of ``df`` has it; Spark doesn't tell a from A."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
 
 
 BATCH_ROWS = 1_000  #: rows of an Arrow batch, where the session leaves Spark's 10,000: texts are long

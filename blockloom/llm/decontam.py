@@ -7,13 +7,15 @@ the shift is zero, the block's hash names a bucket of patterns, and each of
 them is compared word by word.  Many stretches of text move in step, as arrays.
 
 The benchmark is taken in blocks of at most ``block_words`` words; each is sent
-to the executors as its own set of tables and scanned against all documents, so
-the memory is bounded however large the benchmark is.
+to the executors as its own set of tables and scanned against all documents; what
+it has found is written before the next block is built, so the memory is bounded
+however large the benchmark is.  The comparison that confirms an occurrence is one
+of 64-bit word codes.
 
 Defined results: null and word-less texts have no words and no hits; benchmark
 items that are null or without words are no patterns; items shorter than a
 window are one pattern as a whole; repeated items and rows each count; further
-columns are ignored by ``scan`` and kept by ``clean_documents``; with an empty
+columns, whatever their names, are kept by ``scan`` and ``clean_documents``; with an empty
 benchmark nothing is hit.
 """
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import chunks, ship, text_buffers
+from ._shared import chunks, free_names, materialize, ship, text_buffers
 from ._words import ALNUM, WordCodes, mix
 
 TABLE_BITS = 20  #: size of the shift table, as a power of two
@@ -111,25 +113,31 @@ def pattern_sets(rows: list[tuple[str, str]], window: int) -> list[PatternSet]:
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_words: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with n_words, n_hit, and the occurring items' ids, sorted as strings.
+    """All columns of ``docs`` and three more: its words, those hit, and the occurring items' ids, sorted as strings.
 
-    Columns are added under the names ``_n_words``, ``_n_hit`` and ``_items``.
+    They are named ``n_words``, ``n_hit`` and ``items``, lengthened where ``docs`` has such a column.
     """
+    names = free_names(docs, "n_words", "n_hit", "items")
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).where("text is not null and item is not null")
     words = items.select(F.sum(F.length("text"))).first()[0] or 0  # at least as many characters as words
     n_blocks = max(1, -(-words // (2 * block_words)))
+    if n_blocks == 1:
+        rows = [(r.item, r.text) for r in items.collect()]  # a block of the benchmark, of bounded size
+        return _scan_block(docs, spark.sparkContext.broadcast(pattern_sets(rows, window)), text_col, names, last=True, first=True)
     out = docs
     for block in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(n_blocks)) == block)
-        rows = [(r.item, r.text) for r in part.collect()]  # a block of the benchmark, of bounded size
+        rows = [(r.item, r.text) for r in part.collect()]
         sets = spark.sparkContext.broadcast(pattern_sets(rows, window))
-        out = _scan_block(out, sets, text_col, last=block == n_blocks - 1, first=block == 0)
+        # Written before the next block is built, so one block at a time is held by driver and executors.
+        out = materialize(_scan_block(out, sets, text_col, names, last=block == n_blocks - 1, first=block == 0), "decontam-block")
+        sets.unpersist()
     return out
 
 
-def _scan_block(docs: DataFrame, sets, text_col: str, last: bool, first: bool) -> DataFrame:
+def _scan_block(docs: DataFrame, sets, text_col: str, added: list[str], last: bool, first: bool) -> DataFrame:
     names = docs.columns
     text_at = names.index(text_col)
 
@@ -167,20 +175,20 @@ def _scan_block(docs: DataFrame, sets, text_col: str, last: bool, first: bool) -
             kept = batch.columns if first else batch.columns[:-2]
             items = pa.array(all_items, pa.list_(pa.string()))
             if last:
-                new, labels = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items], ["_n_words", "_n_hit", "_items"]
+                new, labels = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), items], added
             else:
-                new, labels = [pa.array(all_hits, pa.binary()), items], ["_hits", "_items"]
+                new, labels = [pa.array(all_hits, pa.binary()), items], added[1:]
             yield pa.RecordBatch.from_arrays([*kept, *new], names=[*batch.schema.names[: len(kept)], *labels])
 
     kept = docs.schema.fields if first else docs.schema.fields[:-2]
     from pyspark.sql import types as T
 
-    items = T.StructField("_items", T.ArrayType(T.StringType()))
-    new = [T.StructField("_n_words", T.LongType()), T.StructField("_n_hit", T.LongType()), items] if last else [T.StructField("_hits", T.BinaryType()), items]
+    items = T.StructField(added[2], T.ArrayType(T.StringType()))
+    new = [T.StructField(added[0], T.LongType()), T.StructField(added[1], T.LongType()), items] if last else [T.StructField(added[1], T.BinaryType()), items]
     return docs.mapInArrow(run, T.StructType([*kept, *new]))
 
 
-CONTAMINATED = "_n_hit > 0 and 20 * _n_hit >= _n_words"
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -188,10 +196,10 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = scan(docs.select("doc_id", "text"), benchmark)
     return found.select(
         "doc_id",
-        F.col("_n_words").alias("n_words"),
-        F.col("_n_hit").alias("n_hit"),
-        F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "_items"), 256).alias("items_sha256"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         F.expr(CONTAMINATED).alias("contaminated"),
     )
 
@@ -202,4 +210,5 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     The share that ``CONTAMINATED`` asks for is a report's; a long document that holds
     one benchmark passage is no training text either.
     """
-    return scan(docs, benchmark).where("_n_hit = 0").select(docs.columns)
+    found = scan(docs, benchmark)
+    return found.where(F.col(f"`{found.columns[-2]}`") == 0).select(*[f"`{c}`" for c in docs.columns])

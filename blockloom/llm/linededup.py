@@ -1,81 +1,89 @@
 r"""Line dedup by a log-template tree, in DataFrame functions only.
 
-A line descends a tree of fixed depth: its number of tokens, then its leading
-tokens, then its template.  Tokens with a digit are variable fields, at every
-level, so lines that differ in counts, dates or ids share a template.
-
-``drop_lines`` takes a template as recurring if it stands in at least
-``MIN_DOCUMENTS`` documents of different texts.  Copies of whole documents count
-once, however many they are, and are left to near-dedup.  The first occurrence of
-a recurring template, by doc_id and line, stays, the others are dropped.
-
-``report`` has the rule of its SQL twin: ``MIN_CONTEXTS`` different contexts (the
-templates of the lines before and after it).  By that the inner lines of a
-passage that is put whole into different documents have one context and stay,
-and one document alone can make three.
-
-Only hashes of lines are shuffled to find them, pre-aggregated by template and
-text or context, so that a line found in every other document makes no large group.
+A line descends a tree of fixed depth: its number of tokens, its leading tokens,
+then the rest.  Tokens with a digit are variable fields at every level.  Other
+fields are learned: a line of ``GENERAL_FROM`` tokens or more is cut into
+``PARTS`` runs of tokens and takes one path for each run left open, so lines of
+equal length that differ in one run only, be it the leading one, meet in a leaf
+and share a template whose differing tokens are wildcards; at least about
+three quarters of the tokens agree.  Shorter lines have one path, all tokens.
+
+A template recurs if it stands in at least ``MIN_DOCUMENTS`` documents of
+different texts; copies of whole documents count once, however many they are, and
+are left to near-dedup.  The smallest doc_id that holds a recurring template keeps
+its lines; the lines of it are dropped from all other documents.
+
+Only hashes are shuffled to find them, pre-aggregated by template and text, so
+that a line found in every other document makes no large group; the recurring
+templates are written out, so the join back is a plain one that Spark can split.
 
 Defined results: a null text is one empty line; lines of fewer than
 ``MIN_TOKENS`` tokens stay; rows repeated with the same id and text are treated
-alike; a document that loses all lines stays, with an empty text; an empty
-table gives an empty result; further columns are kept by ``drop_lines``.
+alike; different texts under one smallest id all keep theirs; a document that
+loses all lines stays, with an empty text; an empty table gives an empty result;
+further columns, whatever their names, are kept by ``drop_lines``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_TOKENS, MIN_CONTEXTS, LEAD = 4, 3, 2
+from ._shared import free_names, materialize
+
+MIN_TOKENS, GENERAL_FROM, PARTS = 4, 6, 4
 MIN_DOCUMENTS = 3
 BLANK = r"[\x20\x09-\x0D]+"
 #: A token with a digit, entered only at its start.
 VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _templated(docs: DataFrame) -> DataFrame:
-    """Adds ``_text``, ``_row`` (a key of id and text) and ``_lines``: for each line its template and context as hashes."""
-    df = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    masked = F.when(F.col("_text").rlike("[0-9]"), F.regexp_replace("_text", VARIABLE, "<*>")).otherwise(F.col("_text"))
-    tokens = F.transform(F.split(masked, "\n", -1), lambda x: F.filter(F.split(x, BLANK, -1), lambda t: t != ""))
-    df = df.withColumn("_tokens", tokens)
+def _row_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def line_templates(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
+    """doc_id, row (a key of the text), pos and template (a hash) of each line of ``docs(doc_id, text)``, a row for each path."""
+    text = F.coalesce("text", F.lit(""))
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, VARIABLE, "<*>")).otherwise(text)
+    lines = docs.select("doc_id", _row_key(F.col("text")).alias("row"), F.posexplode(F.split(masked, "\n", -1)).alias("pos", "line"))
+    lines = lines.select("doc_id", "row", "pos", F.array_remove(F.split("line", BLANK, -1), "").alias("tokens")).withColumn("n", F.size("tokens")).where(F.col("n") >= min_tokens)
+    cut = [F.expr(f"cast(floor({k} * n / {PARTS}) as int)") for k in range(PARTS + 1)]
+    runs = [F.xxhash64(F.slice("tokens", cut[k] + 1, cut[k + 1] - cut[k])).alias(f"run{k}") for k in range(PARTS)]
+    lines = lines.select("doc_id", "row", "pos", "n", *runs)
+    whole = F.array(F.xxhash64("n", *[f"run{k}" for k in range(PARTS)]))
+    open_one = F.array(*[F.xxhash64("n", F.lit(k), *[f"run{j}" for j in range(PARTS) if j != k]) for k in range(PARTS)])
+    return lines.select("doc_id", "row", "pos", F.explode(F.when(F.col("n") < GENERAL_FROM, whole).otherwise(open_one)).alias("template"))
 
-    def path(t):  # token count, leading tokens, all tokens
-        lead = [F.coalesce(F.get(t, F.lit(k)), F.lit("")) for k in range(LEAD)]
-        return F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), *lead, F.array_join(t, " ")).alias("h"))
 
-    df = df.withColumn("_path", F.transform("_tokens", path))
-    return df.withColumn("_lines", F.expr("""
-        transform(_path, (x, k) -> named_struct(
-            'pos', k, 'n', x.n, 'template', x.h,
-            'context', xxhash64(if(k > 0, _path[k - 1].h, 1L), if(k < size(_path) - 1, _path[k + 1].h, 1L))))""")).withColumn("_row", F.xxhash64("_text")).drop("_tokens", "_path")
+def recurring_templates(paths: DataFrame, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """template, its number of different texts and the smallest doc_id that holds it."""
+    by_text = paths.groupBy("template", "row").agg(F.min("doc_id").alias("first"))
+    return by_text.groupBy("template").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first").alias("first")).where(F.col("n_texts") >= min_documents)
 
 
-def dropped_positions(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, min_contexts: int | None = None) -> DataFrame:
-    """doc_id, _row and the positions of the lines to drop; ``min_contexts`` counts contexts instead of documents."""
-    apart, least = ("_row", min_documents) if min_contexts is None else ("context", min_contexts)
-    flat = _templated(docs.select("doc_id", "text")).select("doc_id", "_row", F.explode(F.expr(f"filter(_lines, x -> x.n >= {min_tokens})")).alias("x"))
-    flat = flat.select("doc_id", "_row", "x.pos", "x.n", "x.template", "x.context")
-    counted = flat.groupBy("n", "template", apart).agg(F.min(F.struct("doc_id", "pos")).alias("kept"))
-    recurring = counted.groupBy("n", "template").agg(F.count(F.lit(1)).alias("times"), F.min("kept").alias("kept")).where(F.col("times") >= least)
-    gone = flat.join(recurring, ["n", "template"]).where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("pos") != F.col("kept.pos")))
-    return gone.groupBy("doc_id", "_row").agg(F.collect_set("pos").alias("_gone"))
+def dropped_positions(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """doc_id, row and ``gone``: the positions of the lines to drop, ascending."""
+    paths = line_templates(docs.select("doc_id", "text"), min_tokens)
+    recurring = materialize(recurring_templates(paths, min_documents).select("template", "first"), "line-templates")
+    later = paths.join(recurring, "template").where("doc_id <> first")
+    return later.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
 
 
-def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, min_contexts: int | None = None) -> DataFrame:
-    """All columns of ``docs`` with the text that stays, and ``_n_lines`` and ``_n_dropped``."""
-    gone = dropped_positions(docs, min_tokens, min_documents, min_contexts)
-    df = docs.withColumn("_row", F.xxhash64(F.coalesce("text", F.lit("")))).join(gone, ["doc_id", "_row"], "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    stays = F.array_join(F.expr("filter(_all, (x, k) -> not array_contains(_gone, k))"), "\n")
-    df = df.withColumn("_all", lines)
-    df = df.withColumn("_n_lines", F.size("_all").cast("long")).withColumn("_n_dropped", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    df = df.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(stays))
-    return df.select(*docs.columns, "_n_lines", "_n_dropped")
+def drop_lines(docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS) -> DataFrame:
+    """All columns of ``docs`` with the text that stays, and two more: the numbers of lines and of dropped ones."""
+    row, gone, lines, n_lines, n_dropped = free_names(docs, "row", "gone", "lines", "n_lines", "n_dropped")
+    found = dropped_positions(docs, min_tokens, min_documents).withColumnsRenamed({"row": row, "gone": gone})
+    df = docs.withColumn(row, _row_key(F.col("text"))).join(found, ["doc_id", row], "left")
+    df = df.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    # Lines between those that go, as runs: what stays is found without a search for each line.
+    at = f"concat(array(-1), `{gone}`, array(size(`{lines}`)))"
+    stays = F.expr(f"array_join(flatten(transform(sequence(0, size(`{gone}`)), k -> slice(`{lines}`, element_at({at}, k + 1) + 2, element_at({at}, k + 2) - element_at({at}, k + 1) - 1))), '\n')")
+    df = df.withColumn(n_lines, F.size(lines).cast("long")).withColumn(n_dropped, F.coalesce(F.size(gone), F.lit(0)).cast("long"))
+    df = df.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(stays))
+    return df.select(*[f"`{c}`" for c in (*docs.columns, n_lines, n_dropped)])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    found = drop_lines(docs.select("doc_id", "text"), min_contexts=MIN_CONTEXTS)
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
+    found = drop_lines(docs.select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.coalesce("text", F.lit("")).alias("text"))

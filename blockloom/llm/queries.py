@@ -87,25 +87,26 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op6_line_templates": r"""
 with cut as (
-    select doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
+    select distinct doc_id, coalesce(text, '') as text, string_split(coalesce(text, ''), chr(10)) as parts from documents),
 lines as (
     select doc_id, text, unnest(parts) as line, generate_subscripts(parts, 1) as pos from cut),
 masked as (
     select *, list_filter(regexp_split_to_array(regexp_replace(line, '[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*', '<*>', 'g'), '[\x20\x09-\x0D]+'), lambda t: t <> '') as tokens from lines),
+paths as (
+    select doc_id, text, pos, tokens, len(tokens) as n, unnest(case when len(tokens) < 6 then [-1] else [0, 1, 2, 3] end) as k from masked where len(tokens) >= 4),
 named as (
-    select *, case when len(tokens) >= 4 then array_to_string(tokens, ' ') end as template, array_to_string(tokens, ' ') as flat from masked),
-placed as (
-    select *, lag(flat, 1, chr(1)) over w || chr(2) || lead(flat, 1, chr(1)) over w as context
-    from named window w as (partition by doc_id, text order by pos)),
+    select doc_id, text, pos, case when k < 0 then array_to_string(tokens, ' ')
+        else concat(n, '|', k, '|', array_to_string(tokens[1:(k * n) // 4], ' '), '|', array_to_string(tokens[((k + 1) * n) // 4 + 1:n], ' ')) end as template from paths),
 recurring as (
-    select template, min((doc_id, pos)) as kept from placed where template is not null
-    group by template having count(distinct context) >= 3),
-judged as (
-    select p.*, r.template is not null and (p.doc_id, p.pos) <> r.kept as gone
-    from placed p left join recurring r on p.template = r.template)
-select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_dropped,
-    coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
-from judged group by doc_id""",
+    select template, min(doc_id) as first from named group by template having count(distinct text) >= 3),
+gone as (
+    select distinct doc_id, text, pos from named join recurring using (template) where doc_id <> first),
+lost as (
+    select l.doc_id, l.text, l.pos, l.line, g.pos is not null as gone from lines l left join gone g on l.doc_id = g.doc_id and l.text = g.text and l.pos = g.pos),
+kept as (
+    select doc_id, text as whole, count(*) as n_lines, count(*) filter (where gone) as n_dropped, coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '') as text
+    from lost group by doc_id, text)
+select d.doc_id, n_lines, n_dropped, kept.text from documents d join kept on d.doc_id = kept.doc_id and coalesce(d.text, '') = kept.whole""",
     "op10_quality": r"""
 with d as (
     select doc_id, coalesce(text, '') as t from documents),

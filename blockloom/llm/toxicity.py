@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, ship
+from ._shared import free_names, materialize, ship
 
 #: Closed word classes of the grammar.
 THREATS = ("kill", "hurt", "destroy", "beat", "strangle", "burn")
@@ -167,11 +167,11 @@ def pieces(text: str) -> set[str]:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
-    """(text, toxic) of the labelled rows to learn from; equal texts once."""
+    """(text, toxic) of the labelled rows to learn from; equal texts once, toxic if any of them is."""
     usable = labels.where("toxic is not null and doc_id is not null").where("pmod(crc32(cast(cast(doc_id as string) as binary)), 3) <> 1")
     chosen = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # max_rows ids at most
-    return materialize(rows.select("text", "toxic").dropDuplicates(["text"]), "toxicity-training")
+    return materialize(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "toxicity-training")
 
 
 def _count_pieces(known: set[str] | None):
@@ -250,25 +250,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple
 
 
 def score(docs: DataFrame, model: tuple[list[str], list[float], float]) -> DataFrame:
-    """All columns of ``docs`` and ``_score``, from 0 to 1."""
+    """All columns of ``docs`` and, last, a score from 0 to 1, named ``score`` or longer if that is taken."""
     from pyspark.sql import types as T
 
     entries, weights, bias = model
     ship(docs.sparkSession)
-    kind = T.StructType([*docs.schema.fields, T.StructField("_matches", T.ArrayType(T.IntegerType()))])
-    marked = docs.mapInArrow(_matches(entries, docs.columns.index("text")), kind)
+    matches, name = free_names(docs, "matches", "score")
+    kind = T.StructType([*docs.schema.fields, T.StructField(matches, T.ArrayType(T.IntegerType()))])
+    marked = docs.mapInArrow(_matches(entries, docs.columns.index("text"), matches), kind)
     total = F.lit(bias)
     for k, w in enumerate(weights):
-        total = total + F.log1p(F.col("_matches")[k]) * w
-    return marked.withColumn("_score", 1 / (1 + F.exp(-total))).drop("_matches")
+        total = total + F.log1p(F.col(matches)[k]) * w
+    return marked.withColumn(name, 1 / (1 + F.exp(-total))).drop(matches)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs.select("doc_id", "text"), train(docs, labels))
     held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1
-    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= PREDICT_FROM).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= PREDICT_FROM).cast("int").alias("predicted"))
 
 
 def acceptable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't predicted toxic, with their own columns."""
-    return score(docs, train(docs, labels)).where(F.col("_score") < PREDICT_FROM).select(docs.columns)
+    scored = score(docs, train(docs, labels))
+    return scored.where(F.col(scored.columns[-1]) < PREDICT_FROM).select(*[f"`{c}`" for c in docs.columns])

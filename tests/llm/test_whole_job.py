@@ -76,16 +76,17 @@ def test_blocks_that_recur_in_articles_go(spark):
 def test_passages_count_by_documents(spark):
     passage = "\n".join(f"line {w} of the notice here" for w in ("one", "two", "three", "four", "five"))
     names = ["alpha", "beta", "gamma", "delta", "omega"]
-    rows = [(k, f"{passage}\nown text of document {n} follows") for k, n in enumerate(names)]
-    alone = "\n".join(f"the same line again and again\nanother {n} line in between" for n in names)
+    # Lines of equal length that differ in one word would be a template of the tree, so the own lines differ in all.
+    rows = [(k, f"{passage}\nown {n} text {n[::-1]} follows {n[1:]}") for k, n in enumerate(names)]
+    alone = "\n".join(f"the same line again and again\nanother {n} line in between" for n in names)  # one document's own template
     shared = "a line of two documents only"
     rows += [(10, alone), (11, f"{shared}\nthen the words of one"), (12, f"{shared}\nthen the words of another")]
     rows += [(20 + k, "copies of a whole document stay\nwith both of their lines") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: (r._n_dropped, r.text) for r in linededup.drop_lines(df).collect()}
+    got = {r.doc_id: (r.n_dropped, r.text) for r in linededup.drop_lines(df).collect()}
     assert got.pop(0) == (0, rows[0][1])
     for k, n in list(enumerate(names))[1:]:
-        assert got.pop(k) == (5, f"own text of document {n} follows")
+        assert got.pop(k) == (5, f"own {n} text {n[::-1]} follows {n[1:]}")
     assert got == {d: (0, text) for d, text in rows[5:]}
 
 

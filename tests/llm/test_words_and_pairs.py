@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from blockloom.llm import decontam, linededup, neardup, pii, quality
+from blockloom.llm import decontam, linededup, neardup, pii, quality, toxicity
 
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -141,7 +141,7 @@ def test_decontamination(spark, docs, nothing, small, block_words):
                     items |= owners
                     hit.update(range(k, k + n))
         want[r.doc_id, len(w), len(hit), tuple(sorted(items))] += 1
-    got = Counter((r.doc_id, r._n_words, r._n_hit, tuple(r._items)) for r in decontam.scan(df, bench, block_words=block_words).collect())
+    got = Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in decontam.scan(df, bench, block_words=block_words).collect())
     assert got == want
     assert decontam.clean_documents(df, bench).columns == df.columns
     assert decontam.report(nothing, bench).count() == 0
@@ -162,7 +162,38 @@ def test_line_templates(spark, docs, nothing):
     copies = spark.createDataFrame([(k, "one line of five words\nanother line of five words") for k in range(50)], "doc_id long, text string")
     assert linededup.report(copies).where("n_dropped > 0").count() == 0
     assert linededup.report(nothing).count() == 0
-    assert linededup.drop_lines(docs).columns == [*docs.columns, "_n_lines", "_n_dropped"]
+    assert linededup.drop_lines(docs).columns == [*docs.columns, "n_lines", "n_dropped"]
+
+
+def test_templates_of_the_tree(spark):
+    """Each line's template as text, by hand: what the hashes of the tree stand for."""
+    names = "anna bert carl dora emil fred gina hans".split()
+    own = ["alder birch cedar", "daisy elder fern", "grass heath iris", "juniper kelp lotus"]
+    notice = ["this notice comes first in all of them", "then follows what nobody ever reads", "rights are given to whom it may concern", "and so ends what the lawyers wrote"]
+    rows = [(k, f"user {n} logged in from the office today") for k, n in enumerate(names)]
+    rows += [(100 + k, "\n".join([f"{own[k % 4]} {'x' * k}", *notice, f"{'y' * k} {own[k // 4 % 4]} {'z' * k}"])) for k in range(1, 16)]
+    rows += [(200 + k, f"disk {k} of host h{k} is full") for k in range(5)]  # fields with digits
+    rows += [(300, "red green blue cyan pink gold"), (301, "red green blue cyan pink gray"), (302, "red green lime cyan pink gold")]  # three paths, none with three texts
+    got = {r.doc_id: r for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_dropped for k in range(8)] == [0] + [1] * 7
+    assert [got[k].n_dropped for k in range(101, 116)] == [0] + [4] * 14  # the inner lines too
+    assert all(got[100 + k].text == "\n".join(rows[7 + k][1].split("\n")[:: 5]) for k in range(2, 16))
+    assert [got[k].n_dropped for k in range(200, 205)] == [0, 1, 1, 1, 1]
+    assert [got[k].n_dropped for k in range(300, 303)] == [0, 0, 0]
+
+
+def test_names_that_clash(spark, small):
+    from pyspark.sql import functions as F
+
+    text = "a line that many texts hold here"
+    rows = [(k, f"{text}\nown {w} words of it") for k, w in enumerate(("one", "two", "three"))]
+    names = ["_row", "_gone", "gone", "row", "ROW_", "lines", "n_lines", "n_dropped", "_n_words", "n_words", "n_hit", "items", "matches", "score", "_text", "_words", "words", "lines_", "kept", "base_failed", "word_chars"]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(f"own {n}") for n in names})
+    bench, labels = small("benchmark"), small("labels")
+    for kept in (linededup.drop_lines(df), decontam.clean_documents(df, bench), toxicity.acceptable(df, labels), neardup.first_of_each(df), quality.judge(df)):
+        assert kept.columns[: len(df.columns)] == df.columns
+        for r in kept.collect():
+            assert tuple(r)[2 : len(df.columns)] == tuple(f"own {n}" for n in names)
 
 
 def test_quality(docs, nothing):
@@ -190,6 +221,7 @@ def test_quality(docs, nothing):
 def test_cascade_order(docs):
     from pyspark.sql import functions as F
 
-    rules = [quality.Rule("keeps all", F.lit(True)), quality.Rule("drops most", F.col("n_words") > 10_000)]
-    ordered = quality.estimate(quality.with_counts(docs), rules)
-    assert [r.name for r in ordered] == ["drops most", "keeps all"]
+    rules = [quality.Rule("keeps all", F.lit(True)), quality.Rule("drops most", F.col("n_words") > 10_000), quality.Rule("drops most at a price", F.length(F.regexp_replace("text", "[a-z]+", "")) + F.col("n_words") > 10**9)]
+    ordered = quality.estimate(quality.with_counts(quality.prepared(docs)), rules)
+    assert [r.name for r in ordered] == ["drops most", "drops most at a price", "keeps all"]
+    assert ordered[1].cost > ordered[0].cost
