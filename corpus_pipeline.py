@@ -10,6 +10,7 @@ import public_tokenizers
 from blockloom.llm import decontam, linededup, neardup, packing, toxicity
 from blockloom.llm._shared import materialize
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,26 +18,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Null and empty texts hold no toxic clause and stay; repeated rows are judged alike; an empty table stays empty."""
     return toxicity.acceptable(docs, _table(spark, sf_dir, "labels"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
+    """All documents stay, with what is left of their lines; n_chars follows a text that changed, null texts stay null."""
     kept = linededup.drop_lines(docs)
-    counted = kept.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return counted.select(docs.columns)
+    dropped = kept.columns[-1]
+    counted = kept.withColumn("n_chars", F.when(F.col(dropped) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return counted.select(*[f"`{c}`" for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group stays; texts without words are in no group; rows repeated under it all stay."""
     return neardup.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with any benchmark window go; texts without words and, with an empty benchmark, all stay."""
     return decontam.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is packed, a null or empty text as its end id alone; an empty table gives no pieces."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
