@@ -9,10 +9,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..shipping import ship as _ship
 
-__all__ = ["chunks", "free_names", "materialize", "shared_dir", "ship", "text_buffers"]
+__all__ = ["chunks", "free_names", "materialize", "shared_dir", "ship", "sieve", "sieved", "text_buffers"]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -76,6 +77,27 @@ def free_names(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+SIEVE_BITS = 1 << 24  #: a sieve has SIEVE_BITS / 64 rows at most, however many keys go in
+
+
+def sieve(keys: DataFrame, *columns: str) -> DataFrame:
+    """(word, bits): a bit map of the hashed keys, small enough to be broadcast whatever its source."""
+    place = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64({', '.join(columns)}), {SIEVE_BITS}L), 64L) as int))")
+    return materialize(keys.select(F.shiftright(place, 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")), "sieve")
+
+
+def sieved(df: DataFrame, bits: DataFrame, name: str, *columns: str) -> DataFrame:
+    """Adds boolean ``name``: false for most rows whose key isn't in the sieve, true for all whose key is.
+
+    It keeps rows out of a shuffle; what passes by chance is met by the join behind it.
+    """
+    word, own = free_names(df, "word", "bits")
+    place = f"pmod(xxhash64({', '.join(f'`{c}`' for c in columns)}), {SIEVE_BITS}L)"
+    marked = df.withColumn(word, F.expr(f"cast(shiftright({place}, 6) as int)")).join(F.broadcast(bits.withColumnsRenamed({"word": word, "bits": own})), word, "left")
+    return marked.withColumn(name, F.expr(f"coalesce(shiftright(`{own}`, cast(pmod({place}, 64L) as int)) & 1L, 0L) = 1L")).drop(word, own)
+
+
 BATCH_ROWS = 1_000  #: rows of an Arrow batch, where the session leaves Spark's 10,000: texts are long
 
 
