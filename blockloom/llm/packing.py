@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._bpe import encoder, release
-from ._shared import chunks, materialize, ship, text_buffers
+from ._shared import chunks, materialize, ship, sieve, sieved, text_buffers
 
 MAX_PIVOTS = 4000  #: of the simplex method; any basis on the way is a valid packing
 LP_GAP = 0.001  #: the program counts as solved within this share of its lower bound
@@ -295,7 +295,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int =
     cut = placed.filter("ids_crc32 is null")
 
     # Cut tails need their ids once more: only those documents are encoded again.
-    again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(cut.select("doc_id").distinct(), "doc_id", "left_semi")
+    ids = materialize(cut.select("doc_id").distinct(), "pack-cut")
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    again = sieved(named, sieve(ids, "doc_id"), "wanted", "doc_id").where("wanted").drop("wanted").join(ids, "doc_id", "left_semi")
 
     def tail_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
