@@ -173,40 +173,44 @@ def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return _confirmed(pairs, _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, docs))
 
 
+HEAD = 64  #: elements of a difference that go with each of its rows, to count common ones where two meet
+
+
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first elements of each class's difference to its reference, of which every link of it holds one.
 
     Sets x and y are linked if |x ^ y| <= reach * (|x| + |y|).  The order is: elements
-    that the reference lacks, then those that only it has, each by hash.  Classes that
-    are linked to the reference need no links to each other, so of any pair one is
-    further from it than that; both bounds below follow from it.
+    that the reference lacks (negative), then those that only it has, each by hash.
+    Classes that are linked to the reference need no links to each other, so of any
+    pair one is further from it than that; both bounds below follow from it.
     """
     reach = (OUT_OF - LEAST) / (OUT_OF + LEAST)
     for batch in batches:
-        rows, tokens, places, sizes, near = [], [], [], [], []
         if not batch.num_rows:
             continue
+        rows, tokens, places, sizes, near, heads = [], [], [], [], [], []
         for k, (x, r) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
             x, r = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(r.as_buffer(), np.uint64)
-            own = np.setdiff1d(x, r, assume_unique=True)
-            lost = np.setdiff1d(r, x, assume_unique=True)
-            n = len(own) + len(lost)
+            own = np.setdiff1d(x, r, assume_unique=True) >> np.uint64(1)
+            lost = np.setdiff1d(r, x, assume_unique=True) >> np.uint64(1)
+            ordered = np.concatenate((own.view(np.int64) + np.iinfo(np.int64).min, lost.view(np.int64)))
+            n = len(ordered)
             linked = (OUT_OF + LEAST) * n <= (OUT_OF - LEAST) * (len(x) + len(r))
             common = n - reach * len(x) * (1 + OUT_OF / LEAST)  # with the farthest size that can be linked
             if linked:  # then the other one isn't
                 common = max(common, (n + reach * (len(r) - len(x))) / 2)
-            first = n - max(1, int(np.ceil(common - 1e-6))) + 1
-            found = np.concatenate((own, ~lost))[: max(0, first)]
-            rows.append(np.full(len(found), k))
-            tokens.append(found)
-            places.append(np.arange(len(found)))
-            sizes.append(np.full(len(found), n))
-            near.append(np.full(len(found), linked))
+            first = max(0, n - max(1, int(np.ceil(common - 1e-6))) + 1)
+            rows.append(np.full(first, k))
+            tokens.append(ordered[:first])
+            places.append(np.arange(first))
+            sizes.append(np.full(first, n))
+            near.append(np.full(first, linked))
+            heads.append(ordered[:HEAD])
         at = pa.array(np.concatenate(rows))
         taken = [batch.column(c).take(at) for c in range(4)]
         yield pa.RecordBatch.from_arrays(
-            [*taken, pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(near), pa.bool_())],
-            names=["ref", "rep", "n", "component", "token", "place", "apart", "near"],
+            [*taken, pa.array(np.concatenate(tokens)), pa.array(np.concatenate(places), pa.int32()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(np.concatenate(near), pa.bool_()), pa.array(heads, pa.list_(pa.int64())).take(at)],
+            names=["ref", "rep", "n", "component", "token", "place", "apart", "near", "head"],
         )
 
 
@@ -214,16 +218,21 @@ def _close_pairs(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components that may be linked, for classes ``grouped(ref, rep, n, component)`` by reference."""
     both = grouped.join(sets.select(F.col("doc_id").alias("rep"), F.col("shingles").alias("x")), "rep")
     both = both.join(sets.select(F.col("doc_id").alias("ref"), F.col("shingles").alias("r")), "ref")
-    firsts = both.select("ref", "rep", "n", "component", "x", "r").mapInArrow(_differences, "ref long, rep long, n long, component long, token long, place int, apart long, near boolean")
+    firsts = both.select("ref", "rep", "n", "component", "x", "r").mapInArrow(_differences, "ref long, rep long, n long, component long, token long, place int, apart long, near boolean, head array<long>")
     firsts = materialize(firsts, "neardup-firsts")
 
     def side(name: str) -> DataFrame:
-        return firsts.select("ref", "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "place", "apart", "near")])
+        return firsts.select("ref", "token", *[F.col(c).alias(f"{c}_{name}") for c in ("rep", "n", "component", "place", "apart", "near", "head")])
 
     # 2 * common >= apart_a + apart_b - reach * (n_a + n_b), in whole numbers.
     least = f"{OUT_OF + LEAST} * (apart_a + apart_b) - {OUT_OF - LEAST} * (n_a + n_b)"
     most = f"2 * {OUT_OF + LEAST} * least(apart_a - place_a, apart_b - place_b)"
     met = side("a").join(side("b"), ["ref", "token"]).where("rep_a < rep_b and component_a <> component_b and not (near_a and near_b)").where(f"{most} >= {least}")
+    # Up to where the shorter head ends all common elements are in both heads; beyond, the shorter rest bounds them.
+    end = "least(element_at(head_a, -1), element_at(head_b, -1))"
+    rest = ", ".join(f"apart_{x} - size(filter(head_{x}, t -> t <= {end}))" for x in "ab")
+    met = met.where(f"2 * {OUT_OF + LEAST} * (size(array_intersect(head_a, head_b)) + least({rest})) >= {least}")
+    met = met.where(f"greatest(place_a, place_b) >= {HEAD} or token = array_min(array_intersect(head_a, head_b))")  # once, where they first meet
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
