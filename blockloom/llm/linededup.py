@@ -55,8 +55,11 @@ def line_runs(docs: DataFrame, min_tokens: int = MIN_TOKENS) -> DataFrame:
 
 
 RUNS = [f"run{k}" for k in range(PARTS)]
-#: The keys of a line's two halves; a path with an open run in one of them keeps the other whole.
-HALVES = [F.xxhash64("n", F.lit(-2 - h), *RUNS[h * PARTS // 2 : (h + 1) * PARTS // 2]) for h in range(2)]
+
+
+def _halves() -> list[Column]:
+    """The keys of a line's two halves; a path with an open run in one of them keeps the other whole."""
+    return [F.xxhash64("n", F.lit(-2 - h), *RUNS[h * PARTS // 2 : (h + 1) * PARTS // 2]) for h in range(2)]
 
 
 def line_paths(lines: DataFrame) -> DataFrame:
@@ -65,11 +68,11 @@ def line_paths(lines: DataFrame) -> DataFrame:
     Lines that share a path share the half of their tokens that it keeps whole, so
     paths whose half is found in one text only are left out by a sieve.
     """
-    halves = lines.select("row", F.explode(F.array(*HALVES)).alias("half"))
+    halves = lines.select("row", F.explode(F.array(*_halves())).alias("half"))
     shared = halves.groupBy("half").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo <> hi")
     bits = sieve(shared, "half")
     marked = lines
-    for h, key in enumerate(HALVES):
+    for h, key in enumerate(_halves()):
         marked = sieved(marked.withColumn(f"half{h}", key), bits, f"shared{h}", f"half{h}")
     whole = F.array(F.when(F.col("shared0") & F.col("shared1"), F.xxhash64("n", *RUNS)))
     open_one = F.array(*[F.when(F.col(f"shared{int(k < PARTS // 2)}"), F.xxhash64("n", F.lit(k), *[r for r in RUNS if r != f"run{k}"])) for k in range(PARTS)])
