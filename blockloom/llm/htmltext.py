@@ -1,20 +1,22 @@
 """Main text of web pages, with site template removal.
 
 A small parser turns tag soup into elements.  Every block element is hashed
-with all it holds; Spark counts, per host, the pages on which a hash occurs, and
-what recurs on ``MIN_PAGES`` pages is template and is deleted; an article, a main
-and the elements around them never are.  What stands inside an article or main
-counts once for all pages on which that holds the same, so pages served under
-several urls keep their text.
+with all it holds; Spark counts, per host, the different pages on which a hash
+occurs, and what recurs on ``MIN_PAGES`` of them is template and is deleted, inside
+articles too; an article, a main and the elements around them never are.  Pages of
+equal html count once, as does what stands inside an article or main for all pages
+on which that holds the same, so pages crawled often or served under several urls
+keep their text.
 Elements that are no text by their tag or by the words of their class, id or
 role (menus, notices, adverts, forms, comments and so on) go as well.
 
 The recurring hashes are sent to the executors if they number at most
 ``BROADCAST_KEYS`` (8 bytes each); beyond that they are joined to the pages.
 
-Defined results: null html is an empty page with an empty text; a null or odd
-url has the host ''; repeated rows are extracted each, and count as pages each;
-an empty table gives an empty result; further columns are ignored.
+Defined results: null html is an empty page with an empty text; pages with a null or
+odd url belong to no host and have no templates; repeated rows are extracted each,
+and count as one page; an empty table gives an empty result; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -187,9 +189,15 @@ def _subtrees(root: Element, host: str) -> Iterator[tuple[Element, int, int | No
                 yield e, key, None
 
 
-def subtree_hashes(root: Element, host: str) -> set[tuple[int, int | None]]:
-    """The different hashes of a page, each with that of the article or main around it."""
-    return {(key, top) for _, key, top in _subtrees(root, host)}
+def subtree_hashes(root: Element, host: str, page: int) -> set[tuple[int, int]]:
+    """The different hashes of a page, each with that of the article or main around it, or else ``page``."""
+    return {(key, page if top is None else top) for _, key, top in _subtrees(root, host)} if host else set()
+
+
+def page_hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def _template_elements(root: Element, host: str, keys) -> set[int]:
@@ -251,10 +259,10 @@ def host_of(url: str | None) -> str:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys: list[tuple[int, int | None]] = []
+        keys: list[tuple[int, int]] = []
         for url, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if text := page.as_py():
-                keys.extend(subtree_hashes(parse(text), host_of(url)))
+                keys.extend(subtree_hashes(parse(text), host_of(url), page_hash(text)))
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([t for _, t in keys], pa.int64())], names=["key", "top"])
 
 
@@ -263,8 +271,8 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
     spark = pages.sparkSession
     ship(spark)
     pages = pages.select("page_id", "url", "html")
-    by_top = pages.select("url", "html").mapInArrow(_hashes, "key long, top long").groupBy("key", "top").count()
-    counted = by_top.groupBy("key").agg(F.sum(F.when(F.col("top").isNull(), F.col("count")).otherwise(1)).alias("count"))
+    by_top = pages.select("url", "html").mapInArrow(_hashes, "key long, top long").groupBy("key", "top").agg(F.lit(1).alias("one"))
+    counted = by_top.groupBy("key").agg(F.count("one").alias("count"))
     recurring = materialize(counted.where(F.col("count") >= min_pages).select("key"), "html-template")
     schema = pages.schema
     result = f"page_id {schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
@@ -279,7 +287,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
                         found.append("")
                         continue
                     root, keys = parse(text), of_row(batch, k)
-                    found.append(main_text(root, _template_elements(root, host_of(url), keys) if keys else frozenset()))
+                    found.append(main_text(root, _template_elements(root, host, keys) if keys and (host := host_of(url)) else frozenset()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
         return run
@@ -290,7 +298,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES, broadcast_keys: int =
 
     def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [sorted({k for k, _ in subtree_hashes(parse(t), host_of(u))}) if t else [] for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            found = [sorted({k for k, _ in subtree_hashes(parse(t), host_of(u), 0)}) if t else [] for u, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=[*batch.schema.names, "keys"])
 
     from pyspark.sql import types as T

@@ -118,3 +118,40 @@ def test_long_secrets_are_whole():
         value = "eyJ" + "".join(r.choice("ABCDEFGHIJKLMNOPabcdefghijklmnop0123456789-_.") for _ in range(size - 3))
         text = f'set token = "{value}" and go on'
         assert [text[a:b] for a, b in secrets.candidates(text)] == [value]
+
+
+def test_equal_pages_keep_their_text(spark):
+    """Without an article: pages crawled often are one page each, and menus fall to their count alone."""
+    body = "<body><div class=x1><a>Start</a><a>Shop</a></div><div class=x2><p>Text of page {0}</p><p>More of {0}</p></div></body>"
+    pages = [(k, "http://crawled.example/a", body.format("only")) for k in range(15)]
+    pages += [(100 + k, f"http://site.example/{k}", body.format(k)) for k in range(12)]
+    pages += [(200 + k, None if k % 2 else "no url", body.format(k)) for k in range(24)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    menu = "StartShop\n\n"
+    want = {k: f"{menu}Text of page only\n\nMore of only" for k in range(15)} | {100 + k: f"Text of page {k}\n\nMore of {k}" for k in range(12)}
+    want |= {200 + k: f"{menu}Text of page {k}\n\nMore of {k}" for k in range(24)}
+    for limit in (500_000, 0):
+        assert {r.page_id: r.text for r in htmltext.extract(df, broadcast_keys=limit).collect()} == want
+
+
+def test_templates_against_a_plain_count(spark, small):
+    """Counting different pages by host in a dictionary finds the same hashes."""
+    from collections import defaultdict
+
+    boxes = ["<div class=q{0}><p>Read all of series {0} here</p></div>".format(k) for k in range(4)]
+    made = [(k, f"https://{'ab'[k % 2]}.example/{k}", f"<body><article><p>Own words of {k}</p>{boxes[k % 3]}{boxes[3] if k % 5 else ''}</article></body>") for k in range(60)]
+    df = small("pages").select("page_id", "url", "html").unionByName(spark.createDataFrame(made, "page_id long, url string, html string"))
+    tops, rows = defaultdict(set), df.collect()
+    for r in rows:
+        if r.html and (host := htmltext.host_of(r.url)):
+            for key, top in htmltext.subtree_hashes(htmltext.parse(r.html), host, htmltext.page_hash(r.html)):
+                tops[key].add(top)
+    gone = {k for k, v in tops.items() if len(v) >= htmltext.MIN_PAGES}
+    want, plain = {}, {}
+    for r in rows:
+        root = htmltext.parse(r.html or "")
+        want[r.page_id] = htmltext.main_text(root, htmltext._template_elements(root, htmltext.host_of(r.url), gone))
+        plain[r.page_id] = htmltext.main_text(root)
+    assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == want
+    assert sum(want[k] != plain[k] for k, *_ in made) == 60
+    assert all(want[k] == f"Own words of {k}" for k, *_ in made)
