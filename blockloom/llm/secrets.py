@@ -1,9 +1,10 @@
 """Secret scans: candidates by shape, false positives removed by a random forest.
 
-Candidates are long runs of key characters and values assigned to names such as
-``password``.  The forest judges each by its length, the transitions between
-kinds of characters, how much of it a dictionary of letter pairs covers, whether
-it is part of a path or address, and the words beside it.  It is trained on
+Candidates are all long runs of key characters, words and numbers among them, and
+values assigned to names such as ``password``.  The forest judges each by its
+length, the transitions between kinds of characters, how much of it is made of
+dictionary words and of common letter pairs, whether it is part of a path or
+address, and the words beside it.  It is trained on
 labelled findings: by default a generated set of ``FINDINGS`` examples of keys,
 tokens and passwords (true) and of paths, identifiers, checksums, placeholders
 and long words (false); a table of own findings can be passed instead.
@@ -38,6 +39,11 @@ FOR = re.compile(r"(?i)pass|pwd|secret|token|key|auth|credential|bearer|login")
 AGAINST = re.compile(r"(?i)sha|md5|commit|checksum|hash|uuid|example|sample|version|path|file|revision|digest|build")
 #: Common English letter pairs; words are made of them, keys aren't.
 PAIRS = frozenset("th he in er an re nd at on nt ha es st en ed to it ou ea hi is or ti as te et ng of al de se le sa si ar ve ra ld ur ro ri io ne me co la li el ma ec ic us ca ch ll be di wo ho pe om em tr wa so ta no no ge ns ss ly mo fo po ai ee rs".split())
+#: Words that names, paths and placeholders are made of.
+DICTIONARY = frozenset(
+    "about account address admin application archive article backup base build cache change channel check class client code color column command comment common config connect content control copy count create current data database date debug default demo description detail device dir display document domain download element email empty end engine entry error event example export fail false feature field file filter final find first folder font format from function global handler head header help hidden home host icon image import index info item java key label language last level library license line link list load local log login main map master member message method mode model module name network new next node none number object option order output package page panel param parent password path pattern policy port process product profile project public query read record release report request reset resource response result root save script search secret server service session set setting site source status storage store system template test text theme time title token total update upload user util version web with word xml year your".split()
+)
+KNOWN = re.compile("|".join(sorted((w for w in DICTIONARY if len(w) > 2), key=lambda w: (-len(w), w))))
 
 
 def features(value: str, before: str, after: str) -> list[float]:
@@ -51,12 +57,13 @@ def features(value: str, before: str, after: str) -> list[float]:
     low = value.lower()
     pairs = [low[i : i + 2] for i in range(n - 1) if low[i : i + 2].isalpha()]
     covered = sum(p in PAIRS for p in pairs) / max(1, n - 1)
+    known = sum(len(m[0]) for m in KNOWN.finditer(low)) / n
     hexed = sum(c in "0123456789abcdefABCDEF" for c in value) / n
     path = value.count("/") + value.count(".") + ("/" in before[-2:]) + ("://" in before[-12:]) + ("." in after[:1] and after[1:2].isalpha())
     runs = max((len(r) for r in re.findall(r"[a-z]+|[A-Z]+", value)), default=0)
     return [
         n, changes / n, entropy, covered, kinds.count("d") / n, kinds.count("u") / n, kinds.count("s") / n, hexed, path, runs / n,
-        float(bool(FOR.search(before))), float(bool(AGAINST.search(before) or AGAINST.search(value))), float(before.rstrip("\"' ").endswith(("=", ":"))), len(counts) / n,
+        float(bool(FOR.search(before))), float(bool(AGAINST.search(before) or AGAINST.search(value))), float(before.rstrip("\"' ").endswith(("=", ":"))), len(counts) / n, known,
     ]
 
 
@@ -66,6 +73,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
     alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     word = lambda: "".join(r.choice(sorted(PAIRS)) for _ in range(r.randint(1, 5)))
     of = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    names = sorted(DICTIONARY)
     out = []
     for k in range(count):
         left, right = " ".join(word() for _ in range(4)) + " ", " " + " ".join(word() for _ in range(3))
@@ -82,11 +90,12 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
             else:
                 value = of(alnum + "+/", 40)
         else:
-            kind = r.randrange(7)
+            kind = r.randrange(8)
+            part = lambda: r.choice(names) if r.random() < 0.5 else word()
             if kind == 0:
-                value = "/".join(word() for _ in range(r.randint(3, 7)))
+                value = "/".join(part() for _ in range(r.randint(3, 7)))
             elif kind == 1:
-                value = r.choice(("_", "-")).join(word() for _ in range(r.randint(3, 6)))
+                value = r.choice(("_", "-")).join(part() for _ in range(r.randint(3, 6)))
             elif kind == 2:
                 value, left = of("0123456789abcdef", r.choice((32, 40, 64))), left + r.choice(("commit ", "sha256:", "md5 ", "checksum ", "revision "))
             elif kind == 3:
@@ -95,6 +104,9 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
                 value = "-".join(of("0123456789abcdef", n) for n in (8, 4, 4, 4, 12))
             elif kind == 5:
                 value = "".join(word() for _ in range(r.randint(5, 9)))
+                value = r.choice((value, value.capitalize(), value.upper()))
+            elif kind == 6:
+                value = "".join(w.capitalize() for w in (part() for _ in range(r.randint(3, 6)))) + r.choice(("", "", "2", "V3"))
             else:
                 value, left = of("0123456789", r.randint(16, 22)), left + r.choice(("", "order ", "id "))
         out.append((value, left[-32:], right[:16], k % 2))
@@ -150,11 +162,9 @@ def predict(forest: list, row: list[float]) -> float:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of every candidate value; runs without both letters and digits are words or numbers."""
+    """(start, end) of every candidate value."""
     for m in CANDIDATE.finditer(text):
-        k = 1 if m[1] is not None else 2
-        if k == 1 or any(c.isdigit() for c in m[2]) and any(c.isalpha() for c in m[2]):
-            yield m.span(k)
+        yield m.span(1 if m[1] is not None else 2)
 
 
 def scan(docs: DataFrame, findings: list[tuple[str, str, str, int]] | None = None, accept: float = ACCEPT) -> DataFrame:

@@ -111,6 +111,22 @@ def test_secrets(spark, docs, nothing):
     assert secrets.report(nothing).count() == 0
 
 
+def test_secrets_planted_in_documents(spark):
+    """Precision and recall on real texts: tokens of 40 hex digits are planted there, all other long runs are words."""
+    import re
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in df.collect()}
+    planted = {(d, m.start(1)) for d, t in texts.items() for m in re.finditer('token = "([0-9a-f]{40})"', t)}
+    got = secrets.report(df).collect()
+    found = {(r.doc_id, int(s.split(":")[0])) for r in got for s in r.spans.split(",") if s}
+    seen = sum(r.n_candidates for r in got)
+    right = len(found & planted)
+    assert seen > 5 * len(planted) > 0  # most candidates are false
+    assert right >= 0.95 * len(planted)
+    assert right >= 0.95 * len(found)
+
+
 def test_grammar():
     score = toxicity.Scorer(["idiot$", "lowei"])
     names = dict(zip(toxicity.FEATURES, range(6), strict=True))
