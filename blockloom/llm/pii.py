@@ -1,13 +1,17 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Candidates are the base spans and looser ones (digit groups that fail the card
-check, phone numbers without a country code, spelled-out addresses).  Three
-labelers vote on each: a shape (regex), a gazetteer (domain endings, card
-issuers, area codes, public networks) and the words before it (context).  The
-numbers of vote patterns, counted over all rows, are all that the driver sees
-(at most 64 rows); expectation-maximisation on them estimates how reliable each
-labeler is, and a log-linear span classifier is trained on its posteriors.
-Looser candidates that the classifier accepts are added to the base spans.
+check, phone numbers without a country code, spelled-out addresses).  Four
+labelers vote on each: a shape (regex), a gazetteer (domain endings, issuers'
+ranges, calling and area codes, public networks), the words before it (context) and
+a check of its parts (check digit, calling code, octets).  The numbers of vote
+patterns, counted over all rows, are all that the driver sees (2,048 rows at most).
+Expectation-maximisation on them estimates how reliable each labeler is, but for the
+check digit, whose rates are known: issued numbers pass it, one in ten others does.
+A log-linear span classifier is trained on the posteriors; it sees the votes and
+features that no labeler has (glued to a word, usual length, words that speak
+against it, regular groups).  It judges all candidates; looser ones that it accepts
+are added to the base spans, which stay whatever it says.
 
 Java's regular expressions meet words of any length here, so the patterns below
 are written without backtracking: they find what the plain ones find.
@@ -33,30 +37,46 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Looser shapes.
-SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}+(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]{1,64}+)++"
+SPELLED = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?[\[(]dot[\])] ?[A-Za-z0-9-]++)++"
 NATIONAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9.-])"
 
-#: Cue words by kind, looked for in the 48 characters before a candidate.
+#: Cue words by kind, looked for in the 48 characters before a candidate, and words that speak against it.
 CUES = {
     "email": "mail|contact|write|reach|send",
     "ip": "address|host|server|login|from ip|node",
     "card": "card|visa|credit|debit|pay",
     "phone": "phone|call|tel|mobile|fax|number",
 }
+AGAINST = "version|release|order|invoice|isbn|serial|article|part no|ticket|ref|meet|look"
 WINDOW = 48
-#: Gazetteer patterns by kind: endings, private networks, issuers' first digits, area codes.
+#: Endings of mail domains and international calling codes.
+ENDINGS = "com org net edu gov mil int info biz io dev app ai co me tv us uk de fr es it nl be at ch se no dk fi pl cz pt gr ie ru ua tr in cn jp kr au nz ca mx br ar cl za"
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 211 212 213 216 218 220 221 233 234 254 255 351 352 353 354 355 356 357 358 359 370 371 372 380 381 385 386 387 420 421 852 886 961 962 965 966 971 972 974"
+#: Patterns of the gazetteers: endings, networks that are not public, issuers' ranges with their lengths, calling and area codes.
 GAZETTEER = {
-    "email": r"(?i)[.\s\])](com|org|net|edu|gov|io|de|fr|es|uk)$",
-    "ip": r"^(?!0|10\.|127\.|192\.168\.|2[2-5][0-9]\.)",
-    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6)",
-    "phone": r"^\+?[\s(]*[1-9]",
+    "email": rf"(?i)[.\s\])]({ENDINGS.replace(' ', '|')})$",
+    "ip": r"^(?!0|10\.|127\.|169\.254\.|172\.(1[6-9]|2[0-9]|3[01])\.|192\.168\.|2[2-5][0-9]\.)",
+    "card": r"^(4([\x20-]?[0-9]){15}|5[\x20-]?[1-5]([\x20-]?[0-9]){14}|2[\x20-]?[2-7]([\x20-]?[0-9]){14}|3[\x20-]?[47]([\x20-]?[0-9]){13}|6[\x20-]?[05]([\x20-]?[0-9]){14}|3[\x20-]?[0689]([\x20-]?[0-9]){12})$",
+    "phone": rf"^(\+({CALLING.replace(' ', '|')})[^0-9]|\(?[2-9](?!11)[0-9]{{2}}[^0-9])",
 }
 SHAPE = {
-    "email": r"^[A-Za-z][^@]*@",
+    "email": r"^[A-Za-z][A-Za-z0-9._%+-]*( ?[\[(]at[\])] ?|@)[A-Za-z]",
     "ip": r"^[1-9][0-9]{0,2}(\.(0|[1-9][0-9]{0,2})){3}$",
-    "card": r"^([0-9]{13,19}|([0-9]{4}[ -]){3}[0-9]{4})$",
-    "phone": r"^\+[0-9]{1,3} ?[( -]",
+    "card": r"^([0-9]{14,19}|([0-9]{4}[ -]){3}[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$",
+    "phone": r"^(\+[0-9]{1,3} ?[( -]|\(?[0-9]{3}\)?[ .-]{1,2}[0-9]{3}[.-])",
 }
+_DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
+CHECK = {
+    "email": r"x.m rlike r'[.\s\])][A-Za-z]{2,24}$'",
+    "ip": r"x.m rlike r'^(?!0)(0|[1-9][0-9]{0,2})(\.(0|[1-9][0-9]{0,2})){3}$'",
+    "card": f"luhn_check({_DIGITS})",
+    "phone": rf"{_DIGITS} rlike if(x.m like '+%', r'^({CALLING.replace(' ', '|')})[1-9][0-9]{{6,}}$', r'^[2-9][0-9]{{2}}[2-9][0-9]{{6}}$')",
+}
+USUAL = {"email": "length(x.m) between 6 and 64", "ip": "length(x.m) between 7 and 15", "card": f"length({_DIGITS}) in (14, 15, 16, 19)", "phone": f"length({_DIGITS}) between 10 and 13"}
+REGULAR = {"email": r"x.m rlike r'^[^@]*@?[^@.]*([.][^.]*){1,3}$'", "ip": r"x.m rlike r'^[0-9]{1,3}([.][0-9]{1,3}){3}$'", "card": rf"x.m rlike r'{SHAPE['card']}'", "phone": r"x.m rlike r'^[^0-9]?([0-9]+[^0-9]+){1,5}[0-9]+$'"}
+#: A check digit is passed by all issued numbers and by one other number in ten.
+KNOWN = {"card": {3: (0.999, 0.1)}}
+LABELERS, SIGNS = 4, 8  #: votes are the low bits of a pattern, further features the next ones
 
 
 def _spans(pattern: str, guard: Column) -> Column:
@@ -80,7 +100,7 @@ def _placed(df: DataFrame, name: str, pattern: str, guard: Column) -> DataFrame:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and ``found``: candidates with kind, start, end, base and the three votes."""
+    """doc_id and ``found``: candidates with kind, start, end, base and their signs (votes and further features)."""
     df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     digits = F.col("text").rlike("[0-9]")
     df = _placed(df, "_email", EMAIL, F.contains("text", F.lit("@")))
@@ -89,13 +109,18 @@ def candidates(docs: DataFrame) -> DataFrame:
     df = _placed(df, "_card", CARD, digits)
     df = _placed(df, "_phone", PHONE, F.contains("text", F.lit("+")))
     df = _placed(df, "_national", NATIONAL, digits)
-    plain = "regexp_replace(x.m, '[^0-9]', '')"
+    plain = _DIGITS
 
     def of(column: str, kind: str, base: str, keep: str = "true") -> str:
         # Numbers are compared as text: a part of any length is at most 255 if what follows its zeros is.
-        votes = [f"x.m rlike r'{SHAPE[kind]}'", f"x.m rlike r'{GAZETTEER[kind]}'", f"lower(substring(text, greatest(1, x.start + 1 - {WINDOW}), least(x.start, {WINDOW}))) rlike '{CUES[kind]}'"]
-        pattern = " + ".join(f"if({v}, {1 << k}, 0)" for k, v in enumerate(votes))
-        return f"transform(filter({column}, x -> {keep}), x -> named_struct('kind', {KINDS.index(kind)}, 'start', x.start, 'end', x.end, 'base', {base}, 'votes', {pattern}))"
+        signs = [
+            f"x.m rlike r'{SHAPE[kind]}'", f"x.m rlike r'{GAZETTEER[kind]}'", f"x.before rlike '{CUES[kind]}'", CHECK[kind],
+            "not x.before rlike '[a-z0-9]$' and not x.after rlike '^[A-Za-z0-9]'", USUAL[kind], f"not x.before rlike '{AGAINST}'", REGULAR[kind],
+        ]
+        pattern = " + ".join(f"if({v}, {1 << k}, 0)" for k, v in enumerate(signs))
+        near = f"lower(substring(text, greatest(1, x.start + 1 - {WINDOW}), least(x.start, {WINDOW})))"
+        seen = f"transform(filter({column}, x -> {keep}), x -> named_struct('start', x.start, 'end', x.end, 'm', x.m, 'before', {near}, 'after', substring(text, x.end + 1, 1)))"
+        return f"transform({seen}, x -> named_struct('kind', {KINDS.index(kind)}, 'start', x.start, 'end', x.end, 'base', {base}, 'signs', {pattern}))"
 
     parts = [
         of("_email", "email", "true"),
@@ -111,10 +136,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 # ---- the label model: on counts of vote patterns, a table of fixed size ---------------
 
 
-def em(counts: dict[int, float], labelers: int = 3, rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
-    """Prior of personal data and, for each labeler, its rate of votes for true and for false spans."""
+def em(counts: dict[int, float], labelers: int = LABELERS, rounds: int = 200, known: dict[int, tuple[float, float]] | None = None) -> tuple[float, list[tuple[float, float]]]:
+    """Prior of personal data and, for each labeler, its rate of votes for true and for false spans; ``known`` rates stay."""
+    known = known or {}
     total = sum(counts.values())
-    prior, rates = 0.5, [(0.8, 0.3)] * labelers
+    prior, rates = 0.5, [known.get(k, (0.8, 0.3)) for k in range(labelers)]
     if not total:
         return prior, rates
     for _ in range(rounds):
@@ -122,7 +148,7 @@ def em(counts: dict[int, float], labelers: int = 3, rounds: int = 200) -> tuple[
         weight = sum(true.values())
         # One pseudo-count on each side keeps rates inside (0, 1) for rare patterns.
         after = [
-            ((sum(t for v, t in true.items() if v >> k & 1) + 0.8) / (weight + 1), (sum(counts[v] - true[v] for v in counts if v >> k & 1) + 0.3) / (total - weight + 1))
+            known.get(k) or ((sum(t for v, t in true.items() if v >> k & 1) + 0.8) / (weight + 1), (sum(counts[v] - true[v] for v in counts if v >> k & 1) + 0.3) / (total - weight + 1))
             for k in range(labelers)
         ]
         new_prior = (weight + 1) / (total + 2)
@@ -140,37 +166,49 @@ def posterior(votes: int, prior: float, rates: list[tuple[float, float]]) -> flo
     return yes / (yes + no) if yes + no else 0.0
 
 
-def train_classifier(counts: dict[tuple[int, int, bool], int], steps: int = 300) -> list[list[float]]:
-    """For each kind: bias and weights of the votes and of a strict (base) match."""
+def train_classifier(counts: dict[tuple[int, int], int], steps: int = 400) -> list[list[float]]:
+    """For each kind: bias and weights of its signs, from counts of (kind, signs)."""
     models = []
-    for kind in range(len(KINDS)):
-        own = {(v, b): n for (k, v, b), n in counts.items() if k == kind}
+    for kind, name in enumerate(KINDS):
+        own = {s: n for (k, s), n in counts.items() if k == kind}
         votes: dict[int, float] = {}
-        for (v, _), n in own.items():
-            votes[v] = votes.get(v, 0) + n
-        prior, rates = em(votes)
+        for s, n in own.items():
+            low = s & (1 << LABELERS) - 1
+            votes[low] = votes.get(low, 0) + n
+        prior, rates = em(votes, known=KNOWN.get(name))
         total = sum(own.values()) or 1
-        w = [0.0] * 5
+        w = [0.0] * (SIGNS + 1)
         for _ in range(steps):
-            slope = [0.0] * 5
-            for (v, b), n in own.items():
-                x = [1.0, v & 1, v >> 1 & 1, v >> 2 & 1, float(b)]
-                target = max(posterior(v, prior, rates), 0.99 * b)  # a base span is taken as true
+            slope = [0.0] * len(w)
+            for s, n in own.items():
+                x = [1.0, *(s >> k & 1 for k in range(SIGNS))]
                 p = 1 / (1 + math.exp(-sum(a * c for a, c in zip(w, x, strict=True))))
-                for i in range(5):
-                    slope[i] += n / total * (p - target) * x[i]
-            w = [a - 2.0 * (s + 0.001 * a) for a, s in zip(w, slope, strict=True)]
+                miss = n / total * (p - posterior(s & (1 << LABELERS) - 1, prior, rates))
+                for i, v in enumerate(x):
+                    slope[i] += miss * v
+            w = [a - 1.0 * (g + 0.0005 * a) for a, g in zip(w, slope, strict=True)]
         models.append(w)
     return models
 
 
-def report(docs: DataFrame, accept: float = 0.5) -> DataFrame:
+def accepted_signs(models: list[list[float]], accept: float = 0.5) -> list[tuple[int, int]]:
+    """(kind, signs) that the classifiers accept."""
+    least = math.log(accept / (1 - accept))
+    return [(k, s) for k, w in enumerate(models) for s in range(1 << SIGNS) if w[0] + sum(w[1 + i] for i in range(SIGNS) if s >> i & 1) >= least]
+
+
+def judged(docs: DataFrame, accept: float = 0.5) -> DataFrame:
+    """doc_id and ``found``: candidates with kind, start, end, base and whether the classifier accepts them."""
     found = materialize(candidates(docs), "pii-candidates")
-    seen = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes", "x.base").count().collect()
-    models = train_classifier({(r[0], r[1], r[2]): r[3] for r in seen})
-    taken = [(k, v) for k, w in enumerate(models) for v in range(8) if w[0] + sum(w[1 + i] * (v >> i & 1) for i in range(3)) >= math.log(accept / (1 - accept))]
-    codes = ", ".join(str(8 * k + v) for k, v in taken) or "-1"
-    added = f"x.base or ((8 * x.kind + x.votes) in ({codes}) and not exists(found, y -> y.base and y.kind = x.kind and y.start < x.end and x.start < y.end))"
+    seen = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.signs").count().collect()  # 4 * 256 rows at most
+    taken = accepted_signs(train_classifier({(r[0], r[1]): r[2] for r in seen}), accept)
+    codes = ", ".join(str((k << SIGNS) + s) for k, s in taken) or "-1"
+    return found.withColumn("found", F.expr(f"transform(found, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'base', x.base, 'accepted', shiftleft(x.kind, {SIGNS}) + x.signs in ({codes})))"))
+
+
+def report(docs: DataFrame, accept: float = 0.5) -> DataFrame:
+    found = judged(docs, accept)
+    added = "x.base or (x.accepted and not exists(found, y -> y.base and y.kind = x.kind and y.start < x.end and x.start < y.end))"
 
     def joined(keep: str) -> Column:
         ordered = f"array_sort(transform(filter(found, x -> {keep}), x -> named_struct('start', x.start, 'kind', x.kind, 'end', x.end)))"
@@ -178,4 +216,5 @@ def report(docs: DataFrame, accept: float = 0.5) -> DataFrame:
         return F.expr(f"array_join(transform({ordered}, x -> concat({names}[x.kind], ':', x.start, ':', x.end)), ',')")
 
     counts = [F.expr(f"size(filter(found, x -> x.base and x.kind = {k}))").cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
-    return found.select("doc_id", *counts, F.sha2(joined("x.base"), 256).alias("base_sha256"), joined(added).alias("spans"))
+    accepted = F.expr("size(filter(found, x -> x.accepted))").cast("long").alias("n_accepted")
+    return found.select("doc_id", *counts, F.sha2(joined("x.base"), 256).alias("base_sha256"), joined(added).alias("spans"), F.size("found").cast("long").alias("n_candidates"), accepted)

@@ -60,9 +60,52 @@ def test_pii(spark, docs, nothing):
 
 
 def test_em_finds_reliable_labelers():
-    prior, rates = pii.em({0b111: 40, 0b011: 10, 0b000: 45, 0b100: 5})
+    prior, rates = pii.em({0b111: 40, 0b011: 10, 0b000: 45, 0b100: 5}, 3)
     assert 0.3 < prior < 0.7
     assert all(true > false for true, false in rates[:2])
+    _, rates = pii.em({0b1111: 50, 0b0111: 40}, known={3: (0.999, 0.1)})
+    assert rates[3] == (0.999, 0.1)
+
+
+def test_the_classifier_decides(spark):
+    """Planted data and decoys: precision and recall of what is accepted, and of what is added to the base."""
+    import random
+
+    r = random.Random(4)
+    rows, want = [], {}
+
+    def plant(text, value, kind, true, base):
+        at = text.index(value)
+        rows.append((len(rows), text))
+        want[len(rows) - 1, kind, at, at + len(value)] = (true, base)
+
+    def number(good, first):
+        while True:
+            digits = first + "".join(r.choice("0123456789") for _ in range(16 - len(first)))
+            if luhn(digits) == good:
+                return digits
+
+    for k in range(60):
+        plant(f"please pay by card {(v := number(True, '4'))} today", v, "card", True, True)
+        plant(f"the sum of it is {(v := number(False, r.choice('018')))} in all", v, "card", False, False)
+        plant(f"send mail to {(v := f'ann{k}@host{k}.com')} now", v, "email", True, True)
+        plant(f"call me at {(v := f'+1 ({r.randint(200, 900)}) 555-{k + 1000}')} soon", v, "phone", True, True)
+    for k in range(20):
+        plant(f"write to me: {(v := f'bob{k} [at] place{k} [dot] org')} thanks", v, "email", True, False)
+        plant(f"look {(v := f'9{k} (at) 7 (dot) {k}')} for it", v, "email", False, False)
+    found = {(r.doc_id, pii.KINDS[x.kind], x.start, x.end): (x.accepted, x.base) for r in pii.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in r.found}
+    assert all(found[key][1] == base for key, (_, base) in want.items())
+    right = sum(found[key][0] == true for key, (true, _) in want.items())
+    assert right >= 0.95 * len(want), [(key, rows[key[0]][1]) for key, (true, _) in want.items() if found[key][0] != true][:5]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((f"{kind}:{a}:{b}" in spans[d].split(",")) == (base or found[d, kind, a, b][0]) for (d, kind, a, b), (_, base) in want.items())
+
+
+def test_decoys_of_the_documents(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = [(x.kind, x.base, x.accepted) for r in pii.judged(df).collect() for x in r.found]
+    assert {a for _, _, a in seen} == {True, False}
+    assert not any(a for k, b, a in seen if pii.KINDS[k] == "card" and not b)  # numbers that fail the check digit
 
 
 def shingles(text: str) -> frozenset:
