@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,18 +102,23 @@ def export_plan(catalog: DataFrame, overrides: DataFrame, default: str) -> DataF
 def assign_shards(sizes: DataFrame, most: int, order: str = "ordinal", size: str = "bytes") -> DataFrame:
     """Adds ``shard``: next-fit in order; a shard is closed when the next tensor would pass ``most``.
 
-    The fold is sequential by nature.  It runs over the catalog of one model (names and
-    sizes of some 10,000 tensors), in one array, never over tensor data.
+    Sequential by nature, so one task walks the sorted catalog of one model once:
+    names and sizes of some 10,000 tensors, never tensor data.
     """
-    fold = F.aggregate(
-        F.sort_array(F.collect_list(F.struct(order, size))),
-        F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("shard"), F.array().cast(f"array<struct<{order}: bigint, shard: int>>").alias("out")),
-        lambda acc, t: F.when(
-            (acc["used"] > 0) & (acc["used"] + t[size] > most),
-            F.struct(t[size].cast("long").alias("used"), (acc["shard"] + 1).alias("shard"), F.array_append(acc["out"], F.struct(t[order].cast("long").alias(order), (acc["shard"] + 1).alias("shard"))).alias("out")),
-        ).otherwise(F.struct((acc["used"] + t[size]).cast("long").alias("used"), acc["shard"].alias("shard"), F.array_append(acc["out"], F.struct(t[order].cast("long").alias(order), acc["shard"].alias("shard"))).alias("out"))),
-    )
-    made = sizes.agg(fold.alias("f")).select(F.inline("f.out"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used, shard = 0, 0
+        for batch in batches:
+            shards = []
+            for n in batch.column(1).to_pylist():
+                if used > 0 and used + n > most:
+                    used, shard = 0, shard + 1
+                used += n
+                shards.append(shard)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shards, pa.int32())], names=[order, "shard"])
+
+    narrow = sizes.select(F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size))
+    made = narrow.repartition(1).sortWithinPartitions(order).mapInArrow(walk, f"{order} long, shard int")
     return sizes.join(made, order)
 
 

@@ -15,13 +15,13 @@ from ..functions.dims import FLOAT_TYPES, INT_TYPES
 GROUP = 128
 
 
-def global_scale(rows: DataFrame, dtype: str, clip: float = 0.0, values: str = "values") -> float:
+def global_scale(rows: DataFrame, dtype: str, clip: float = 0.0, values: str = "values", center: float | None = None) -> float:
     """2 ** (median + range / 2 * (1 - clip)) over the greatest code; 1 for float types and empty matrices."""
     if dtype not in INT_TYPES:
         return 1.0
     logs = rows.select(F.explode(values).alias("x")).where("x <> 0").select(F.log2(F.abs("x")).alias("l"))
     r = logs.agg(F.median("l").alias("m"), (F.max("l") - F.min("l")).alias("r")).first()
-    return 1.0 if r.m is None else 2.0 ** (r.m + r.r / 2 * (1 - clip)) / INT_TYPES[dtype][2]
+    return 1.0 if r.m is None else 2.0 ** ((r.m if center is None else center) + r.r / 2 * (1 - clip)) / INT_TYPES[dtype][2]
 
 
 def float_round(x: Column, dtype: str) -> Column:
@@ -48,9 +48,48 @@ def unpacked(rows: DataFrame, dtype: str, scale: float | Column, row: str = "row
     return rows.select(F.col(row).alias("row"), F.transform(values, one).alias("codes"))
 
 
-def byte_packed(rows: DataFrame, scale: float, row: str = "row", values: str = "values") -> DataFrame:
-    """4-bit codes, two to a byte, the even column low."""
-    return unpacked(rows, "I4", scale, row, values).select("row", C.pack_nibbles(F.col("codes")).alias("bytes"))
+def byte_packed(rows: DataFrame, scale: float, row: str = "row", values: str = "values", dtype: str = "I4") -> DataFrame:
+    """4-bit codes, two to a byte, the even column low; 8-bit codes as unsigned bytes.  Other types aren't packed."""
+    codes = unpacked(rows, dtype, scale, row, values)
+    if dtype == "I4":
+        return codes.select("row", C.pack_nibbles(F.col("codes")).alias("bytes"))
+    if dtype == "I8":
+        return codes.select("row", F.transform("codes", lambda c: F.pmod(c, F.lit(256))).alias("bytes"))
+    return codes
+
+
+#: Pack formats: elements of a group (0: none).
+PACKS = {"none": 0, "packed": 0, "awq": GROUP, "gptq": GROUP, "trellis_single": 0, "trellis_dual": 0}
+
+
+def pack_factor(pack: str, bits: int) -> int:
+    """Values in a stored element: of 32 bits for grouped and trellis formats, of 8 for packed ones."""
+    if pack in ("awq", "gptq", "trellis_single", "trellis_dual"):
+        return 32 // bits
+    return 2 if pack == "packed" and bits == 4 else 1
+
+
+def quantize(rows: DataFrame, dtype: str = "I4", pack: str = "none", clip: float = 0.0, center: float | None = None, act: list[float] | None = None, row: str = "row", values: str = "values") -> DataFrame:
+    """One entry for all pack formats.
+
+    ``center`` (log2) stands for the matrix's median where there is one scale.  A matrix
+    without weight gets zeros and the scale 1.  Channel weights count in grouped formats
+    only.  Gives (row, codes or bytes, scale) or the grouped columns.
+    """
+    if pack not in PACKS:
+        raise ValueError(f"unknown pack format {pack}")
+    if pack == "awq":
+        return symmetric(rows, act, clip, row, values)
+    if pack == "gptq":
+        return affine(rows, act, clip, row, values)
+    if pack.startswith("trellis"):
+        from . import trellis
+
+        own = rows.select(F.col(row).alias("row"), F.col(values).alias("values"))
+        return trellis.trellis_single(own) if pack == "trellis_single" else trellis.trellis_dual(own)
+    scale = global_scale(rows, dtype, clip, values, center)
+    made = byte_packed(rows, scale, row, values, dtype) if pack == "packed" else unpacked(rows, dtype, scale, row, values)
+    return made.withColumn("scale", F.lit(scale))
 
 
 def _log_mean_bound(weights: Column, clip: float) -> Column:
@@ -134,6 +173,33 @@ def chained(upstream: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("col", product.alias("scale"), F.log2(product).alias("log2_scale"))
 
 
+#: Fixed value: the least positive normal single float; stands for scales of zero in logs.
+TINY = 2.0**-126
+
+
+def column_importance(channels: DataFrame) -> DataFrame:
+    """channels(col, scale) with ``log2_importance``, the log of the scale's magnitude."""
+    return channels.withColumn("log2_importance", F.log2(F.greatest(F.abs("scale"), F.lit(TINY))))
+
+
+def chained_importance(upstream: DataFrame, current: DataFrame) -> DataFrame:
+    """(col, log2_importance): sums of two tables of logs over the same columns."""
+    u, c = upstream.select("col", F.col("log2_importance").alias("u")), current.select("col", F.col("log2_importance").alias("c"))
+    both = u.join(c, "col", "full").withColumn("sum", F.col("u") + F.col("c"))
+    checked = F.when(F.col("sum").isNull(), F.raise_error(F.concat(F.lit("column "), F.col("col").cast("string"), F.lit(" has one scale only"))).cast("double")).otherwise(F.col("sum"))
+    return both.select("col", checked.alias("log2_importance"))
+
+
+def activation_stats(importance: DataFrame) -> DataFrame:
+    """(col, mean_abs, row_importance, sample_count) for quantizers that want activations: linear, without samples."""
+    return importance.select("col", F.lit(1.0).alias("mean_abs"), F.pow(F.lit(2.0), "log2_importance").alias("row_importance"), F.lit(0).alias("sample_count"))
+
+
+def zero_stats(columns: DataFrame) -> DataFrame:
+    """The statistics of columns(col) of which nothing has been seen."""
+    return columns.select("col", F.lit(0.0).alias("mean_abs"), F.lit(0.0).alias("row_importance"), F.lit(0).alias("sample_count"))
+
+
 def saliency(coo: DataFrame, channels: DataFrame) -> DataFrame:
     """Adds importance = |value| * scale of the element's column; a column without a scale counts as 1."""
     return coo.join(channels.select("col", "scale"), "col", "left").withColumn("importance", F.abs("value") * F.coalesce("scale", F.lit(1.0))).drop("scale")

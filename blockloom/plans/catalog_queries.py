@@ -219,10 +219,10 @@ def export_plan(spark, sf_dir):
     return _plan(spark, sf_dir).fillna(-1, ["bytes"])
 
 
-@query("shard_assign", f"with recursive {_PLAN}, s as (select k as ordinal, bytes, row_number() over (order by k) as i from b where bytes is not null and k <= 400), f(i, used, shard, ordinal, bytes) as (select i, bytes, 0, ordinal, bytes from s where i = 1 union all select s.i, case when f.used > 0 and f.used + s.bytes > 200000 then s.bytes else f.used + s.bytes end, case when f.used > 0 and f.used + s.bytes > 200000 then f.shard + 1 else f.shard end, s.ordinal, s.bytes from f join s on s.i = f.i + 1) select ordinal, bytes, shard from f")
+@query("shard_assign", f"with recursive {_PLAN}, s as (select k as ordinal, bytes, row_number() over (order by k) as i from b where bytes is not null), f(i, used, shard, ordinal, bytes) as (select i, bytes, 0, ordinal, bytes from s where i = 1 union all select s.i, case when f.used > 0 and f.used + s.bytes > 200000 then s.bytes else f.used + s.bytes end, case when f.used > 0 and f.used + s.bytes > 200000 then f.shard + 1 else f.shard end, s.ordinal, s.bytes from f join s on s.i = f.i + 1) select ordinal, bytes, shard from f")
 def shard_assign(spark, sf_dir):
     k = F.regexp_extract("name", r"layers\.(\d+)\.", 1).cast("long")
-    p = _plan(spark, sf_dir).where("bytes is not null").select(k.alias("ordinal"), "bytes").where("ordinal <= 400")
+    p = _plan(spark, sf_dir).where("bytes is not null").select(k.alias("ordinal"), "bytes")
     return K.assign_shards(p, 200_000)
 
 
@@ -254,9 +254,9 @@ def _configs(spark, sf_dir) -> DataFrame:
     return K.model_config(configs).select("k", "architecture", "vocab_size", "hidden_size", "num_layers")
 
 
-@query("container_metadata", "with e as (select event_id as k from events where event_id < 500), m as (select case k % 3 when 0 then 'llama' when 1 then 'qwen2' else 'bloom' end as a, k from e) select a as architecture, a || '.vocab_size' as key, cast(1000 + k as varchar) as value from m union all select a, a || '.embedding_length', cast(k % 100 as varchar) from m union all select a, a || '.block_count', cast(k % 7 as varchar) from m where k % 2 = 0 union all select a, 'general.architecture', a from m")
+@query("container_metadata", "with e as (select event_id as k from events), m as (select case k % 3 when 0 then 'llama' when 1 then 'qwen2' else 'bloom' end as a, k from e) select a as architecture, a || '.vocab_size' as key, cast(1000 + k as varchar) as value from m union all select a, a || '.embedding_length', cast(k % 100 as varchar) from m union all select a, a || '.block_count', cast(k % 7 as varchar) from m where k % 2 = 0 union all select a, 'general.architecture', a from m")
 def container_metadata(spark, sf_dir):
-    m = _configs(spark, sf_dir).where("k < 500")
+    m = _configs(spark, sf_dir)
     for c in ("num_attention_heads", "intermediate_size", "max_position_embeddings"):
         m = m.withColumn(c, F.lit(None).cast("long"))
     return K.container_metadata(m)

@@ -451,7 +451,8 @@ def static_saliency(spark, sf_dir):
 # ---- container quantizers -----------------------------------------------------------------
 
 
-def _legacy_sql(t: str) -> str:
+def _legacy_sql(t: str, exact: bool = False) -> str:
+    kept = (lambda x: x) if exact else (lambda x: f"round({x}, 8)")
     if t in G.SYMMETRIC:
         top, off, lo, hi = G.SYMMETRIC[t]
         s = f"select r as sr, c // 32 as sb, {sql_f16(f'(max(abs(v)) / {top})')} as d, 0e0 as mm from m group by r, c // 32"
@@ -460,7 +461,7 @@ def _legacy_sql(t: str) -> str:
         top = G.AFFINE[t]
         s = f"select sr, sb, {sql_f16(f'((hi - lo) / {top})')} as d, {sql_f16('lo')} as mm from (select r as sr, c // 32 as sb, least(min(v), 0e0) as lo, greatest(max(v), 0e0) as hi from m group by r, c // 32)"
         code = sql_clamp(sql_round(sql_div("v - mm", "d")), 0, top)
-    return f"with {EMBZ}, s as ({s}) select r as row, cast(sb as integer) as block, round(d, 8) as d, round(mm, 8) + 0e0 as m, string_agg(cast(cast({code} as integer) as varchar), ',' order by c) as codes from m join s on r = sr and c // 32 = sb group by r, sb, d, mm"
+    return f"with {EMBZ}, s as ({s}) select r as row, cast(sb as integer) as block, {kept('d')} as d, {kept('mm')} + 0e0 as m, string_agg(cast(cast({code} as integer) as varchar), ',' order by c) as codes from m join s on r = sr and c // 32 = sb group by r, sb, d, mm"
 
 
 def _legacy_query(t: str):
@@ -471,7 +472,8 @@ for _t in ("Q8_0", "Q4_0", "Q5_0", "Q4_1", "Q5_1"):
     query(f"gguf_{_t.lower()}", _legacy_sql(_t))(_legacy_query(_t))
 
 
-def _super_sql(t: str) -> str:
+def _super_sql(t: str, exact: bool = False) -> str:
+    kept = (lambda x: x) if exact else (lambda x: f"round({x}, 8)")
     if t in G.K_AFFINE:
         size, top, most = G.K_AFFINE[t]
         return f"""with {E256},
@@ -479,11 +481,11 @@ g as (select r as gr, c // {size} as gg, greatest(max(v), 0e0) as p, greatest(-m
 f as (select gr as fr, {sql_f16(f'(max(p + n) / {most * top})')} as d, {sql_f16(f'(max(n) / {most})')} as dm from g group by gr),
 s as (select g.*, f.*, {sql_clamp(sql_round(sql_div('p + n', f'({top} * d)')), 1, most)} as sc, {sql_clamp(sql_round(sql_div('n', 'dm')), 0, most)} as mn from g join f on gr = fr),
 sc as (select gr as xr, string_agg(cast(cast(sc as integer) as varchar), ',' order by gg) as scales, string_agg(cast(cast(mn as integer) as varchar), ',' order by gg) as mins from s group by gr)
-select r as row, 0 as sb, round(d, 8) as d, round(dm, 8) as dmin, scales, mins, string_agg(cast(cast({sql_clamp(sql_round(sql_div('v + dm * mn', '(d * sc)')), 0, top)} as integer) as varchar), ',' order by c) as codes
+select r as row, 0 as sb, {kept('d')} as d, {kept('dm')} as dmin, scales, mins, string_agg(cast(cast({sql_clamp(sql_round(sql_div('v + dm * mn', '(d * sc)')), 0, top)} as integer) as varchar), ',' order by c) as codes
 from m join s on r = gr and c // {size} = gg join sc on r = xr group by r, d, dm, scales, mins"""
     if t == "IQ4_NL":
         index = " + ".join(f"(case when v / d >= {(a + b) / 2}e0 then 1 else 0 end)" for a, b in zip(LEVELS, LEVELS[1:]))
-        return f"with {E256}, f as (select r as fr, {sql_f16('(max(abs(v)) / 113)')} as d from m group by r) select r as row, 0 as sb, round(d, 8) as d, 0e0 as dmin, '' as scales, '' as mins, string_agg(cast({index} as varchar), ',' order by c) as codes from m join f on r = fr group by r, d"
+        return f"with {E256}, f as (select r as fr, {sql_f16('(max(abs(v)) / 113)')} as d from m group by r) select r as row, 0 as sb, {kept('d')} as d, 0e0 as dmin, '' as scales, '' as mins, string_agg(cast({index} as varchar), ',' order by c) as codes from m join f on r = fr group by r, d"
     if t == "IQ4_XS":
         size, top, most = 32, 120, 63
         code = " + ".join(f"(case when v / (d * sc) >= {(a + b) / 2}e0 then 1 else 0 end)" for a, b in zip(LEVELS, LEVELS[1:]))
@@ -495,7 +497,7 @@ g as (select r as gr, c // {size} as gg, max(abs(v)) as p from m group by r, c /
 f as (select gr as fr, {sql_f16(f'(max(p) / {most * top})')} as d from g group by gr),
 s as (select g.*, f.*, {sql_clamp(sql_round(sql_div('p', f'({top} * d)')), 1, most)} as sc from g join f on gr = fr),
 sc as (select gr as xr, string_agg(cast(cast(sc as integer) as varchar), ',' order by gg) as scales from s group by gr)
-select r as row, 0 as sb, round(d, 8) as d, 0e0 as dmin, scales, '' as mins, string_agg(cast(cast({code} as integer) as varchar), ',' order by c) as codes
+select r as row, 0 as sb, {kept('d')} as d, 0e0 as dmin, scales, '' as mins, string_agg(cast(cast({code} as integer) as varchar), ',' order by c) as codes
 from m join s on r = gr and c // {size} = gg join sc on r = xr group by r, d, scales"""
 
 
@@ -523,25 +525,72 @@ def _record_query(t: str):
 
 
 
-@query("record_q8_0", f"with {EMBZ}, s as (select r as sr, c // 32 as sb, {sql_f16('(max(abs(v)) / 127)')} as d from m group by r, c // 32), k as (select r, sb, c, d, {_sql_bits('d')} as bits, cast({sql_clamp(sql_round(sql_div('v', 'd')), -127, 127)} as integer) as code from m join s on r = sr and c // 32 = sb) select r as row, cast(sb as integer) as block, printf('%02x', max(bits) % 256) || printf('%02x', max(bits) // 256) || string_agg(printf('%02x', (code + 256) % 256), '' order by c) as bytes from k group by r, sb")
-def record_q8_0(spark, sf_dir):
-    return _record_query("Q8_0")(spark, sf_dir)
+def _sql_hexes(items: str) -> str:
+    return f"array_to_string(list_transform({items}, lambda x: printf('%02x', cast(x as integer) & 255)), '')"
 
 
-@query("record_q4_0", f"with {EMBZ}, s as (select r as sr, c // 32 as sb, {sql_f16('(max(abs(v)) / 7)')} as d from m group by r, c // 32), k as (select r, sb, c, d, {_sql_bits('d')} as bits, cast({sql_clamp(sql_round(sql_div('v', 'd')), -8, 7)} + 8 as integer) as code from m join s on r = sr and c // 32 = sb), p as (select r, sb, c // 2 as p, max(bits) as bits, cast(sum(code << (4 * (c % 2))) as integer) as b from k group by r, sb, c // 2) select r as row, cast(sb as integer) as block, printf('%02x', max(bits) % 256) || printf('%02x', max(bits) // 256) || string_agg(printf('%02x', b), '' order by p) as bytes from p group by r, sb")
-def record_q4_0(spark, sf_dir):
-    return _record_query("Q4_0")(spark, sf_dir)
+def _sql_half(x: str) -> str:
+    return f"(select printf('%02x%02x', h % 256, h // 256) from (select {_sql_bits(x)} as h))"
 
 
-@query("pack_scales", "select unnest([0, 1]) as id, unnest(['193,15,223,255,7,22,44,55,81,182,204,243', '192,72,16,224,3,19,38,60,131,147,102,76']) as unused")
+def _sql_quads(items: str, value: str) -> str:
+    """A byte for four codes, two bits each, the first lowest; ``value`` has {0} for a code."""
+    return _sql_hexes(f"list_transform(range(0, len({items}) // 4), lambda k: " + " + ".join(f"{4**j} * ({value.format(f'{items}[4 * k + {j + 1}]')})" for j in range(4)) + ")")
+
+
+def _sql_six(s: str, m: str) -> str:
+    low = [f"({x}[{i}] & 63) + (({x}[{i + 4}] >> 4) << 6)" for x in (s, m) for i in range(1, 5)]
+    return f"[{', '.join(low + [f'({s}[{i}] & 15) + (({m}[{i}] & 15) << 4)' for i in range(5, 9)])}]"
+
+
+def _record_sql(t: str) -> str:
+    """The bytes of a block from its factors, scales and codes, in SQL of its own."""
+    older = t in G.SYMMETRIC or t in G.AFFINE
+    key = "block" if older else "sb"
+    c, s, m = "cl", "sl", "ml"
+    nibbles = _sql_hexes(f"list_transform(range(0, len({c}) // 2), lambda k: {c}[2 * k + 1] % 16 + 16 * ({c}[2 * k + 2] % 16))")
+
+    def high(bit: int) -> str:
+        return _sql_hexes(f"list_transform(range(0, len({c}) // 8), lambda k: " + " + ".join(f"((({c}[8 * k + {j + 1}] >> {bit}) & 1) << {j})" for j in range(8)) + ")")
+
+    xs = " + ".join(f"(({s}[{i + 1}] >> 4) << {2 * i})" for i in range(8))
+    pairs = ", ".join(f"({s}[{2 * i + 1}] & 15) + (({s}[{2 * i + 2}] & 15) << 4)" for i in range(4))
+    d, dm = _sql_half("d"), _sql_half("m" if older else "dmin")
+    six = _sql_hexes(_sql_six(s, m))
+    parts = {
+        "Q8_0": [d, _sql_hexes(c)], "Q4_0": [d, nibbles], "Q5_0": [d, high(4), nibbles], "Q4_1": [d, dm, nibbles], "Q5_1": [d, dm, high(4), nibbles],
+        "Q4_K": [d, dm, six, nibbles], "Q5_K": [d, dm, six, high(4), nibbles],
+        "Q2_K": [_sql_hexes(f"list_transform(range(1, 17), lambda k: {s}[k] + 16 * {m}[k])"), _sql_quads(c, "{0}"), d, dm],
+        "Q3_K": [high(2), _sql_quads(c, "{0} % 4"), _sql_hexes(_sql_six(f"{s}[1:8]", f"{s}[9:16]")), d],
+        "Q6_K": [nibbles, _sql_quads(c, "{0} // 16"), _sql_hexes(s), d],
+        "IQ4_NL": [d, nibbles], "IQ4_XS": [d, f"(select printf('%02x%02x', h % 256, h // 256) from (select cast({xs} as integer) as h))", _sql_hexes(f"[{pairs}]"), nibbles],
+    }[t]
+    codes = _legacy_sql(t, True) if older else _super_sql(t, True)
+    numbers = lambda x: f"list_transform(list_filter(string_split({x}, ','), lambda x: x <> ''), lambda x: cast(x as integer))"
+    lists = f"{numbers('codes')} as cl" + ("" if older else f", {numbers('scales')} as sl, {numbers('mins')} as ml")
+    return f"select row, {key}, {' || '.join(parts)} as bytes from (select *, {lists} from ({codes}))"
+
+
+for _t in (*G.SYMMETRIC, *G.AFFINE, *G.K_AFFINE, *G.K_SYMMETRIC, "IQ4_XS", "IQ4_NL"):
+    query(f"record_{_t.lower()}", _record_sql(_t))(_record_query(_t))
+
+_SCALES = "t(id, s, m) as (values (0, [1, 15, 31, 63, 7, 22, 44, 55], [7, 22, 44, 55, 1, 15, 31, 63]), (1, [0, 8, 16, 32, 3, 19, 38, 60], [3, 19, 38, 60, 0, 8, 16, 32]))"
+
+
+def _scales(spark) -> DataFrame:
+    return spark.createDataFrame([(0, [1, 15, 31, 63, 7, 22, 44, 55], [7, 22, 44, 55, 1, 15, 31, 63]), (1, [0, 8, 16, 32, 3, 19, 38, 60], [3, 19, 38, 60, 0, 8, 16, 32])], "id int, s array<int>, m array<int>")
+
+
+@query("pack_scales", f"with {_SCALES} select id, array_to_string({_sql_six('s', 'm')}, ',') as packed, true as same from t")
 def pack_scales(spark, sf_dir):
     """Eight scales and minima in twelve bytes, and back."""
-    rows = spark.createDataFrame([(0, [1, 15, 31, 63, 7, 22, 44, 55], [7, 22, 44, 55, 1, 15, 31, 63]), (1, [0, 8, 16, 32, 3, 19, 38, 60], [3, 19, 38, 60, 0, 8, 16, 32])], "id int, s array<int>, m array<int>")
-    packed = rows.withColumn("p", G.pack_six(F.col("s"), F.col("m")))
+    packed = _scales(spark).withColumn("p", G.pack_six(F.col("s"), F.col("m")))
     back = packed.withColumn("u", G.unpack_six(F.col("p")))
     return back.select("id", joined("p").alias("packed"), ((F.col("u.scales") == F.col("s")) & (F.col("u.mins") == F.col("m"))).alias("same"))
 
 
-ORACLES.pop("pack_scales")
-for _t in ("Q4_1", "Q5_0", "Q5_1", "Q2_K", "Q3_K", "Q4_K", "Q5_K", "Q6_K", "IQ4_XS", "IQ4_NL"):
-    query(f"record_{_t.lower()}")(_record_query(_t))
+@query("pack_xs_scales", f"with {_SCALES} select id, array_to_string([" + " + ".join(f"((s[{i + 1}] >> 4) << {2 * i})" for i in range(8)) + ", " + ", ".join(f"(s[{2 * i + 1}] & 15) + ((s[{2 * i + 2}] & 15) << 4)" for i in range(4)) + "], ',') as packed, array_to_string(s, ',') as back from t")
+def pack_xs_scales(spark, sf_dir):
+    """Eight scales as a 16-bit number and four bytes, and back."""
+    packed = _scales(spark).withColumn("p", G.pack_xs(F.col("s"))).withColumn("u", G.unpack_xs(F.col("p")))
+    return packed.select("id", joined("p").alias("packed"), joined("u").alias("back"))
