@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
 from pyspark.sql import SparkSession
 
@@ -38,11 +39,14 @@ def main(args: list[str] | None = None) -> None:
         return
     if a.shard_size:
         config["shard_size"] = a.shard_size * 1_000_000
+    os.makedirs(a.output, exist_ok=True)
     made = pipeline.export_model(spark, a.model, config, a.output)
     made.show(truncate=False)
     if a.validate:
-        plan, _ = pipeline.export_records(spark, a.model, config)
-        plan.select("name", "actual", "bytes", "error").show(truncate=False)
+        checked = pipeline.validate(spark, a.model, config, a.output)
+        checked.show(truncate=False)
+        if checked.where("not ok").limit(1).count():
+            raise SystemExit("the files don't hold what was planned")
 
 
 if __name__ == "__main__":

@@ -303,64 +303,3 @@ def trellis_single(spark, sf_dir):
 def trellis_dual(spark, sf_dir):
     d = R.trellis_dual(embz(spark, sf_dir))
     return d.select("pair", "block", F.round("scale", 6).alias("scale"), joined("states_a").alias("states_a"), joined("states_b").alias("states_b"), "redundant")
-
-
-# ---- files: round trips through the shared folder --------------------------------------------------
-
-
-def _folder(spark, tag: str) -> str:
-    """A new folder that driver and executors share."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
-    return f"{base.removeprefix('file://').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
-def _model_files(spark, sf_dir, folder: str) -> None:
-    """The first vectors as two small tensor files."""
-    import os
-
-    import numpy as np
-
-    from ..sources import safetensors
-
-    os.makedirs(folder)
-    x = np.array([r.embedding for r in table(spark, sf_dir, "embeddings").where("vec_id < 128").orderBy("vec_id").select("embedding").collect()], np.float32)
-    safetensors.write(f"{folder}/a.safetensors", {"model.layers.0.mlp.down_proj.weight": x[:64], "model.norm.weight": x[0]})
-    safetensors.write(f"{folder}/b.safetensors", {"model.layers.0.mlp.experts.weight": x[64:].astype(np.float16).reshape(4, 16, 64)})
-
-
-@query("import_roundtrip")
-def import_roundtrip(spark, sf_dir):
-    from . import pipeline
-
-    folder = _folder(spark, "model")
-    _model_files(spark, sf_dir, f"{folder}/source")
-    pipeline.import_model(spark, f"{folder}/source", pipeline.import_template(spark, f"{folder}/source"), f"{folder}/stored")
-    return pipeline.analyze(spark, f"{folder}/stored")
-
-
-@query("export_files")
-def export_files(spark, sf_dir):
-    import os
-
-    from . import pipeline
-
-    folder = _folder(spark, "model")
-    _model_files(spark, sf_dir, f"{folder}/source")
-    pipeline.import_model(spark, f"{folder}/source", pipeline.import_template(spark, f"{folder}/source"), f"{folder}/stored")
-    os.makedirs(f"{folder}/out")
-    config = pipeline.export_template(spark, f"{folder}/stored") | {"shard_size": 5000}
-    made = pipeline.export_model(spark, f"{folder}/stored", config, f"{folder}/out")
-    return made.select("shard", "tensors", "size")
-
-
-@query("stream_import")
-def stream_import(spark, sf_dir):
-    from ..streaming import incremental
-
-    folder = _folder(spark, "stream")
-    _model_files(spark, sf_dir, f"{folder}/source")
-    incremental.import_new_files(spark, f"{folder}/source", f"{folder}/out", f"{folder}/checkpoint")
-    return incremental.imported(spark, f"{folder}/out").groupBy("name", "plane").agg(F.count(F.lit(1)).alias("blocks"))

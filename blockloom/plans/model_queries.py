@@ -145,3 +145,154 @@ def work_ordinal(spark, sf_dir):
     """Running numbers of the items of a kind, in the order of their keys."""
     by = Window.partitionBy("p_type")
     return table(spark, sf_dir, "part").select("p_type", "p_partkey", F.row_number().over(by.orderBy("p_partkey")).alias("done"), F.count(F.lit(1)).over(by).alias("total"))
+
+
+# ---- files: round trips through the shared folder --------------------------------------------------
+
+FILE_ROWS = 256  #: vectors of a tensor file
+
+
+def _folder(spark, tag: str) -> str:
+    """A new folder that driver and executors share."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="blockloom-")
+    return f"{base.removeprefix('file://').rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def _model_files(spark, sf_dir, folder: str) -> None:
+    """All vectors as tensor files: a matrix of single floats, or planes of half floats, and a vector in each."""
+    import os
+
+    import numpy as np
+    import pandas as pd
+
+    from ..shipping import ship
+    from ..sources import safetensors
+
+    ship(spark)
+    os.makedirs(folder)
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        k = int(part["k"].iloc[0])
+        x = np.stack(part.sort_values("vec_id")["embedding"].to_list()).astype(np.float32)
+        own = {f"model.layers.{k}.input_layernorm.weight": x[0]}
+        if k % 2:
+            own[f"model.layers.{k}.mlp.experts.weight"] = x.astype(np.float16).reshape((2, len(x) // 2, -1) if len(x) % 2 == 0 else x.shape)
+        else:
+            own[f"model.layers.{k}.mlp.down_proj.weight"] = x
+        path = f"{folder}/part-{k:06d}.safetensors"
+        safetensors.write(f"{path}.{os.getpid()}", own)
+        os.replace(f"{path}.{os.getpid()}", path)
+        return pd.DataFrame({"k": [k]})
+
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / FILE_ROWS).alias("k"), "vec_id", "embedding")
+    e.groupBy("k").applyInPandas(write, "k long").write.format("noop").mode("overwrite").save()  # FILE_ROWS rows a group
+
+
+def _stored(spark, sf_dir) -> str:
+    from . import pipeline
+
+    folder = _folder(spark, "model")
+    _model_files(spark, sf_dir, f"{folder}/source")
+    pipeline.import_model(spark, f"{folder}/source", pipeline.import_template(spark, f"{folder}/source"), f"{folder}/stored")
+    return folder
+
+
+_FILES = f"""f as (select vec_id // {FILE_ROWS} as k, count(*) as n from embeddings group by all),
+t as (select k, n, 'model.layers.' || k || case when k % 2 = 1 then '.mlp.experts.weight' else '.mlp.down_proj.weight' end as name, 'blk.' || k || case when k % 2 = 1 then '.mlp.experts.weight' else '.ffn_down.weight' end as container_name, n as rows, 64 as cols, 'q8_0' as quant_type, case when k % 2 = 1 and n % 2 = 0 then 2 else 1 end as planes from f
+    union all select k, n, 'model.layers.' || k || '.input_layernorm.weight', 'blk.' || k || '.attn_norm.weight', 64, 1, 'f16', 1 from f)"""
+
+
+@query("import_roundtrip", f"with {_FILES} select name, container_name, rows, cols, quant_type from t")
+def import_roundtrip(spark, sf_dir):
+    from . import pipeline
+
+    return pipeline.analyze(spark, f"{_stored(spark, sf_dir)}/stored").select("name", "container_name", "rows", "cols", "quant_type")
+
+
+@query("import_values", f"with {_FILES}, v as (select vec_id // {FILE_ROWS} as k, cast(unnest(embedding) as double) as v from embeddings), s as (select k, round(sum(v), 4) as total from v group by k) select name, cast(i as bigint) as plane, rows // planes * cols as n, case when name like '%down_proj%' then total else 0e0 end as total, true as same from t join s using (k), unnest(range(0, planes)) u(i)")
+def import_values(spark, sf_dir):
+    """The values read from the files, and stored blocks against blocks made from them."""
+    from ..operators import blocks as B
+    from ..sources import safetensors
+    from . import pipeline
+
+    folder = _stored(spark, sf_dir)
+    catalog, blocks = pipeline.open_model(spark, f"{folder}/stored")
+    back = pipeline.stored_rows(blocks, "B8x8").withColumnRenamed("values", "back")
+    source = safetensors.tensors(spark, f"{folder}/source").join(F.broadcast(catalog.select("name", "plane", "uuid")), ["name", "plane"])
+    again = pipeline.stored_rows(B.encode(source, "B8x8", carry=("uuid",)), "B8x8").withColumnRenamed("values", "again")
+    both = source.join(back, ["uuid", "row"]).join(again, ["uuid", "row"])
+    total = F.when(F.contains("name", F.lit("down_proj")), F.aggregate("values", F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    return both.groupBy("name", "plane").agg(F.sum(F.size("values")).alias("n"), F.round(F.sum(total), 4).alias("total"), F.min(F.col("back") == F.col("again")).alias("same"))
+
+
+@query(
+    "export_files",
+    f"""with recursive {_FILES},
+b as (select container_name as name, rows, cols, upper(quant_type) as type, case when quant_type = 'f16' then rows * cols * 2 else rows * 2 * 34 end as bytes, row_number() over (order by name) as i from t),
+w as (select i, bytes as used, 0 as shard from b where i = 1 union all select b.i, case when used + bytes > 40000 then bytes else used + bytes end, case when used + bytes > 40000 then shard + 1 else shard end from w join b on b.i = w.i + 1),
+s as (select b.*, shard from b join w using (i))
+select shard, name, rows, cols, type, bytes, cast(coalesce(sum((bytes + 31) // 32 * 32) over (partition by shard order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as after_first, true as inside, true as planned from s""",
+)
+def export_files(spark, sf_dir):
+    """Container files of all tensors, read back: shards, shapes, types, places and what was planned."""
+    import os
+
+    from ..sources import containers
+    from . import pipeline
+
+    folder = _stored(spark, sf_dir)
+    os.makedirs(f"{folder}/out")
+    config = pipeline.export_template(spark, f"{folder}/stored") | {"shard_size": 40_000}
+    pipeline.export_model(spark, f"{folder}/stored", config, f"{folder}/out")
+    found = containers.container_tensors(spark, f"{folder}/out")
+    first = found.groupBy("shard").agg(F.min("place").alias("first"))
+    checked = pipeline.validate(spark, f"{folder}/stored", config, f"{folder}/out").select(F.col("name"), F.col("ok").alias("planned"))
+    return found.join(first, "shard").join(checked, "name").select("shard", "name", "rows", "cols", "type", "bytes", (F.col("place") - F.col("first")).alias("after_first"), "inside", "planned")
+
+
+@query("export_bytes", f"with {EMBZ.replace('abs(x) < 0.05e0', 'false')}, z as (select * from m where (r // {FILE_ROWS}) % 2 = 0), s as (select r as sr, c // 32 as sb, {sql_f16('(max(abs(v)) / 127)')} as d from z group by r, c // 32) select 'blk.' || (sr // {FILE_ROWS}) || '.ffn_down.weight' as name, sr % {FILE_ROWS} as row, cast(sb as integer) as k, true as same from s")
+def export_bytes(spark, sf_dir):
+    """The bytes in the files against records made straight from the stored rows."""
+    import os
+
+    from ..sources import containers
+    from . import pipeline
+
+    folder = _stored(spark, sf_dir)
+    os.makedirs(f"{folder}/out")
+    config = pipeline.export_template(spark, f"{folder}/stored")
+    _, records = pipeline.export_records(spark, f"{folder}/stored", config)
+    pipeline.export_model(spark, f"{folder}/stored", config, f"{folder}/out")
+
+    def read(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for path, name, n, cols, place in zip(batch["path"], batch["name"], batch["rows"], batch["cols"], batch["place"], strict=True):
+                with open(path, "rb") as f:
+                    f.seek(place)
+                    rows += [(name, r, k, f.read(34).hex().upper()) for r in range(n) for k in range(cols // 32)]
+            yield pd.DataFrame(rows, columns=["name", "row", "k", "held"])
+
+    held = containers.container_tensors(spark, f"{folder}/out").where("type = 'Q8_0' and name like '%ffn_down%'").select("path", "name", "rows", "cols", "place").mapInPandas(read, "name string, row long, k int, held string")
+    made = records.select("name", "row", "k", F.upper("bytes").alias("bytes"))
+    return held.join(made, ["name", "row", "k"]).select("name", "row", "k", (F.col("held") == F.col("bytes")).alias("same"))
+
+
+@query("stream_import", f"with {_FILES} select name, cast(i as bigint) as plane, rows // planes * ((cols + 7) // 8) as blocks from t, unnest(range(0, planes)) u(i)")
+def stream_import(spark, sf_dir):
+    from ..streaming import incremental
+
+    folder = _folder(spark, "stream")
+    _model_files(spark, sf_dir, f"{folder}/source")
+    incremental.import_new_files(spark, f"{folder}/source", f"{folder}/out", f"{folder}/checkpoint")
+    return incremental.imported(spark, f"{folder}/out").groupBy("name", "plane").agg(F.count(F.lit(1)).alias("blocks"))

@@ -1,9 +1,9 @@
 """Import and export of models as DataFrame pipelines.
 
 A stored model is a folder of Parquet tables: ``catalog`` (one row a plane),
-``blocks`` (sorted by tensor and row) and ``tokens``.  Import is one job from
-tensor files to blocks; analysis reads masks only; export quantizes the decoded
-rows and cuts the result into shards by the plan.
+``blocks`` (sorted by tensor and row), ``tokens`` and ``config``.  Import makes the
+catalog from headers and is one job from tensor files to blocks; analysis reads masks
+only; export quantizes the decoded rows, whose places in the shards the plan knows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from ..operators import blocks as B
 from ..operators import catalog as K
 from ..operators import gguf as G
 from ..operators import stats as T
+from ..operators import tokens as V
 from ..sources import safetensors
 
 EXPORT_DEFAULTS = {"target_format": "gguf", "quantization": {"default_type": "q4_k_m", "scale_optimization": "trellis", "trellis_lambda": 0.3, "per_tensor": {}}, "shard_size": None, "special_token_keys": {}}
@@ -43,29 +44,87 @@ def import_model(spark: SparkSession, source: str, config: dict, out: str) -> Da
     if fmt not in FORMATS:
         raise ValueError(f"unknown block format {fmt}")
     wanted = [(t["source"], t["target"]) for t in config["tensor_map"] if t.get("include", True)]
-    rows = safetensors.tensors(spark, source, [s for s, _ in wanted])
-    targets = spark.createDataFrame(wanted, "name string, base_uuid string")
-    rows = rows.join(F.broadcast(targets), "name")
-    # Files may repeat a tensor: the last file in name order counts.
-    last = rows.groupBy("name").agg(F.max("path").alias("path"))
-    rows = rows.join(last, ["name", "path"], "left_semi")
-    planes = F.aggregate(F.slice("shape", 1, F.greatest(F.size("shape") - 2, F.lit(0))), F.lit(1).cast("long"), lambda a, n: a * n)
-    rows = rows.withColumn("planes", planes).withColumn("uuid", N.plane_id(F.col("base_uuid"), F.col("plane"), F.col("planes")))
     f = FORMATS[fmt]
     if f.dual:
         raise ValueError("dual-row formats pair rows of one matrix; import single-row formats and re-encode")
-    flat = B.encode(rows, fmt, carry=("uuid",))
-    flat.repartitionByRange("uuid", "row_group").sortWithinPartitions("uuid", "row_group", "block").write.mode("overwrite").parquet(f"{out}/blocks")
-    catalog = rows.groupBy("uuid").agg(F.first("name").alias("name"), F.first("base_uuid").alias("base_uuid"), F.first("plane").alias("plane"), F.first("planes").alias("planes"), F.first("dtype").alias("dtype"), F.first("shape").alias("shape"), F.count(F.lit(1)).alias("rows"), F.max(F.size("values")).cast("long").alias("cols"))
+    targets = spark.createDataFrame(wanted, "name string, base_uuid string")
+    # Headers say all of the catalog.  Files may repeat a tensor: the last file in name order counts.
+    heads = safetensors.headers(spark, source).join(F.broadcast(targets), "name")
+    heads = heads.groupBy("name").agg(F.max_by(F.struct("path", "dtype", "shape", "base_uuid"), "path").alias("h")).select("name", "h.*")
+    rank = F.size("shape")
+    planes = F.when(rank > 2, F.aggregate(F.slice("shape", 1, F.greatest(rank - 2, F.lit(0))), F.lit(1).cast("long"), lambda a, n: a * n)).otherwise(F.lit(1).cast("long"))
+    heads = heads.withColumn("planes", planes).withColumn("rows", F.when(rank == 0, 1).when(rank == 1, F.get("shape", F.lit(0))).otherwise(F.get("shape", rank - 2)).cast("long"))
+    heads = heads.withColumn("cols", F.when(rank <= 1, 1).otherwise(F.get("shape", rank - 1)).cast("long"))
+    catalog = heads.withColumn("plane", F.explode(F.when(F.col("planes") > 0, F.sequence(F.lit(0).cast("long"), F.col("planes") - 1)))).withColumn("uuid", N.plane_id(F.col("base_uuid"), F.col("plane"), F.col("planes")))
     catalog = catalog.withColumn("plane_name", N.plane_name(F.col("name"), F.col("plane"), F.col("planes"))).withColumn("block_format", F.lit(fmt))
     catalog.coalesce(1).write.mode("overwrite").parquet(f"{out}/catalog")
-    return spark.read.parquet(f"{out}/catalog")
+    stored = spark.read.parquet(f"{out}/catalog")
+    places = stored.select("name", "path", "plane", "uuid")  # names and ids of one model
+    rows = safetensors.tensors(spark, source, [s for s, _ in wanted]).select("path", "name", "plane", "row", "values").join(F.broadcast(places), ["name", "path", "plane"])
+    flat = B.encode(rows, fmt, carry=("uuid",))
+    flat.repartitionByRange("uuid", "row_group").sortWithinPartitions("uuid", "row_group", "block").write.mode("overwrite").parquet(f"{out}/blocks")
+    _store_tokens(spark, source, out)
+    return stored
+
+
+TOKENS = "id long, token string, embedding_row long, special boolean, special_type string, score double, kind string"
+CONFIG = "architecture string, " + ", ".join(f"{k} long" for k in K.FIELDS)
+
+
+def _store_tokens(spark: SparkSession, source: str, out: str) -> None:
+    """The tables ``tokens`` and ``config`` of a model folder; empty where it has no such files."""
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.{json,tiktoken}").load(source).select("path").collect()
+    names = {r.path.rsplit("/", 1)[-1] for r in listed}
+    if "tokenizer.json" in names or any(n.endswith(".tiktoken") for n in names):
+        tokens = V.read_tokenizer(spark, source)
+        kind = F.lit("tiktoken")
+        if "tokenizer.json" in names:
+            kind = F.lit(spark.read.text(f"{source}/tokenizer.json", wholetext=True).select(F.get_json_object("value", "$.model.type")).first()[0])
+        tokens = tokens.withColumn("kind", kind)
+    else:
+        tokens = spark.createDataFrame([], TOKENS)
+    write_tokens(tokens, f"{out}/tokens")
+    config = K.model_config(spark.read.text(f"{source}/config.json", wholetext=True)) if "config.json" in names else spark.createDataFrame([], CONFIG)
+    config.coalesce(1).write.mode("overwrite").parquet(f"{out}/config")
+
+
+def write_tokens(tokens: DataFrame, path: str) -> None:
+    """A vocabulary with the ``kind`` of its tokenizer, in embedding order."""
+    columns = [c.split()[0] for c in TOKENS.split(", ")]
+    tokens.select(*columns).orderBy("embedding_row", "token").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    found = spark.read.parquet(path)
+    missing = [c.split()[0] for c in TOKENS.split(", ") if c.split()[0] not in found.columns]
+    if missing:
+        raise ValueError(f"{path} is no vocabulary: it lacks {', '.join(missing)}")
+    return found
+
+
+def model_metadata(spark: SparkSession, path: str, special_token_keys: dict | None = None) -> dict:
+    """Keys and values of the container: the model's known fields, and its vocabulary."""
+    config = spark.read.parquet(f"{path}/config")
+    found = {"general.architecture": "llama"}
+    found |= {r.key: int(r.value) if r.value.isdigit() else r.value for r in K.container_metadata(config).collect()}
+    tokens = read_tokens(spark, f"{path}/tokens")
+    if first := tokens.select("kind").first():
+        found |= {r.key: json.loads(r.value) for r in V.container_entries(tokens, first[0], special_token_keys).collect()}
+    return found
 
 
 def open_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/catalog"), spark.read.parquet(f"{path}/blocks")
 
 
+def stored_rows(blocks: DataFrame, fmt: str) -> DataFrame:
+    """(uuid, row, values) of stored single-row blocks, decoded; one shuffle by row."""
+    part = F.col("rows")[0]
+    decoded = blocks.withColumn("v", F.transform(part["codes"], lambda c, i: B.element(part, F.col("scale_log"), i, FORMATS[fmt].bits)))
+    ordered = F.sort_array(F.collect_list(F.struct("block", "v")))
+    return decoded.groupBy("uuid", F.col("row_group").alias("row")).agg(F.flatten(F.transform(ordered, lambda s: s["v"])).alias("values"))
+
+
 def analyze(spark: SparkSession, path: str, high: float = 0.2, medium: float = 0.1) -> DataFrame:
     """(name, container_name, rows, cols, importance, quant_type): the first plane stands for a tensor."""
     catalog, blocks = open_model(spark, path)
@@ -86,7 +145,7 @@ def export_template(spark: SparkSession, path: str, high: float = 0.2, medium: f
 
 
 def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, DataFrame]:
-    """(plan, records): records(name, shard, ordinal, rows, cols, type, seq, bytes as hex), in the plan's order.
+    """(plan, records): records(name in the container, row, k, bytes as hex), ``k`` counting the blocks of a row.
 
     Unknown types are reported in the plan's ``error``; their tensors have no records.
     """
@@ -104,11 +163,7 @@ def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFr
     sized = K.assign_shards(plan.where("bytes is not null").select("ordinal", "bytes"), most)
     plan = plan.join(sized.select("ordinal", "shard"), "ordinal", "left")
 
-    f = FORMATS[fmt]
-    part = F.col("rows")[0]
-    decoded = blocks.withColumn("v", F.transform(part["codes"], lambda c, i: B.element(part, F.col("scale_log"), i, f.bits)))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "v")))
-    values = decoded.groupBy("uuid", F.col("row_group").alias("row")).agg(F.flatten(F.transform(ordered, lambda s: s["v"])).alias("values"))
+    values = stored_rows(blocks, fmt)
     known = catalog.select("uuid", "name", "plane", F.col("rows").alias("plane_rows"))
     rows = values.join(known, "uuid").join(plan.where("error is null").select("name", "actual", "container_type"), "name")
     rows = rows.withColumn("row", F.col("plane") * F.col("plane_rows") + F.col("row"))
@@ -126,9 +181,9 @@ def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFr
         made = part if made is None else made.unionByName(part)
     if made is None:
         raise ValueError("nothing to export")
-    flat = made.select(F.col("key.name").alias("name"), F.struct(F.col("key.row").alias("row"), "k").alias("seq"), "bytes")
-    where = plan.select("name", "target", "shard", "ordinal", "total", "cols", "container_type")
-    return plan, flat.join(where, "name").select(F.col("target").alias("name"), "shard", "ordinal", F.col("total").alias("rows"), "cols", F.col("container_type").alias("type"), "seq", "bytes")
+    flat = made.select(F.col("key.name").alias("source"), F.col("key.row").alias("row"), "k", "bytes")
+    targets = plan.select(F.col("name").alias("source"), F.col("target").alias("name"))
+    return plan, flat.join(F.broadcast(targets), "source").select("name", "row", "k", "bytes")
 
 
 def f32_bits(x):
@@ -145,10 +200,25 @@ def _all():
     return Window.partitionBy(F.lit(0))  # the catalog of one model: names only
 
 
+def layout(plan: DataFrame) -> DataFrame:
+    """plan's tensors as the container has them: (shard, ordinal, name, rows, cols, type, bytes)."""
+    return plan.where("error is null").select("shard", "ordinal", F.col("target").alias("name"), F.col("total").alias("rows"), "cols", F.col("container_type").alias("type"), "bytes")
+
+
 def export_model(spark: SparkSession, path: str, config: dict, folder: str, stem: str = "model", metadata: dict | None = None) -> DataFrame:
     """Container files of all shards in a shared folder; returns (shard, path, tensors, size)."""
     from ..sources.containers import write_shards
 
-    _, records = export_records(spark, path, config)
-    flat = records.withColumn("seq", F.col("seq.row") * 1_000_000 + F.col("seq.k"))
-    return write_shards(flat, folder, stem, {"general.architecture": "llama"} | (metadata or {}))
+    plan, records = export_records(spark, path, config)
+    values = model_metadata(spark, path, config.get("special_token_keys")) | (metadata or {})
+    return write_shards(layout(plan), records, folder, stem, values)
+
+
+def validate(spark: SparkSession, path: str, config: dict, folder: str) -> DataFrame:
+    """(name, ok) of each planned tensor: whether the files in ``folder`` hold it with its shape, type and bytes."""
+    from ..sources.containers import container_tensors
+
+    plan, _ = export_records(spark, path, config)
+    found = container_tensors(spark, folder).select("shard", "name", "rows", "cols", "type", "bytes", "inside")
+    both = layout(plan).join(found, ["shard", "name", "rows", "cols", "type", "bytes"], "left")
+    return both.select("name", F.coalesce("inside", F.lit(False)).alias("ok"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 import json
 import os
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import FORMATS
+from ..functions.dims import FORMATS, GGUF_TYPES
 from ..operators.blocks import bytes_hex
 from ..shipping import ship
 
@@ -112,43 +112,133 @@ def _value(v) -> bytes:
     return struct.pack("<I", 9) + kind + struct.pack("<Q", len(items)) + b"".join(x[4:] for x in items)
 
 
-def write_container(path: str, metadata: dict, tensors: Iterable[tuple[str, list[int], str, bytes]]) -> int:
-    """A container file of (name, dims with columns first, type, bytes); gives its size."""
-    tensors = list(tensors)
+def container_head(metadata: dict, tensors: list[tuple[str, list[int], str, int]]) -> tuple[bytes, list[int], int]:
+    """(head, place of each tensor in the file, size of the file) for (name, dims with columns first, type, bytes)."""
     head = b"GGUF" + struct.pack("<IQQ", 3, len(tensors), len(metadata))
     head += b"".join(_text(k) + _value(v) for k, v in metadata.items())
-    at = 0
-    for name, dims, kind, data in tensors:
+    at, places = 0, []
+    for name, dims, kind, size in tensors:
         head += _text(name) + struct.pack("<I", len(dims)) + b"".join(struct.pack("<Q", d) for d in dims) + struct.pack("<IQ", TYPE_IDS[kind], at)
-        at += -(-len(data) // ALIGN) * ALIGN
-    with open(path, "wb") as f:
-        f.write(head + b"\0" * (-len(head) % ALIGN))
-        for *_, data in tensors:
-            f.write(data + b"\0" * (-len(data) % ALIGN))
-    return os.path.getsize(path)
+        places.append(at)
+        at += -(-size // ALIGN) * ALIGN
+    head += b"\0" * (-len(head) % ALIGN)
+    return head, [len(head) + p for p in places], len(head) + at
 
 
-def write_shards(records: DataFrame, folder: str, stem: str, metadata: dict) -> DataFrame:
-    """One container file for each shard, written by the task that holds it; ``folder`` must be shared.
+def write_shards(plan: DataFrame, records: DataFrame, folder: str, stem: str, metadata: dict) -> DataFrame:
+    """One container file for each shard in ``folder``, which all executors must share; gives (shard, path, tensors, size).
 
-    records(shard, ordinal, name, rows, cols, type, seq, bytes as hex).  Gives (shard, path, tensors, size).
+    plan(shard, ordinal, name, rows, cols, type, bytes) is the catalog of one model; it
+    says where each record lies, so heads are written first and every task then writes
+    its records in their places.  Nothing is gathered by shard, and a task that runs twice
+    writes the same bytes.  records(name, row, k, bytes as hex).
     """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = int(pdf["shard"].iloc[0])
+    tensors = plan.select("shard", "ordinal", "name", "rows", "cols", "type", "bytes").orderBy("shard", "ordinal").collect()
+    places: dict[str, tuple[str, int, int, int]] = {}
+    made, want = [], {}
+    for shard in sorted({t.shard for t in tensors}):
+        own = [t for t in tensors if t.shard == shard]
+        head, at, size = container_head(metadata, [(t.name, [t.cols, t.rows], t.type, t.bytes) for t in own])
         path = os.path.join(folder, f"{stem}-{shard + 1:05d}.gguf")
-        tensors = []
-        for (_, name), t in pdf.sort_values(["ordinal", "seq"]).groupby(["ordinal", "name"], sort=True):
-            first = t.iloc[0]
-            tensors.append((name, [int(first["cols"]), int(first["rows"])], first["type"], bytes.fromhex("".join(t["bytes"]))))
-        temporary = f"{path}.{os.getpid()}"  # a task that runs twice doesn't leave half a file
-        size = write_container(temporary, metadata, tensors)
-        os.replace(temporary, path)
-        return pd.DataFrame([(shard, path, len(tensors), size)], columns=["shard", "path", "tensors", "size"])
-
-    ship(records.sparkSession)
-    return records.groupBy("shard").applyInPandas(one, "shard int, path string, tensors int, size long")
+        with open(path, "wb") as f:
+            f.write(head)
+            f.truncate(size)
+        for t, begin in zip(own, at, strict=True):
+            width = t.bytes // t.rows if t.rows else 0
+            places[t.name] = (path, begin, width, RECORD_BYTES.get(t.type, width))
+        made.append((shard, path, len(own), size))
+        want[path] = sum(t.bytes for t in own)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            written: dict[str, int] = {}
+            parts: dict[str, list[tuple[int, bytes]]] = {}
+            for name, row, k, data in zip(batch["name"], batch["row"], batch["k"], batch["data"], strict=True):
+                path, begin, width, size = places[name]
+                parts.setdefault(path, []).append((begin + row * width + k * size, bytes(data)))
+            for path, found in parts.items():
+                found.sort()
+                file = os.open(path, os.O_WRONLY)
+                try:
+                    at = 0
+                    while at < len(found):
+                        stop, end = at, found[at][0]
+                        while stop < len(found) and found[stop][0] == end:
+                            end += len(found[stop][1])
+                            stop += 1
+                        run = b"".join(x for _, x in found[at:stop])
+                        while run:
+                            n = os.pwrite(file, run, end - len(run))
+                            run = run[n:]
+                        at = stop
+                    os.fsync(file)
+                finally:
+                    os.close(file)
+                written[path] = sum(len(x) for _, x in found)
+            yield pd.DataFrame({"path": list(written), "n": list(written.values())})
+
+    spark = records.sparkSession
+    ship(spark)
+    sent = records.select("name", "row", "k", F.unhex("bytes").alias("data")).mapInPandas(write, "path string, n long")
+    have = {r.path: r.n for r in sent.groupBy("path").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
+    if any(have.get(p, 0) != n for p, n in want.items()):
+        raise ValueError(f"shards hold {have} bytes of records instead of {want}")
+    return spark.createDataFrame(made, "shard int, path string, tensors int, size long")
+
+
+#: Bytes of a record of the block types; half and single floats have one record a row.
+RECORD_BYTES = {container: GGUF_TYPES[t][1] for t in GGUF_TYPES if t not in ("F32", "F16") for container in (t[:-2] if t[-2:] in ("_S", "_M", "_L") and not t.startswith("IQ") else t,)}
+
+
+def _read_value(f, kind: int):
+    if kind == 8:
+        return f.read(struct.unpack("<Q", f.read(8))[0]).decode()
+    if kind == 9:
+        inner, n = struct.unpack("<IQ", f.read(12))
+        return [_read_value(f, inner) for _ in range(n)]
+    form = {0: "B", 1: "b", 2: "H", 3: "h", 4: "I", 5: "i", 6: "f", 7: "?", 10: "Q", 11: "q", 12: "d"}[kind]
+    return struct.unpack(f"<{form}", f.read(struct.calcsize(f"<{form}")))[0]
+
+
+def read_container_head(path: str) -> tuple[dict, list[tuple[str, int, int, str, int, int]]]:
+    """Metadata and (name, rows, cols, type, place of its data in the file, bytes) of each tensor."""
+    names = {v: k for k, v in TYPE_IDS.items()}
+    blocks = {(t[:-2] if t[-2:] in ("_S", "_M", "_L") and not t.startswith("IQ") else t): v for t, v in GGUF_TYPES.items()}
+    with open(path, "rb") as f:
+        if f.read(4) != b"GGUF":
+            raise ValueError(f"{path} is no container")
+        version, n_tensors, n_values = struct.unpack("<IQQ", f.read(20))
+        if version != 3:
+            raise ValueError(f"version {version} can't be read")
+        metadata = {}
+        for _ in range(n_values):
+            key = _read_value(f, 8)
+            metadata[key] = _read_value(f, struct.unpack("<I", f.read(4))[0])
+        found = []
+        for _ in range(n_tensors):
+            name = _read_value(f, 8)
+            (rank,) = struct.unpack("<I", f.read(4))
+            dims = struct.unpack(f"<{rank}Q", f.read(8 * rank))
+            kind, at = struct.unpack("<IQ", f.read(12))
+            found.append((name, dims[1] if rank > 1 else 1, dims[0], names[kind], at))
+        base = -(-f.tell() // ALIGN) * ALIGN
+    out = []
+    for name, rows, cols, kind, at in found:
+        size, held = blocks[kind]
+        out.append((name, rows, cols, kind, base + at, rows * -(-cols // size) * held))
+    return metadata, out
+
+
+def container_tensors(spark, folder: str) -> DataFrame:
+    """(path, shard, name, rows, cols, type, place, bytes, inside) of the container files in a shared folder, heads only."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                size, (_, tensors) = os.path.getsize(path), read_container_head(path)
+                rows = [(path, int(path[-10:-5]) - 1, *t, t[4] + t[5] <= size) for t in tensors]
+                yield pd.DataFrame(rows, columns=["path", "shard", "name", "rows", "cols", "type", "place", "bytes", "inside"])
 
-def hex_bytes(column: str):
-    return F.unhex(F.col(column))
+    ship(spark)
+    paths = sorted(os.path.join(folder, n) for n in os.listdir(folder) if n.endswith(".gguf"))
+    return spark.createDataFrame([(p,) for p in paths], "path string").mapInPandas(run, "path string, shard int, name string, rows long, cols long, type string, place long, bytes long, inside boolean")

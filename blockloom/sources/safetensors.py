@@ -1,9 +1,9 @@
 """Tensor files of the public SafeTensors layout: a length, a JSON header, raw values.
 
-``headers`` and ``tensors`` read through Spark's own file reader, so any store that
-Spark knows will do (one file a row, up to 2 GB).  ``TensorFileSource`` is a Python
-data source for shared mounts: it reads ranges, so headers cost no data and files
-of any size work.
+``TensorFileSource`` is a Python data source for shared mounts: it reads ranges, a
+slice of rows a task, so headers cost no data and files of any size work; ``headers``
+and ``tensors`` use it for paths that are mounted.  Other paths go through Spark's own
+file reader, so any store that Spark knows will do (one file a row, up to 2 GB).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -69,7 +70,22 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return found.select("path", "content")
 
 
+def mounted(path: str) -> str | None:
+    """The local form of a path on a shared mount, or None if only Spark can open it."""
+    local = path.removeprefix("file://")
+    return local if os.path.exists(local) else None
+
+
+def _ranged(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    ship(spark)
+    spark.dataSource.register(TensorFileSource)
+    return spark.read.format("tensorfile").options(**options).load(path)
+
+
 def headers(spark: SparkSession, path: str) -> DataFrame:
+    if local := mounted(path):
+        return _ranged(spark, local, headers="true")
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -83,6 +99,8 @@ def headers(spark: SparkSession, path: str) -> DataFrame:
 
 def tensors(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
     """One row for each matrix row of each tensor (of ``names``, if given)."""
+    if local := mounted(path):
+        return _ranged(spark, local, **({} if names is None else {"names": json.dumps(names)}))
     wanted = None if names is None else set(names)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,16 +129,35 @@ def write(path: str, arrays: dict[str, np.ndarray]) -> None:
         f.write(struct.pack("<Q", len(text)) + text + body)
 
 
+SLICE_BYTES = 16 << 20  #: of a tensor, about, that one task reads
+BATCH_VALUES = 1 << 20  #: values of an Arrow batch, about
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
 
 
+class _Slice(InputPartition):
+    """Rows ``first`` to ``stop`` of a tensor, counted over its planes, that begin at byte ``at``."""
+
+    def __init__(self, path: str, name: str, info: dict, at: int, first: int, stop: int):
+        self.path, self.name, self.info, self.at, self.first, self.stop = path, name, info, at, first, stop
+
+
+def _header_of(path: str) -> tuple[int, dict]:
+    with open(path, "rb") as f:
+        start = f.read(8)
+        (size,) = struct.unpack("<Q", start)
+        return parse_header(start + f.read(size))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path = options["path"]
+        self.path = options["path"].removeprefix("file://")
         self.only_headers = str(options.get("headers", "false")).lower() == "true"
-        self.names = set(options["names"].split(",")) if options.get("names") else None
+        names = options.get("names")
+        self.names = None if not names else set(json.loads(names) if names.startswith("[") else names.split(","))
 
     def partitions(self) -> list[InputPartition]:
         if os.path.isdir(self.path):
@@ -129,23 +166,54 @@ class _Reader(DataSourceReader):
             found = [self.path] if self.path.endswith(".safetensors") else []
         if not found:
             raise FileNotFoundError(f"no .safetensors file in {self.path}")
-        return [_File(p) for p in found]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            start = f.read(8)
-            (size,) = struct.unpack("<Q", start)
-            base, entries = parse_header(start + f.read(size))
+        if self.only_headers:
+            return [_File(p) for p in found]
+        slices = []
+        for path in found:
+            base, entries = _header_of(path)
             for name, e in entries.items():
                 if self.names is not None and name not in self.names:
                     continue
-                a, b = e["data_offsets"]
-                if self.only_headers:
-                    yield partition.path, name, e["dtype"], e["shape"], base + a, base + b
-                    continue
-                f.seek(base + a)
-                for row in rows_of(partition.path, name, e, f.read(b - a)):
-                    yield (*row[:-1], row[-1].tolist())
+                planes, rows, cols = matrix_shape(e["shape"])
+                begin, end = e["data_offsets"]
+                total = planes * rows
+                if total and (end - begin) % total:
+                    raise ValueError(f"{name} has {end - begin} bytes for shape {e['shape']}")
+                width = (end - begin) // total if total else 0
+                step = max(1, SLICE_BYTES // max(width, 1))
+                slices += [_Slice(path, name, e, base + begin + k * width, k, min(k + step, total)) for k in range(0, total, step)]
+        return slices or [_Slice(found[0], "", {}, 0, 0, 0)]
+
+    def read(self, partition: InputPartition) -> Iterator:
+        if self.only_headers:
+            base, entries = _header_of(partition.path)
+            for name, e in entries.items():
+                yield partition.path, name, e["dtype"], e["shape"], base + e["data_offsets"][0], base + e["data_offsets"][1]
+            return
+        yield from _batches(partition)
+
+
+def _batches(s: _Slice) -> Iterator[pa.RecordBatch]:
+    if s.stop == s.first:
+        return
+    planes, rows, cols = matrix_shape(s.info["shape"])
+    begin, end = s.info["data_offsets"]
+    width = (end - begin) // (planes * rows)
+    step = max(1, BATCH_VALUES // max(cols, 1))
+    with open(s.path, "rb") as f:
+        f.seek(s.at)
+        for first in range(s.first, s.stop, step):
+            n = min(step, s.stop - first)
+            values = to_floats(f.read(n * width), s.info["dtype"])
+            if len(values) != n * cols:
+                raise ValueError(f"{s.name} has {len(values)} values in {n} rows of {cols}")
+            if not np.isfinite(values).all():
+                raise ValueError(f"{s.name} has values that aren't finite")
+            at = np.arange(first, first + n)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * cols, cols) if cols else np.zeros(n + 1), pa.int32()), pa.array(values))
+            shape = pa.array([s.info["shape"]] * n, pa.list_(pa.int64()))
+            fixed = [pa.array([x] * n, pa.string()) for x in (s.path, s.name, s.info["dtype"])]
+            yield pa.RecordBatch.from_arrays([*fixed, shape, pa.array(at // rows, pa.int64()), pa.array(at % rows, pa.int64()), lists], names=[c.split()[0] for c in TENSOR.split(", ")])
 
 
 class TensorFileSource(DataSource):

@@ -71,6 +71,59 @@ def test_import_analyze_export(spark, model, tmp_path):
     assert plan.where("error is not null").select("name").collect()[0][0] == "experts"
 
 
+def test_large_tensors_are_read_in_slices(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    arrays = {"a": rng.normal(0, 1, (100, 32)).astype(np.float32), "b": rng.normal(0, 1, (2, 3, 8)).astype(np.float16), "c, d": np.ones(5, np.float32), "none": np.ones((0, 4), np.float32)}
+    safetensors.write(str(tmp_path / "x.safetensors"), arrays)
+    monkeypatch.setattr(safetensors, "SLICE_BYTES", 1000)
+    slices = safetensors._Reader({"path": str(tmp_path)}).partitions()
+    assert max(s.stop - s.first for s in slices) <= 41 and len(slices) > 15
+    rows = [r for s in slices for b in safetensors._batches(s) for r in b.to_pylist()]
+    for name, a in arrays.items():
+        own = [r for r in rows if r["name"] == name]
+        planes, n, cols = safetensors.matrix_shape(list(a.shape))
+        assert [(r["plane"], r["row"]) for r in own] == [(k // n, k % n) for k in range(planes * n)]
+        assert np.allclose([r["values"] for r in own], a.reshape(planes * n, cols)) if own else not a.size
+    got = safetensors.tensors(spark, str(tmp_path), ["c, d", "b"])
+    assert sorted({r.name for r in got.collect()}) == ["b", "c, d"]
+    bad = np.ones((2, 2), np.float32)
+    bad[1, 1] = np.inf
+    safetensors.write(str(tmp_path / "x.safetensors"), {"bad": bad})
+    with pytest.raises(Exception, match="finite"):
+        safetensors.tensors(spark, str(tmp_path)).collect()
+
+
+def test_export_with_vocabulary(spark, model, tmp_path):
+    source, _ = model
+    with open(f"{source}/tokenizer.json", "w") as f:
+        json.dump({"model": {"type": "BPE", "vocab": {"<s>": 0, "a": 1, "</s>": 2}}}, f)
+    with open(f"{source}/tokenizer_config.json", "w") as f:
+        json.dump({"bos_token": "<s>", "eos_token": {"content": "</s>"}}, f)
+    with open(f"{source}/config.json", "w") as f:
+        json.dump({"model_type": "Mistral", "vocab_size": 3, "num_hidden_layers": 2}, f)
+    stored, out = str(tmp_path / "stored"), tmp_path / "out"
+    pipeline.import_model(spark, source, pipeline.import_template(spark, source), stored)
+    assert pipeline.read_tokens(spark, f"{stored}/tokens").count() == 3
+    with pytest.raises(ValueError):
+        pipeline.read_tokens(spark, f"{stored}/catalog")
+    out.mkdir()
+    config = pipeline.export_template(spark, stored)
+    (made,) = pipeline.export_model(spark, stored, config, str(out)).collect()
+    metadata, tensors = containers.read_container_head(made.path)
+    assert metadata["general.architecture"] == "llama" and metadata["llama.block_count"] == 2
+    assert metadata["tokenizer.ggml.tokens"] == ["<s>", "a", "</s>"] and metadata["tokenizer.ggml.bos_token_id"] == 0
+    assert pipeline.validate(spark, stored, config, str(out)).where("not ok").count() == 0
+    (place,) = [t[4] for t in tensors if t[0] == "blk.0.ffn_up.weight"]
+    raw = open(made.path, "rb").read()
+    back = [np.frombuffer(raw[place + 34 * k : place + 34 * k + 2], "<f2")[0].astype(float) * np.frombuffer(raw[place + 34 * k + 2 : place + 34 * k + 34], np.int8) for k in range(16)]
+    catalog, blocks = pipeline.open_model(spark, stored)
+    own = pipeline.stored_rows(blocks, "B8x8").join(catalog.where("name like '%up_proj%'"), "uuid").orderBy("row").collect()
+    want = np.array([r["values"] for r in own]).reshape(16, 32)
+    assert np.abs(np.array(back) - want).max() <= np.abs(want).max() / 127
+    os.truncate(made.path, made.size - 16)
+    assert pipeline.validate(spark, stored, config, str(out)).where("not ok").count() == 1
+
+
 def test_block_files(spark, tmp_path):
     rng = np.random.default_rng(6)
     rows = spark.createDataFrame([(r, np.where(rng.random(20) < 0.5, 0, rng.normal(0, 1, 20)).tolist()) for r in range(3)], "row long, values array<double>")
