@@ -1,7 +1,8 @@
 """Words of whole text columns as 64-bit codes, found by array operations on UTF-8 bytes.
 
-A code is a keyed polynomial over the lower-cased bytes of a word, so equal
-words have equal codes and different words differ but for a 2**-64 chance.
+A code is a keyed polynomial, modulo 2**64, over the lower-cased bytes of a word.
+Equal words have equal codes; different words of texts that weren't made to collide
+differ but for a chance near 2**-64.
 """
 
 from __future__ import annotations

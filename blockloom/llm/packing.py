@@ -16,6 +16,7 @@ result; columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +28,9 @@ from pyspark.sql import functions as F
 from ._bpe import encoder, release
 from ._shared import chunks, materialize, ship, sieve, sieved, text_buffers
 
-MAX_PIVOTS = 4000  #: of the simplex method; any basis on the way is a valid packing
+MAX_PIVOTS = 4000  #: of the simplex method; any basis on the way is a valid packing, and what it lacks is reported
 LP_GAP = 0.001  #: the program counts as solved within this share of its lower bound
+LOG = logging.getLogger(__name__)
 
 PIECES = "row_key string, doc_tokens long, all_crc32 long, pid int, full_before long, full_crc32 array<long>, tail int, tail_crc32 long"
 
@@ -131,10 +133,12 @@ def fill_greedily(sizes: np.ndarray, left: np.ndarray, capacity: int) -> list[tu
     return made
 
 
-def column_generation(counts: dict[int, int], capacity: int, max_pivots: int = MAX_PIVOTS, gap: float = LP_GAP) -> list[tuple[dict[int, int], int]]:
+def column_generation(counts: dict[int, int], capacity: int, max_pivots: int = MAX_PIVOTS, gap: float = LP_GAP, reached: dict | None = None) -> list[tuple[dict[int, int], int]]:
     """Patterns {size: number} of which each fills ``capacity`` exactly, with whole multiplicities.
 
-    Together they use no size more often than ``counts`` has it.
+    Together they use no size more often than ``counts`` has it.  ``reached`` gets the
+    pivots, the program's value, its lower bound (the better one of the total size and
+    the duals scaled by the best pattern's price) and whether it is solved.
     """
     sizes = np.array(sorted(s for s, n in counts.items() if n > 0 and 0 < s < capacity), np.int64)
     if not len(sizes):
@@ -147,9 +151,13 @@ def column_generation(counts: dict[int, int], capacity: int, max_pivots: int = M
     while pivots < max_pivots and x.sum() - bound > gap * bound:
         if not waiting:
             # Every pattern costs one sequence, so the dual prices are the column sums of the inverse.
-            waiting = knapsack(sizes, inverse.sum(axis=0), capacity)[::-1]
+            prices = inverse.sum(axis=0)
+            waiting = knapsack(sizes, prices, capacity)[::-1]
             if not waiting:
-                break  # optimal
+                bound = float(x.sum())  # optimal
+                break
+            # No pattern is worth more than the best one, so prices over its worth are feasible duals.
+            bound = max(bound, float(prices @ demand) / max(float(prices @ waiting[-1]), 1.0))
         column = waiting.pop()
         used = np.flatnonzero(column)
         if (inverse[:, used].sum(axis=0) * column[used]).sum() <= 1 + 1e-9:
@@ -171,6 +179,8 @@ def column_generation(counts: dict[int, int], capacity: int, max_pivots: int = M
         inverse[np.ix_(rows, touched)] -= np.outer(move[rows], row[touched])
         basis[:, out] = column
         pivots += 1
+    if reached is not None:
+        reached |= {"pivots": pivots, "value": float(x.sum()), "bound": bound, "solved": bool(x.sum() - bound <= gap * bound + 1e-9)}
     left, chosen = demand.astype(np.int64).copy(), []
 
     def choose(pattern: np.ndarray, times: int) -> None:
@@ -228,7 +238,9 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 1024, end_id: int =
     base = materialize(document_pieces(docs, tokenizer_path, length, end_id, id_col, text_col), "pack-pieces")
     tails = base.filter("tail > 0")
     counts = {r[0]: r[1] for r in tails.groupBy("tail").count().collect()}  # at most length - 1 rows
-    table = slot_table(column_generation(counts, length), counts, length)
+    reached: dict = {}
+    table = slot_table(column_generation(counts, length, reached=reached), counts, length)
+    LOG.info("packing %d tails of %d lengths: %s", sum(counts.values()), len(counts), reached)
 
     # Ranks within a tail length: range-partitioned, so a common length spreads over partitions.
     def local_rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

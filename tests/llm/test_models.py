@@ -69,6 +69,47 @@ def test_column_generation_uses_what_is_there():
     assert packing.column_generation({}, 100) == []
 
 
+def test_column_generation_against_the_optimum():
+    """Small programs against the best of all bases of all patterns."""
+    import itertools
+    import random
+
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(8):
+        capacity = r.randint(6, 11)
+        counts = {s: r.randint(1, 60) for s in r.sample(range(1, capacity), r.randint(2, 4))}
+        reached = {}
+        packing.column_generation(counts, capacity, gap=0.0, reached=reached)
+        sizes = sorted(counts)
+        patterns = [p for p in itertools.product(*[range(capacity // s + 1) for s in sizes]) if 0 < sum(a * b for a, b in zip(p, sizes)) <= capacity]
+        assert reached["solved"] and reached["value"] - reached["bound"] <= 1e-6 * max(1, reached["bound"])
+        best = _least_cover(np.array(patterns, float), np.array([counts[s] for s in sizes], float))
+        assert abs(best - reached["value"]) < 1e-6 * max(1, best)
+
+
+def _least_cover(patterns, demand):
+    """Least total weight of patterns that cover the demand: all bases of a small program, tried one by one."""
+    import itertools
+
+    import numpy as np
+
+    # Only patterns that no other one contains can be needed.
+    top = np.array([p for p in patterns if not any((q >= p).all() and (q > p).any() for q in patterns)])
+    columns = np.vstack((top, -np.eye(len(demand))))
+    cost = np.append(np.ones(len(top)), np.zeros(len(demand)))
+    best = np.inf
+    for base in itertools.combinations(range(len(columns)), len(demand)):
+        matrix = columns[list(base)].T
+        if abs(np.linalg.det(matrix)) < 1e-9:
+            continue
+        x = np.linalg.solve(matrix, demand)
+        if (x >= -1e-9).all():
+            best = min(best, float(cost[list(base)] @ x))
+    return best
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><header>Site</header><nav><a>Menu</a></nav>
 <div class="ad">Buy</div><article><h1>Head &amp; more</h1><p>One <b>two</b>
  three&nbsp;four<br>five<p>Next &lt;p&gt;<!-- no --><div class="comments">first!</div><ul><li>a<li>b</ul></article><footer>End</footer></body></html>"""
@@ -176,6 +217,34 @@ def test_shards(spark, docs, nothing):
     assert sharding.report(nothing).count() == 0
 
 
+def test_shards_against_a_walk_round_the_ring(spark, docs):
+    """Row by row: own shard while it has room, then on clockwise to the next one that has."""
+    same = spark.range(90).selectExpr("7L as doc_id", "'the same row' as text")
+    df = docs.select("doc_id", "text").unionByName(same)
+    rows = [tuple(r) for r in sharding.assign(df).collect()]
+    points = sharding.ring_points(16, 64)
+    places = [p for p, _ in points]
+    room, used = sharding.capacities(len(rows), 16), [0] * 16
+    arcs, want, over = defaultdict(list), [], []
+    import bisect
+
+    for doc, size, crc, place, _, _ in rows:
+        arcs[bisect.bisect_left(places, place) % len(points)].append((place, doc, crc, size))
+
+    def take(shard, row):
+        want.append((row[1], row[3], row[2], row[0], shard, used[shard]))
+        used[shard] += 1
+
+    for arc in range(len(points)):
+        for row in sorted(arcs[arc]):
+            shard = points[arc][1]
+            take(shard, row) if used[shard] < room[shard] else over.append((arc, row))
+    for arc, row in over:
+        take(next(s for k in range(1, len(points) + 1) for s in [points[(arc + k) % len(points)][1]] if used[s] < room[s]), row)
+    assert Counter(rows) == Counter(want)
+    assert len(over) > 20
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from blockloom.llm._shared import materialize
