@@ -153,8 +153,17 @@ def check_block_count(blocks: DataFrame, format: str, rows: int, cols: int) -> D
 
 
 def column_index(rows: DataFrame, format: str, row: str = "row", values: str = "values") -> DataFrame:
-    """The column-major copy: the transposed matrix, encoded; one shuffle by column."""
-    flat = rows.select(F.col(row).alias("r"), F.posexplode(values).alias("c", "v"))
-    size = flat.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("r", "v"))).alias("x"))
-    columns = size.select(F.col("c").cast("long").alias("row"), F.transform("x", lambda s: s["v"]).alias("values"))
-    return encode(columns, format).withColumnRenamed("row_group", "col")
+    """The column-major copy: (col, block, scale_log, rows), blocks of the rows of each column.
+
+    One shuffle by column and run of rows, so a column of any length is made in blocks;
+    ``row`` counts from 0, and rows that are missing count as zeros.
+    """
+    f = FORMATS[format]
+    flat = rows.select(F.floor(F.col(row) / f.size).cast("long").alias("tile"), (F.col(row) % f.size).cast("int").alias("i"), F.posexplode(values).alias("c", "v"))
+    tiles = flat.groupBy("c", "tile").agg(F.map_from_entries(F.collect_list(F.struct("i", "v"))).alias("x"), F.max("i").alias("last"))
+    dense = F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.coalesce(F.element_at("x", i), F.lit(0.0)))
+    width = 1 << 32  # a key of tile and column that keeps neighbouring columns together
+    made = encode(tiles.select((F.col("tile") * width + F.col("c")).alias("row"), dense.alias("values")), format)
+    if f.dual:
+        width >>= 1
+    return made.select((F.col("row_group") % width).alias("col"), F.floor(F.col("row_group") / width).cast("int").alias("block"), "scale_log", "rows")

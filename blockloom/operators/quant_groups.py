@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codec as C
 from ..functions.dims import FLOAT_TYPES, INT_TYPES
+from .stats import exact_median
 
 GROUP = 128
 
@@ -20,8 +21,9 @@ def global_scale(rows: DataFrame, dtype: str, clip: float = 0.0, values: str = "
     if dtype not in INT_TYPES:
         return 1.0
     logs = rows.select(F.explode(values).alias("x")).where("x <> 0").select(F.log2(F.abs("x")).alias("l"))
-    r = logs.agg(F.median("l").alias("m"), (F.max("l") - F.min("l")).alias("r")).first()
-    return 1.0 if r.m is None else 2.0 ** ((r.m if center is None else center) + r.r / 2 * (1 - clip)) / INT_TYPES[dtype][2]
+    r = logs.agg((F.max("l") - F.min("l")).alias("r")).first()
+    middle = exact_median(logs, "l") if center is None else center
+    return 1.0 if r.r is None else 2.0 ** (middle + r.r / 2 * (1 - clip)) / INT_TYPES[dtype][2]
 
 
 def float_round(x: Column, dtype: str) -> Column:

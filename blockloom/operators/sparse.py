@@ -34,14 +34,16 @@ def to_csr(rows: DataFrame, row: str = "row", values: str = "values", log: bool
     return with_running_start(packed, "row", "nnz", "row_ptr")
 
 
-def with_running_start(df: DataFrame, order: str, amount: str, name: str, span: int = 4096) -> DataFrame:
-    """Adds the sum of ``amount`` over all smaller ``order``."""
-    df = df.withColumn("_span", F.floor(F.col(order) / span))
-    spans = df.groupBy("_span").agg(F.sum(amount).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = spans.select("_span", before.alias("_before"))  # one row for ``span`` rows
-    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_span").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return df.join(spans, "_span").withColumn(name, (F.col("_before") + inside).cast("long")).drop("_span", "_before")
+def with_running_start(df: DataFrame, order: str, amount: str, name: str, span: int = 4096, levels: int = 2) -> DataFrame:
+    """Adds the sum of ``amount`` over all smaller ``order``: within spans, spans of spans, and over a last table of one row for ``span ** levels``."""
+    if not levels:
+        before = F.coalesce(F.sum(amount).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        return df.withColumn(name, before.cast("long"))
+    key, total, start = f"_span{levels}", f"_sum{levels}", f"_start{levels}"
+    df = df.withColumn(key, F.floor(F.col(order) / span))
+    spans = with_running_start(df.groupBy(key).agg(F.sum(amount).alias(total)), key, total, start, span, levels - 1).drop(total)
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return df.join(spans, key).withColumn(name, (F.col(start) + inside).cast("long")).drop(key, start)
 
 
 def coo_to_csr(coo: DataFrame, n_rows: int) -> DataFrame:

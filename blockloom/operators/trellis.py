@@ -118,26 +118,31 @@ def top_states(offset: np.ndarray, k: int = KEPT) -> np.ndarray:
 
 
 def dual_states(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Coupled states of two rows of one block each, from the eight nearest of each element."""
-    steps = len(a)
+    """Coupled states of two rows of blocks, a[block, element] and b, from the eight nearest of each element."""
+    n, steps = a.shape
     ka, kb = top_states(a), top_states(b)
     grid = np.arange(STATES) / (STATES - 1)
+    pairs_a, pairs_b = np.repeat(ka, KEPT, axis=2), np.tile(kb, (1, 1, KEPT))  # block, step, pair of states
     total, back = None, []
     for k in range(steps):
-        sa, sb = np.repeat(ka[k], KEPT), np.tile(kb[k], KEPT)
-        cost = (a[k] - grid[sa]) ** 2 + (b[k] - grid[sb]) ** 2 + COUPLING * np.abs(grid[sa] - grid[sb])
+        ga, gb = grid[pairs_a[:, k]], grid[pairs_b[:, k]]
+        cost = (a[:, k, None] - ga) ** 2 + (b[:, k, None] - gb) ** 2 + COUPLING * np.abs(ga - gb)
         if total is not None:
-            move = SMOOTH * (np.abs(grid[sa][:, None] - grid[pa][None, :]) + np.abs(grid[sb][:, None] - grid[pb][None, :])) + total[None, :]
-            back.append(move.argmin(axis=1))
-            cost = cost + move.min(axis=1)
-        total, pa, pb = cost, sa, sb
-    at, path = int(total.argmin()), []
+            move = SMOOTH * (np.abs(ga[:, :, None] - pa[:, None, :]) + np.abs(gb[:, :, None] - pb[:, None, :])) + total[:, None, :]
+            best = move.argmin(axis=2)
+            back.append(best)
+            cost = cost + np.take_along_axis(move, best[:, :, None], axis=2)[:, :, 0]
+        total, pa, pb = cost, ga, gb
+    rows, at = np.arange(n), total.argmin(axis=1)
+    first, second = np.empty((n, steps), np.int64), np.empty((n, steps), np.int64)
     for k in range(steps - 1, -1, -1):
-        path.append((int(np.repeat(ka[k], KEPT)[at]), int(np.tile(kb[k], KEPT)[at])))
+        first[:, k], second[:, k] = pairs_a[rows, k, at], pairs_b[rows, k, at]
         if k:
-            at = int(back[k - 1][at])
-    first, second = zip(*reversed(path), strict=True)
-    return np.array(first), np.array(second)
+            at = back[k - 1][rows, at]
+    return first, second
+
+
+DUAL_BLOCKS = 256  #: blocks that the coupled program takes at once: 64 x 64 moves of each
 
 
 def trellis_dual(rows: DataFrame, threshold: float = 1.0, row: str = "row", values: str = "values", size: int = 16) -> DataFrame:
@@ -146,11 +151,15 @@ def trellis_dual(rows: DataFrame, threshold: float = 1.0, row: str = "row", valu
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for pair, block, x, y in zip(batch["pair"], batch["block"], batch["x"], batch["y"], strict=True):
-                x, y = np.asarray(x, float), np.asarray(y, float)
-                scale = max(min(np.abs(x).max() / (STATES - 1), np.abs(y).max() / (STATES - 1)), 1e-6)
-                a, b = dual_states(np.clip(np.abs(x) / (scale * (STATES - 1)), 0, 1), np.clip(np.abs(y) / (scale * (STATES - 1)), 0, 1))
-                out.append((pair, block, scale, a.astype(np.int32), b.astype(np.int32), int(np.abs(a - b).mean() <= threshold)))
+            for _, own in batch.groupby(batch["x"].map(len)):  # a block is shorter only at the end of a row
+                for at in range(0, len(own), DUAL_BLOCKS):
+                    part = own.iloc[at : at + DUAL_BLOCKS]
+                    x, y = np.abs(np.stack(part["x"].to_list())), np.abs(np.stack(part["y"].to_list()))
+                    scale = np.maximum(np.minimum(x.max(axis=1), y.max(axis=1)) / (STATES - 1), 1e-6)
+                    unit = scale[:, None] * (STATES - 1)
+                    a, b = dual_states(np.clip(x / unit, 0, 1), np.clip(y / unit, 0, 1))
+                    redundant = np.abs(a - b).mean(axis=1) <= threshold
+                    out += list(zip(part["pair"], part["block"], scale, a.astype(np.int32), b.astype(np.int32), redundant.astype(int), strict=True))
             yield pd.DataFrame(out, columns=["pair", "block", "scale", "states_a", "states_b", "redundant"])
 
     from ..functions.codec import slices

@@ -206,6 +206,52 @@ def test_smooth_path_is_optimal():
         assert abs(price(c, p.tolist()) - best) < 1e-9
 
 
+def test_dual_states_are_optimal():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    a, b = rng.random((6, 2)), rng.random((6, 2))
+    first, second = R.dual_states(a, b)
+    grid = np.arange(R.STATES) / (R.STATES - 1)
+
+    def price(k, s, t):
+        own = sum((a[k, i] - grid[s[i]]) ** 2 + (b[k, i] - grid[t[i]]) ** 2 + R.COUPLING * abs(grid[s[i]] - grid[t[i]]) for i in range(2))
+        return own + R.SMOOTH * (abs(grid[s[1]] - grid[s[0]]) + abs(grid[t[1]] - grid[t[0]]))
+
+    for k in range(6):
+        ka, kb = R.top_states(a[k]), R.top_states(b[k])
+        best = min(price(k, s, t) for s in itertools.product(*ka.tolist()) for t in itertools.product(*kb.tolist()))
+        assert abs(price(k, first[k], second[k]) - best) < 1e-12
+
+
+def test_exact_median(spark):
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 501, 1000):
+        x = np.round(rng.normal(0, 3, n), 2)
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "l double")
+        assert abs(T.exact_median(df, "l") - float(np.median(x))) < 1e-12
+    assert T.exact_median(df.limit(0), "l") is None
+
+
+def test_running_start_over_many_spans(spark):
+    df = spark.range(1000).selectExpr("id as row", "id % 7 as nnz")
+    got = S.with_running_start(df, "row", "nnz", "at", span=10).orderBy("row").collect()
+    want = np.append(0, np.cumsum([r.nnz for r in got]))[:-1]
+    assert [r["at"] for r in got] == want.tolist()
+
+
+def test_column_index_in_tiles(spark):
+    rng = np.random.default_rng(7)
+    x = np.where(rng.random((37, 5)) < 0.3, 0, rng.normal(0, 1, (37, 5)))
+    rows = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "row long, values array<double>")
+    turned = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x.T)], "row long, values array<double>")
+    for fmt in ("B8x8", "B16x4", "DualRow8x8"):
+        own = B.column_index(rows, fmt).select("col", "block", "scale_log", "rows")
+        want = B.encode(turned, fmt).select("row_group", "block", "scale_log", "rows")
+        key = lambda df: sorted((tuple(r)[:2], str(tuple(r)[2:])) for r in df.collect())
+        assert key(own) == key(want)
+
+
 def test_top_states():
     assert R.top_states(np.array([0.0]))[0].tolist() == list(range(8))
     assert R.top_states(np.array([1.0]))[0].tolist() == list(range(15, 7, -1))
