@@ -260,7 +260,7 @@ def export_files(spark, sf_dir):
 
 @query("export_bytes", f"with {EMBZ.replace('abs(x) < 0.05e0', 'false')}, z as (select * from m where (r // {FILE_ROWS}) % 2 = 0), s as (select r as sr, c // 32 as sb, {sql_f16('(max(abs(v)) / 127)')} as d from z group by r, c // 32) select 'blk.' || (sr // {FILE_ROWS}) || '.ffn_down.weight' as name, sr % {FILE_ROWS} as row, cast(sb as integer) as k, true as same from s")
 def export_bytes(spark, sf_dir):
-    """The bytes in the files against records made straight from the stored rows."""
+    """The bytes in the files against records that the column expressions make from the stored rows."""
     import os
 
     from ..sources import containers
@@ -269,7 +269,6 @@ def export_bytes(spark, sf_dir):
     folder = _stored(spark, sf_dir)
     os.makedirs(f"{folder}/out")
     config = pipeline.export_template(spark, f"{folder}/stored")
-    _, records = pipeline.export_records(spark, f"{folder}/stored", config)
     pipeline.export_model(spark, f"{folder}/stored", config, f"{folder}/out")
 
     def read(batches):
@@ -284,7 +283,10 @@ def export_bytes(spark, sf_dir):
             yield pd.DataFrame(rows, columns=["name", "row", "k", "held"])
 
     held = containers.container_tensors(spark, f"{folder}/out").where("type = 'Q8_0' and name like '%ffn_down%'").select("path", "name", "rows", "cols", "place").mapInPandas(read, "name string, row long, k int, held string")
-    made = records.select("name", "row", "k", F.upper("bytes").alias("bytes"))
+    catalog, blocks = pipeline.open_model(spark, f"{folder}/stored")
+    named = catalog.where("name like '%down_proj%'").select("uuid", F.regexp_replace(F.regexp_replace("name", "model.layers", "blk"), "mlp.down_proj", "ffn_down").alias("name"))
+    rows = pipeline.stored_rows(blocks, "B8x8").join(F.broadcast(named), "uuid").select(F.struct("name", "row").alias("row"), "values")
+    made = G.records(G.legacy(rows, "Q8_0"), "Q8_0").select("row.name", "row.row", F.col("block").alias("k"), F.upper("bytes").alias("bytes"))
     return held.join(made, ["name", "row", "k"]).select("name", "row", "k", (F.col("held") == F.col("bytes")).alias("same"))
 
 

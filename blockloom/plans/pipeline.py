@@ -1,7 +1,7 @@
 """Import and export of models as DataFrame pipelines.
 
 A stored model is a folder of Parquet tables: ``catalog`` (one row a plane),
-``blocks`` (sorted by tensor and row), ``tokens`` and ``config``.  Import makes the
+``blocks`` (runs of a tensor's rows, in order), ``tokens`` and ``config``.  Import makes the
 catalog from headers and is one job from tensor files to blocks; analysis reads masks
 only; export quantizes the decoded rows, whose places in the shards the plan knows.
 """
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions import naming as N
 from ..functions.dims import FORMATS
 from ..operators import blocks as B
+from ..operators import blocks_arrow as BA
 from ..operators import catalog as K
-from ..operators import gguf as G
+from ..operators import gguf_arrow as GA
 from ..operators import stats as T
 from ..operators import tokens as V
 from ..sources import safetensors
@@ -61,8 +62,8 @@ def import_model(spark: SparkSession, source: str, config: dict, out: str) -> Da
     stored = spark.read.parquet(f"{out}/catalog")
     places = stored.select("name", "path", "plane", "uuid")  # names and ids of one model
     rows = safetensors.tensors(spark, source, [s for s, _ in wanted]).select("path", "name", "plane", "row", "values").join(F.broadcast(places), ["name", "path", "plane"])
-    flat = B.encode(rows, fmt, carry=("uuid",))
-    flat.repartitionByRange("uuid", "row_group").sortWithinPartitions("uuid", "row_group", "block").write.mode("overwrite").parquet(f"{out}/blocks")
+    flat = BA.encode(rows, fmt, carry=("uuid",))
+    flat.write.mode("overwrite").parquet(f"{out}/blocks")  # each task has a run of a tensor's rows, in order
     _store_tokens(spark, source, out)
     return stored
 
@@ -119,10 +120,7 @@ def open_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def stored_rows(blocks: DataFrame, fmt: str) -> DataFrame:
     """(uuid, row, values) of stored single-row blocks, decoded; one shuffle by row."""
-    part = F.col("rows")[0]
-    decoded = blocks.withColumn("v", F.transform(part["codes"], lambda c, i: B.element(part, F.col("scale_log"), i, FORMATS[fmt].bits)))
-    ordered = F.sort_array(F.collect_list(F.struct("block", "v")))
-    return decoded.groupBy("uuid", F.col("row_group").alias("row")).agg(F.flatten(F.transform(ordered, lambda s: s["v"])).alias("values"))
+    return BA.decode(blocks, fmt, ("uuid",))
 
 
 def analyze(spark: SparkSession, path: str, high: float = 0.2, medium: float = 0.1) -> DataFrame:
@@ -145,7 +143,7 @@ def export_template(spark: SparkSession, path: str, high: float = 0.2, medium: f
 
 
 def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, DataFrame]:
-    """(plan, records): records(name in the container, row, k, bytes as hex), ``k`` counting the blocks of a row.
+    """(plan, records): records(name in the container, row, data), the bytes of each row.
 
     Unknown types are reported in the plan's ``error``; their tensors have no records.
     """
@@ -167,31 +165,11 @@ def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFr
     known = catalog.select("uuid", "name", "plane", F.col("rows").alias("plane_rows"))
     rows = values.join(known, "uuid").join(plan.where("error is null").select("name", "actual", "container_type"), "name")
     rows = rows.withColumn("row", F.col("plane") * F.col("plane_rows") + F.col("row"))
-    made = None
-    types = [r[0] for r in plan.where("error is null").select("container_type").distinct().collect()]  # at most one a type
-    for t in sorted(types):
-        own = rows.where(F.col("container_type") == t).withColumn("key", F.struct("name", "row"))
-        if t in ("F32", "F16"):
-            body = F.concat_ws("", F.transform("values", lambda x: B.C.hex_le(B.C.f16_bits(B.C.f16(x)), 2))) if t == "F16" else F.concat_ws("", F.transform("values", lambda x: F.hex(F.reverse(F.to_binary(F.lpad(F.hex(f32_bits(x)), 8, "0"), F.lit("hex"))))))
-            part = own.select("key", F.lit(0).alias("k"), body.alias("bytes"))
-        elif t in G.SYMMETRIC or t in G.AFFINE:
-            part = G.records(G.legacy(own, t, "key"), t).select(F.col("row").alias("key"), F.col("block").alias("k"), "bytes")
-        else:
-            part = G.records(G.superblocks(own, t, "key"), t).select(F.col("row").alias("key"), F.col("sb").alias("k"), "bytes")
-        made = part if made is None else made.unionByName(part)
-    if made is None:
+    if plan.where("error is null").limit(1).count() == 0:
         raise ValueError("nothing to export")
-    flat = made.select(F.col("key.name").alias("source"), F.col("key.row").alias("row"), "k", "bytes")
+    made = GA.records(rows.select("name", "row", F.col("container_type").alias("type"), "values"))
     targets = plan.select(F.col("name").alias("source"), F.col("target").alias("name"))
-    return plan, flat.join(F.broadcast(targets), "source").select("name", "row", "k", "bytes")
-
-
-def f32_bits(x):
-    """The 32 bits of a number that is already a single float; zero and normal numbers."""
-    mag = F.abs(x)
-    e = F.floor(F.log2(mag)).cast("double")
-    bits = F.when(mag == 0, F.lit(0.0)).otherwise((e + 127) * 8388608.0 + F.round((mag * F.pow(F.lit(2.0), -e) - 1) * 8388608.0))
-    return (bits + F.when(x < 0, 2147483648.0).otherwise(0.0)).cast("long")
+    return plan, made.withColumnRenamed("name", "source").join(F.broadcast(targets), "source").select("name", "row", "data")
 
 
 def _all():

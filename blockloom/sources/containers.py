@@ -131,10 +131,10 @@ def write_shards(plan: DataFrame, records: DataFrame, folder: str, stem: str, me
     plan(shard, ordinal, name, rows, cols, type, bytes) is the catalog of one model; it
     says where each record lies, so heads are written first and every task then writes
     its records in their places.  Nothing is gathered by shard, and a task that runs twice
-    writes the same bytes.  records(name, row, k, bytes as hex).
+    writes the same bytes.  records(name, row, data), the bytes of each row.
     """
     tensors = plan.select("shard", "ordinal", "name", "rows", "cols", "type", "bytes").orderBy("shard", "ordinal").collect()
-    places: dict[str, tuple[str, int, int, int]] = {}
+    places: dict[str, tuple[str, int, int]] = {}
     made, want = [], {}
     for shard in sorted({t.shard for t in tensors}):
         own = [t for t in tensors if t.shard == shard]
@@ -145,7 +145,7 @@ def write_shards(plan: DataFrame, records: DataFrame, folder: str, stem: str, me
             f.truncate(size)
         for t, begin in zip(own, at, strict=True):
             width = t.bytes // t.rows if t.rows else 0
-            places[t.name] = (path, begin, width, RECORD_BYTES.get(t.type, width))
+            places[t.name] = (path, begin, width)
         made.append((shard, path, len(own), size))
         want[path] = sum(t.bytes for t in own)
 
@@ -153,9 +153,11 @@ def write_shards(plan: DataFrame, records: DataFrame, folder: str, stem: str, me
         for batch in batches:
             written: dict[str, int] = {}
             parts: dict[str, list[tuple[int, bytes]]] = {}
-            for name, row, k, data in zip(batch["name"], batch["row"], batch["k"], batch["data"], strict=True):
-                path, begin, width, size = places[name]
-                parts.setdefault(path, []).append((begin + row * width + k * size, bytes(data)))
+            for name, row, data in zip(batch["name"], batch["row"], batch["data"], strict=True):
+                path, begin, width = places[name]
+                if len(data) != width:
+                    raise ValueError(f"row {row} of {name} has {len(data)} bytes instead of {width}")
+                parts.setdefault(path, []).append((begin + row * width, bytes(data)))
             for path, found in parts.items():
                 found.sort()
                 file = os.open(path, os.O_WRONLY)
@@ -179,17 +181,13 @@ def write_shards(plan: DataFrame, records: DataFrame, folder: str, stem: str, me
 
     spark = records.sparkSession
     ship(spark)
-    sent = records.select("name", "row", "k", F.unhex("bytes").alias("data")).mapInPandas(write, "path string, n long")
+    sent = records.select("name", "row", "data").mapInPandas(write, "path string, n long")
     have = {r.path: r.n for r in sent.groupBy("path").agg(F.sum("n").alias("n")).collect()}  # a row for each shard
     if any(have.get(p, 0) != n for p, n in want.items()):
         raise ValueError(f"shards hold {have} bytes of records instead of {want}")
     return spark.createDataFrame(made, "shard int, path string, tensors int, size long")
 
 
-#: Bytes of a record of the block types; half and single floats have one record a row.
-RECORD_BYTES = {container: GGUF_TYPES[t][1] for t in GGUF_TYPES if t not in ("F32", "F16") for container in (t[:-2] if t[-2:] in ("_S", "_M", "_L") and not t.startswith("IQ") else t,)}
-
-
 def _read_value(f, kind: int):
     if kind == 8:
         return f.read(struct.unpack("<Q", f.read(8))[0]).decode()

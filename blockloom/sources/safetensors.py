@@ -129,8 +129,8 @@ def write(path: str, arrays: dict[str, np.ndarray]) -> None:
         f.write(struct.pack("<Q", len(text)) + text + body)
 
 
-SLICE_BYTES = 16 << 20  #: of a tensor, about, that one task reads
-BATCH_VALUES = 1 << 20  #: values of an Arrow batch, about
+SLICE_BYTES = 4 << 20  #: of a tensor, about, that one task reads
+BATCH_VALUES = 1 << 18  #: values of an Arrow batch, about
 
 
 class _File(InputPartition):

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks as B
+from ..operators import blocks_arrow
 from ..shipping import ship
 from ..sources.safetensors import TENSOR, parse_header, rows_of
 
@@ -36,8 +36,7 @@ def import_new_files(spark: SparkSession, source: str, out: str, checkpoint: str
 
     def keep(batch: DataFrame, number: int) -> None:
         rows = batch.select("path", "content").mapInPandas(_tensors, TENSOR)
-        keyed = rows.select(F.struct("name", "plane", "row").alias("row"), "values")
-        made = B.encode(keyed, format).select("row_group.name", "row_group.plane", F.col("row_group.row").alias("row"), "block", "scale_log", "rows")
+        made = blocks_arrow.encode(rows, format, carry=("name", "plane")).select("name", "plane", F.col("row_group").alias("row"), "block", "scale_log", "rows")
         made.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = files.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

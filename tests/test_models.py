@@ -240,6 +240,47 @@ def test_running_start_over_many_spans(spark):
     assert [r["at"] for r in got] == want.tolist()
 
 
+@pytest.mark.parametrize("fmt", ["B8x4", "B8x8", "B16x4", "B16x8"])
+def test_arrow_codec_makes_the_same_blocks(spark, fmt):
+    from blockloom.operators import blocks_arrow
+
+    rng = np.random.default_rng(11)
+    rows = [(k, f"t{k % 3}", np.where(rng.random(n) < 0.3, 0, rng.normal(0, 10.0 ** rng.integers(-4, 4), n)).tolist()) for k, n in enumerate([0, 1, 7, 8, 9, 16, 33, 64, 64, 64])]
+    rows += [(10, "t0", [0.0] * 20), (11, "t1", [2.0**k for k in range(-8, 9)])]
+    df = spark.createDataFrame(rows, "row long, name string, values array<double>")
+    plain, fast = B.encode(df, fmt, carry=("name",)), blocks_arrow.encode(df, fmt, carry=("name",))
+    assert plain.columns == fast.columns
+    key = lambda d: sorted((r.row_group, r.block, str(tuple(r))) for r in d.collect())
+    assert key(plain) == key(fast)
+    back = {r.row: r["values"] for r in blocks_arrow.decode(fast, fmt, ("name",)).collect()}
+    want = {r.row: r["values"] for r in B.decode_rows(plain.drop("name"), fmt).collect()}
+    assert back.keys() == want.keys()
+    assert all(np.allclose(back[k], want[k], rtol=1e-12, atol=0) for k in back)
+
+
+def test_arrow_records_have_the_same_bytes(spark):
+    from blockloom.operators import gguf as G
+    from blockloom.operators import gguf_arrow
+
+    rng = np.random.default_rng(12)
+    x = rng.normal(0, 1, (6, 512)) * 10.0 ** rng.integers(-3, 3, (6, 1))
+    x[1, :256], x[2], x[3] = 0, np.abs(x[2]), np.where(rng.random(512) < 0.9, 0, x[3])
+    df = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "row long, values array<double>")
+    kinds = [*G.SYMMETRIC, *G.AFFINE, *G.K_AFFINE, *G.K_SYMMETRIC, "IQ4_XS", "IQ4_NL"]
+    both = None
+    for t in kinds:
+        own = df.select(F.lit(t).alias("name"), "row", F.lit(t).alias("type"), "values")
+        both = own if both is None else both.unionByName(own)
+    fast = {(r.name, r.row): bytes(r.data).hex() for r in gguf_arrow.records(both).collect()}
+    for t in kinds:
+        older = t in G.SYMMETRIC or t in G.AFFINE
+        made = G.records(G.legacy(df, t) if older else G.superblocks(df, t), t)
+        plain = {}
+        for r in sorted(made.collect(), key=lambda r: tuple(r)[:2]):
+            plain[r.row] = plain.get(r.row, "") + r.bytes.lower()
+        assert {k: fast[t, k] for k in plain} == plain, t
+
+
 def test_column_index_in_tiles(spark):
     rng = np.random.default_rng(7)
     x = np.where(rng.random((37, 5)) < 0.3, 0, rng.normal(0, 1, (37, 5)))
