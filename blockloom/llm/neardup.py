@@ -169,10 +169,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("linked", F.expr(f"{OUT_OF} * both >= {LEAST} * (n_a + n_b - both)"))
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    return _confirmed(pairs, _sets_of(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), classes, docs))
-
-
 HEAD = 64  #: elements of a difference that go with each of its rows, to count common ones where two meet
 
 
@@ -231,8 +227,9 @@ def _close_pairs(grouped: DataFrame, sets: DataFrame) -> DataFrame:
     # Up to where the shorter head ends all common elements are in both heads; beyond, the shorter rest bounds them.
     end = "least(element_at(head_a, -1), element_at(head_b, -1))"
     rest = ", ".join(f"apart_{x} - size(filter(head_{x}, t -> t <= {end}))" for x in "ab")
-    met = met.where(f"2 * {OUT_OF + LEAST} * (size(array_intersect(head_a, head_b)) + least({rest})) >= {least}")
-    met = met.where(f"greatest(place_a, place_b) >= {HEAD} or token = array_min(array_intersect(head_a, head_b))")  # once, where they first meet
+    enough = f"2 * {OUT_OF + LEAST} * (size(c) + least({rest})) >= {least}"
+    once = f"(greatest(place_a, place_b) >= {HEAD} or token = array_min(c))"  # where they first meet
+    met = met.where(f"exists(array(array_intersect(head_a, head_b)), c -> {once} and {enough})")
     return met.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
 
 
@@ -252,6 +249,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     central = entries.groupBy("rep").agg(F.sum("n").alias("weight"))
     entries = materialize(entries.drop("n").join(central, "rep"), "neardup-weighed")
 
+    sets = _sets_of(entries.select("rep").distinct(), classes, docs)  # of all that share a bucket, once
+
     def by_weight(column: str) -> Column:
         return F.max_by(column, F.struct("weight", -F.col("rep")))
 
@@ -263,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         led = materialize(apart.join(leaders, "key"), "neardup-led")
         first_leaders = led.select("key", "leader").distinct() if first_leaders is None else first_leaders
         pairs = led.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct()
-        measured = materialize(_confirm(materialize(pairs, "neardup-pairs"), classes, docs), "neardup-measured")
+        measured = materialize(_confirmed(pairs, sets), "neardup-measured")
         compared, joined = measured.select(F.count(F.lit(1)), F.count_if("linked")).first()
         if joined:
             links = links.unionByName(measured.where("linked").select("a", "b"))
@@ -283,7 +282,6 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     references = state.groupBy("component").agg(by_weight("rep").alias("ref"))
     of_key = materialize(first_leaders.join(open_keys, "key", "left_semi").join(state.select("key", F.col("rep").alias("leader"), "component"), ["key", "leader"]).join(references, "component").select("key", "ref"), "neardup-open")
     grouped = materialize(state.join(of_key, "key").select("ref", "rep", F.col("n_shingles").alias("n"), "component").distinct(), "neardup-grouped")
-    sets = _sets_of(grouped.select("rep").union(grouped.select("ref")).distinct(), classes, docs)
     rest = materialize(_close_pairs(grouped, sets), "neardup-rest")
     untested = grouped.where("rep <> ref").select(F.col("rep").alias("a"), F.col("ref").alias("b"))
     rest = rest.unionByName(untested.join(of.select(F.col("rep").alias("a"), F.col("component").alias("c")), "a", "left").join(of.select(F.col("rep").alias("b"), F.col("component").alias("d")), "b", "left").where("coalesce(c, a) <> coalesce(d, b)").select("a", "b"))
