@@ -13,6 +13,9 @@ from ..functions.dims import LEVELS
 from ..shipping import ship
 from .blocks_arrow import _flat
 from .gguf import AFFINE, K_AFFINE, K_SYMMETRIC, SYMMETRIC
+from .trellis import group_scales
+
+TRELLIS = ("Q4_K", "Q5_K")  #: types whose eight group scales can be chosen by the trellis
 
 
 def _half(x: np.ndarray) -> np.ndarray:
@@ -48,8 +51,18 @@ def _six(s: np.ndarray, m: np.ndarray) -> np.ndarray:
     return np.concatenate((low, mid, (s[:, 4:] & 15) + ((m[:, 4:] & 15) << 4)), axis=1).astype(np.uint8)
 
 
-def blocks_of(v: np.ndarray, t: str) -> np.ndarray:
-    """The bytes of each block ``v[block, element]`` of a container type."""
+def _smooth_scales(shifted: np.ndarray, d: np.ndarray, top: int, penalty: float) -> np.ndarray:
+    """Group scales for what the codes stand for: values with the minimum subtracted; what isn't above it gets code 0."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        logs = np.where(shifted > 0, np.log2(shifted), np.nan)
+    return group_scales(logs, np.log2(np.where(d > 0, d, 1.0)), penalty, float(np.log2(top)))
+
+
+def blocks_of(v: np.ndarray, t: str, penalty: float | None = None) -> np.ndarray:
+    """The bytes of each block ``v[block, element]`` of a container type.
+
+    With a ``penalty`` the types in ``TRELLIS`` get smoothed scales; other types have one form only.
+    """
     most_of = np.abs(v).max(axis=1)
     if t in SYMMETRIC:
         top, offset, low, high = SYMMETRIC[t]
@@ -74,7 +87,10 @@ def blocks_of(v: np.ndarray, t: str) -> np.ndarray:
         d, dmin = _half((up + down).max(axis=1) / (most * top)), _half(down.max(axis=1) / most)
         s = np.clip(_round(_over(up + down, top * d[:, None])), 1, most)
         m = np.clip(_round(_over(down, dmin[:, None])), 0, most)
-        codes = np.clip(_round(_over(groups + (dmin[:, None] * m)[:, :, None], (d[:, None] * s)[:, :, None])), 0, top).astype(np.int64).reshape(len(v), -1)
+        shifted = groups + (dmin[:, None] * m)[:, :, None]
+        if penalty is not None and t in TRELLIS:
+            s = _smooth_scales(shifted, d, top, penalty)
+        codes = np.clip(_round(_over(shifted, (d[:, None] * s)[:, :, None])), 0, top).astype(np.int64).reshape(len(v), -1)
         s, m = s.astype(np.int64), m.astype(np.int64)
         if t == "Q2_K":
             return np.concatenate(((s + 16 * m).astype(np.uint8), _quads(codes), _halves(d), _halves(dmin)), axis=1)
@@ -98,7 +114,7 @@ def _level(x: np.ndarray) -> np.ndarray:
     return np.searchsorted([(a + b) / 2 for a, b in zip(LEVELS, LEVELS[1:])], x, side="right")
 
 
-def rows_of(values: np.ndarray, at: np.ndarray, t: str) -> list[bytes]:
+def rows_of(values: np.ndarray, at: np.ndarray, t: str, penalty: float | None = None) -> list[bytes]:
     """The bytes of each row of a type."""
     if t in ("F32", "F16"):
         raw, width = values.astype("<f4" if t == "F32" else "<f2").tobytes(), 4 if t == "F32" else 2
@@ -106,12 +122,12 @@ def rows_of(values: np.ndarray, at: np.ndarray, t: str) -> list[bytes]:
     size = 32 if t in SYMMETRIC or t in AFFINE else 256
     if (np.diff(at) % size).any():
         raise ValueError(f"{t} needs rows of a multiple of {size}")
-    made = blocks_of(values.reshape(-1, size), t) if len(values) else np.zeros((0, 1), np.uint8)
+    made = blocks_of(values.reshape(-1, size), t, penalty) if len(values) else np.zeros((0, 1), np.uint8)
     raw, width = made.tobytes(), made.shape[1]
     return [raw[a // size * width : b // size * width] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-def records(rows: DataFrame) -> DataFrame:
+def records(rows: DataFrame, penalty: float | None = None) -> DataFrame:
     """(name, row, data): the bytes of each row of rows(name, row, type, values), in its own type."""
     ship(rows.sparkSession)
 
@@ -120,6 +136,6 @@ def records(rows: DataFrame) -> DataFrame:
             types = np.array(batch.column(2).to_pylist(), object)
             for t in sorted(set(types)):
                 own = batch.take(pa.array(np.flatnonzero(types == t)))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(rows_of(*_flat(own.column(3)), t), pa.binary())], names=["name", "row", "data"])
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(rows_of(*_flat(own.column(3)), t, penalty), pa.binary())], names=["name", "row", "data"])
 
     return rows.select("name", F.col("row").cast("long").alias("row"), "type", "values").mapInArrow(run, "name string, row long, data binary")

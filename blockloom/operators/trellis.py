@@ -51,14 +51,21 @@ def _first_at(values: np.ndarray, running: np.ndarray, last: bool = False) -> np
     return np.maximum.accumulate(np.where(new, np.arange(values.shape[1]), 0), axis=1)
 
 
-def group_scales(logs: np.ndarray, log_d: np.ndarray, penalty: float = LAMBDA) -> np.ndarray:
-    """Scale of each of a super-block's groups.  logs[block, group, element], NaN where absent."""
+SCALE_BLOCKS = 256  #: super-blocks whose scales are tried at once: 64 scales for each element
+
+
+def group_scales(logs: np.ndarray, log_d: np.ndarray, penalty: float = LAMBDA, cap: float = CAP) -> np.ndarray:
+    """Scale of each of a super-block's groups.  logs[block, group, element], NaN where absent; ``cap``: log2 of the greatest code."""
     with np.errstate(divide="ignore"):
         log_s = np.log2(np.arange(SCALES))
-    x = logs[:, :, None, :] - log_d[:, None, None, None] - log_s[None, None, :, None]
-    err = np.nansum(np.abs(x - np.clip(x, 0, CAP)), axis=3)
-    err[:, :, 0] = np.inf
-    return smooth_path(err, penalty)
+    out = np.empty(logs.shape[:2], np.int64)
+    for at in range(0, len(logs), SCALE_BLOCKS):
+        own = slice(at, at + SCALE_BLOCKS)
+        x = logs[own, :, None, :] - log_d[own, None, None, None] - log_s[None, None, :, None]
+        err = np.nansum(np.abs(x - np.clip(x, 0, cap)), axis=3)
+        err[:, :, 0] = np.inf
+        out[own] = smooth_path(err, penalty)
+    return out
 
 
 def superblock_scales(rows: DataFrame, row: str = "row", values: str = "values", penalty: float = LAMBDA) -> DataFrame:

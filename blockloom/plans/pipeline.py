@@ -21,6 +21,7 @@ from ..operators import catalog as K
 from ..operators import gguf_arrow as GA
 from ..operators import stats as T
 from ..operators import tokens as V
+from ..operators import trellis as R
 from ..sources import safetensors
 
 EXPORT_DEFAULTS = {"target_format": "gguf", "quantization": {"default_type": "q4_k_m", "scale_optimization": "trellis", "trellis_lambda": 0.3, "per_tensor": {}}, "shard_size": None, "special_token_keys": {}}
@@ -142,6 +143,13 @@ def export_template(spark: SparkSession, path: str, high: float = 0.2, medium: f
     return config
 
 
+def scale_penalty(quantization: dict) -> float | None:
+    """The trellis penalty that a config asks for; none for standard scales, which any other word means."""
+    if quantization.get("scale_optimization", "trellis").lower() != "trellis":
+        return None
+    return float(quantization.get("trellis_lambda", R.LAMBDA))
+
+
 def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFrame, DataFrame]:
     """(plan, records): records(name in the container, row, data), the bytes of each row.
 
@@ -167,7 +175,7 @@ def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFr
     rows = rows.withColumn("row", F.col("plane") * F.col("plane_rows") + F.col("row"))
     if plan.where("error is null").limit(1).count() == 0:
         raise ValueError("nothing to export")
-    made = GA.records(rows.select("name", "row", F.col("container_type").alias("type"), "values"))
+    made = GA.records(rows.select("name", "row", F.col("container_type").alias("type"), "values"), scale_penalty(quant))
     targets = plan.select(F.col("name").alias("source"), F.col("target").alias("name"))
     return plan, made.withColumnRenamed("name", "source").join(F.broadcast(targets), "source").select("name", "row", "data")
 

@@ -281,6 +281,63 @@ def test_arrow_records_have_the_same_bytes(spark):
         assert {k: fast[t, k] for k in plain} == plain, t
 
 
+def test_trellis_scales_in_records(spark, model, tmp_path):
+    from blockloom.operators import gguf_arrow as GA
+
+    rng = np.random.default_rng(14)
+    v = rng.normal(0, 1, (300, 256)) * np.repeat(2.0 ** rng.uniform(-2, 0, (300, 8)), 32, axis=1)
+    v[0], v[1, :32] = 0, 0
+
+    def parts(raw, t):
+        d, dmin = (raw[:, k : k + 2].copy().view("<f2").astype(float)[:, 0] for k in (0, 2))
+        low, mid, last = (raw[:, 4 + k : 8 + k].astype(int) for k in (0, 4, 8))
+        s = np.concatenate((low & 63, last & 15 | low >> 6 << 4), axis=1)
+        m = np.concatenate((mid & 63, last >> 4 | mid >> 6 << 4), axis=1)
+        body = raw[:, 16:]
+        high = np.unpackbits(body[:, :32], axis=1, bitorder="little") * 16 if t == "Q5_K" else 0
+        quads = body[:, 32 if t == "Q5_K" else 0 :]
+        codes = np.stack((quads & 15, quads >> 4), axis=2).reshape(len(raw), 256) + high
+        back = codes.reshape(-1, 8, 32) * (d[:, None] * s)[:, :, None] - (dmin[:, None] * m)[:, :, None]
+        return d, dmin, s, m, back.reshape(len(raw), 256)
+
+    for t, top in (("Q4_K", 15), ("Q5_K", 31)):
+        plain, none, some, stiff = (parts(GA.blocks_of(v, t, p), t) for p in (None, 0.0, 0.3, 1e6))
+        for other in (none, some, stiff):  # only scales and codes differ
+            assert all((plain[k] == other[k]).all() for k in (0, 1, 3))
+        d, dmin, s, m, _ = some
+        shifted = v.reshape(-1, 8, 32) + (dmin[:, None] * m)[:, :, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            logs = np.where(shifted > 0, np.log2(shifted), np.nan)
+        for b in (0, 1, 2, 150, 299):  # the path is the cheapest: no change of one group's scale is cheaper
+            x = logs[b][:, None, :] - np.log2(d[b] or 1) - np.log2(np.arange(1, 64))[None, :, None]
+            err = np.nansum(np.maximum(-x, 0) + np.maximum(x - np.log2(top), 0), axis=2)
+            price = lambda p: sum(err[g, k - 1] for g, k in enumerate(p)) + 0.3 * np.abs(np.diff(p)).sum()  # noqa: B023, E731
+            best = price(s[b])
+            assert all(best <= price([*s[b][:g], k, *s[b][g + 1 :]]) + 1e-9 for g in range(8) for k in range(1, 64))
+        assert (np.ptp(stiff[2], axis=1) == 0).all()
+        assert np.abs(np.diff(some[2])).sum() < np.abs(np.diff(none[2])).sum()
+        step = np.repeat(d[:, None] * s, 32, axis=1)
+        reached = (shifted.reshape(-1, 256) >= 0) & (shifted.reshape(-1, 256) <= top * step)
+        assert (np.abs(some[4] - v) <= step / 2 + 1e-9)[reached].all() and reached.mean() > 0.5
+    assert (GA.blocks_of(v, "Q6_K", 0.3) == GA.blocks_of(v, "Q6_K")).all()
+    assert pipeline.scale_penalty({}) == 0.3 and pipeline.scale_penalty({"scale_optimization": "Trellis", "trellis_lambda": 1}) == 1.0
+    assert pipeline.scale_penalty({"scale_optimization": "standard", "trellis_lambda": 0.3}) is None
+
+    safetensors.write(f"{tmp_path}/w.safetensors", {"model.layers.0.mlp.up_proj.weight": v[:4].astype(np.float32)})
+    stored = f"{tmp_path}/kept"
+    pipeline.import_model(spark, str(tmp_path), pipeline.import_template(spark, str(tmp_path)), stored)
+    config = pipeline.export_template(spark, stored)
+    config["quantization"]["per_tensor"] = {"model.layers.0.mlp.up_proj.weight": "q4_k_m"}
+    made = {}
+    for way in ("trellis", "standard"):
+        config["quantization"]["scale_optimization"] = way
+        made[way] = [bytes(r.data) for r in pipeline.export_records(spark, stored, config)[1].orderBy("row").collect()]
+    blocks = pipeline.stored_rows(pipeline.open_model(spark, stored)[1], "B8x8").orderBy("row").collect()
+    held = np.array([r["values"] for r in blocks])
+    assert made["trellis"] == [x.tobytes() for x in GA.blocks_of(held, "Q4_K", 0.3)] != made["standard"]
+    assert made["standard"] == [x.tobytes() for x in GA.blocks_of(held, "Q4_K")]
+
+
 def test_column_index_in_tiles(spark):
     rng = np.random.default_rng(7)
     x = np.where(rng.random((37, 5)) < 0.3, 0, rng.normal(0, 1, (37, 5)))
