@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dims import LEVELS
+from ..functions.dims import FORMATS, LEVELS
 from ..shipping import ship
-from .blocks_arrow import _flat
+from .blocks_arrow import PACKED_NAMES, _flat, runs, unpack_lists
 from .gguf import AFFINE, K_AFFINE, K_SYMMETRIC, SYMMETRIC
 from .trellis import group_scales
 
@@ -139,3 +139,21 @@ def records(rows: DataFrame, penalty: float | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(rows_of(*_flat(own.column(3)), t, penalty), pa.binary())], names=["name", "row", "data"])
 
     return rows.select("name", F.col("row").cast("long").alias("row"), "type", "values").mapInArrow(run, "name string, row long, data binary")
+
+
+def packed_records(rows: DataFrame, format: str, penalty: float | None = None) -> DataFrame:
+    """``records`` of packed rows(name, row, type, columns of ``PACKED``), decoded and made in one pass."""
+    f = FORMATS[format]
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = np.array(batch.column(2).to_pylist(), object)
+            for t in sorted(set(types)):
+                same = batch.take(pa.array(np.flatnonzero(types == t)))
+                for lo, hi in runs(same.column(3)):
+                    own = [c.slice(lo, hi - lo) for c in same.columns]
+                    made = rows_of(*unpack_lists(own[3:], f.size, f.bits), t, penalty)
+                    yield pa.RecordBatch.from_arrays([own[0], own[1], pa.array(made, pa.binary())], names=["name", "row", "data"])
+
+    return rows.select("name", F.col("row").cast("long").alias("row"), "type", *PACKED_NAMES).mapInArrow(run, "name string, row long, data binary")

@@ -1,9 +1,9 @@
 """Import and export of models as DataFrame pipelines.
 
 A stored model is a folder of Parquet tables: ``catalog`` (one row a plane),
-``blocks`` (runs of a tensor's rows, in order), ``tokens`` and ``config``.  Import makes the
-catalog from headers and is one job from tensor files to blocks; analysis reads masks
-only; export quantizes the decoded rows, whose places in the shards the plan knows.
+``blocks`` (a packed row for each matrix row), ``tokens`` and ``config``.  Import makes the
+catalog from headers and is one job from tensor files to blocks; analysis reads counts
+only; export decodes and quantizes in one pass, and the plan knows each row's place in the shards.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from ..functions import naming as N
 from ..functions.dims import FORMATS
-from ..operators import blocks as B
 from ..operators import blocks_arrow as BA
 from ..operators import catalog as K
 from ..operators import gguf_arrow as GA
@@ -62,9 +61,8 @@ def import_model(spark: SparkSession, source: str, config: dict, out: str) -> Da
     catalog.coalesce(1).write.mode("overwrite").parquet(f"{out}/catalog")
     stored = spark.read.parquet(f"{out}/catalog")
     places = stored.select("name", "path", "plane", "uuid")  # names and ids of one model
-    rows = safetensors.tensors(spark, source, [s for s, _ in wanted]).select("path", "name", "plane", "row", "values").join(F.broadcast(places), ["name", "path", "plane"])
-    flat = BA.encode(rows, fmt, carry=("uuid",))
-    flat.write.mode("overwrite").parquet(f"{out}/blocks")  # each task has a run of a tensor's rows, in order
+    rows = safetensors.packed(spark, source, [s for s, _ in wanted], fmt).join(F.broadcast(places), ["name", "path", "plane"])
+    rows.select("uuid", "row", *BA.PACKED_NAMES).write.mode("overwrite").parquet(f"{out}/blocks")  # each task has a run of a tensor's rows, in order
     _store_tokens(spark, source, out)
     return stored
 
@@ -116,19 +114,25 @@ def model_metadata(spark: SparkSession, path: str, special_token_keys: dict | No
 
 
 def open_model(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return spark.read.parquet(f"{path}/catalog"), spark.read.parquet(f"{path}/blocks")
+    """The catalog and the relation of all blocks, (row_group, uuid, block, scale_log, rows)."""
+    catalog, packed, fmt = _opened(spark, path)
+    return catalog, BA.relational(packed, fmt, ("uuid",))
+
+
+def _opened(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]:
+    catalog = spark.read.parquet(f"{path}/catalog")
+    return catalog, spark.read.parquet(f"{path}/blocks"), catalog.select("block_format").first()[0]
 
 
 def stored_rows(blocks: DataFrame, fmt: str) -> DataFrame:
-    """(uuid, row, values) of stored single-row blocks, decoded; one shuffle by row."""
+    """(uuid, row, values) of single-row blocks, decoded; one shuffle by row."""
     return BA.decode(blocks, fmt, ("uuid",))
 
 
 def analyze(spark: SparkSession, path: str, high: float = 0.2, medium: float = 0.1) -> DataFrame:
     """(name, container_name, rows, cols, importance, quant_type): the first plane stands for a tensor."""
-    catalog, blocks = open_model(spark, path)
-    fmt = catalog.select("block_format").first()[0]
-    stats = B.statistics(blocks, fmt, ["uuid"])
+    catalog, packed, _ = _opened(spark, path)
+    stats = packed.groupBy("uuid").agg(F.coalesce(F.sum("shifted") / F.nullif(F.sum("nnz"), F.lit(0)), F.lit(0.0)).alias("importance"))
     first = catalog.where("plane = 0")
     both = first.join(stats, "uuid")
     total = F.col("rows") * F.col("planes")
@@ -158,8 +162,7 @@ def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFr
     if config.get("target_format", "gguf") != "gguf":
         raise ValueError("only gguf can be written")
     quant = config["quantization"]
-    catalog, blocks = open_model(spark, path)
-    fmt = catalog.select("block_format").first()[0]
+    catalog, packed, fmt = _opened(spark, path)
     named = spark.createDataFrame([(t["source"], t["target"]) for t in config["tensor_map"]] or [], "name string, target string")
     tensors = catalog.where("plane = 0").join(F.broadcast(named), "name").select("name", "target", "shape", "planes", "cols", (F.col("rows") * F.col("planes")).alias("total"))
     overrides = spark.createDataFrame(sorted(quant.get("per_tensor", {}).items()) or [], "name string, wanted string")
@@ -169,13 +172,13 @@ def export_records(spark: SparkSession, path: str, config: dict) -> tuple[DataFr
     sized = K.assign_shards(plan.where("bytes is not null").select("ordinal", "bytes"), most)
     plan = plan.join(sized.select("ordinal", "shard"), "ordinal", "left")
 
-    values = stored_rows(blocks, fmt)
-    known = catalog.select("uuid", "name", "plane", F.col("rows").alias("plane_rows"))
-    rows = values.join(known, "uuid").join(plan.where("error is null").select("name", "actual", "container_type"), "name")
+    # Both are of the catalog of one model: a row for each plane.
+    known = catalog.select("uuid", "name", "plane", F.col("rows").alias("plane_rows")).join(plan.where("error is null").select("name", "container_type"), "name")
+    rows = packed.join(F.broadcast(known), "uuid")
     rows = rows.withColumn("row", F.col("plane") * F.col("plane_rows") + F.col("row"))
     if plan.where("error is null").limit(1).count() == 0:
         raise ValueError("nothing to export")
-    made = GA.records(rows.select("name", "row", F.col("container_type").alias("type"), "values"), scale_penalty(quant))
+    made = GA.packed_records(rows.withColumnRenamed("container_type", "type"), fmt, scale_penalty(quant))
     targets = plan.select(F.col("name").alias("source"), F.col("target").alias("name"))
     return plan, made.withColumnRenamed("name", "source").join(F.broadcast(targets), "source").select("name", "row", "data")
 

@@ -19,10 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.dims import FORMATS
+from ..operators import blocks_arrow as BA
 from ..shipping import ship
 
 HEADER = "path string, name string, dtype string, shape array<long>, begin long, end long"
 TENSOR = "path string, name string, dtype string, shape array<long>, plane long, row long, values array<double>"
+BLOCKS = f"path string, name string, plane long, row long, {BA.PACKED}"
 
 
 def to_floats(raw: bytes | memoryview, dtype: str) -> np.ndarray:
@@ -116,6 +119,13 @@ def tensors(spark: SparkSession, path: str, names: list[str] | None = None) -> D
     return files(spark, path).mapInPandas(run, TENSOR)
 
 
+def packed(spark: SparkSession, path: str, names: list[str], format: str) -> DataFrame:
+    """(path, name, plane, row, columns of ``PACKED``): the rows of ``tensors`` as blocks, made where they are read."""
+    if local := mounted(path):
+        return _ranged(spark, local, names=json.dumps(names), blocks=format)
+    return BA.pack(tensors(spark, path, names), format, carry=("path", "name", "plane"))
+
+
 def write(path: str, arrays: dict[str, np.ndarray]) -> None:
     """A small file in the same layout, for tests and exports of single matrices."""
     names = {"float32": "F32", "float16": "F16", "uint16": "BF16", "int8": "I8"}
@@ -156,6 +166,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].removeprefix("file://")
         self.only_headers = str(options.get("headers", "false")).lower() == "true"
+        self.blocks = options.get("blocks")
         names = options.get("names")
         self.names = None if not names else set(json.loads(names) if names.startswith("[") else names.split(","))
 
@@ -190,10 +201,10 @@ class _Reader(DataSourceReader):
             for name, e in entries.items():
                 yield partition.path, name, e["dtype"], e["shape"], base + e["data_offsets"][0], base + e["data_offsets"][1]
             return
-        yield from _batches(partition)
+        yield from _batches(partition, self.blocks)
 
 
-def _batches(s: _Slice) -> Iterator[pa.RecordBatch]:
+def _batches(s: _Slice, blocks: str | None = None) -> Iterator[pa.RecordBatch]:
     if s.stop == s.first:
         return
     planes, rows, cols = matrix_shape(s.info["shape"])
@@ -210,6 +221,12 @@ def _batches(s: _Slice) -> Iterator[pa.RecordBatch]:
             if not np.isfinite(values).all():
                 raise ValueError(f"{s.name} has values that aren't finite")
             at = np.arange(first, first + n)
+            if blocks:
+                f = FORMATS[blocks]
+                made = BA.pack_lists(values, np.arange(n + 1) * cols, f.size, f.bits)
+                fixed = [pa.array([x] * n, pa.string()) for x in (s.path, s.name)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(at // rows, pa.int64()), pa.array(at % rows, pa.int64()), *made], names=[c.split()[0] for c in BLOCKS.split(", ")])
+                continue
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * cols, cols) if cols else np.zeros(n + 1), pa.int32()), pa.array(values))
             shape = pa.array([s.info["shape"]] * n, pa.list_(pa.int64()))
             fixed = [pa.array([x] * n, pa.string()) for x in (s.path, s.name, s.info["dtype"])]
@@ -217,14 +234,16 @@ def _batches(s: _Slice) -> Iterator[pa.RecordBatch]:
 
 
 class TensorFileSource(DataSource):
-    """``spark.read.format("tensorfile").load(path)``; options ``headers`` and ``names``."""
+    """``spark.read.format("tensorfile").load(path)``; options ``headers``, ``names`` and ``blocks`` (a format)."""
 
     @classmethod
     def name(cls) -> str:
         return "tensorfile"
 
     def schema(self) -> str:
-        return HEADER if str(self.options.get("headers", "false")).lower() == "true" else TENSOR
+        if str(self.options.get("headers", "false")).lower() == "true":
+            return HEADER
+        return BLOCKS if self.options.get("blocks") else TENSOR
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

@@ -258,6 +258,33 @@ def test_arrow_codec_makes_the_same_blocks(spark, fmt):
     assert all(np.allclose(back[k], want[k], rtol=1e-12, atol=0) for k in back)
 
 
+@pytest.mark.parametrize("fmt", ["B8x4", "B8x8", "B16x4", "B16x8"])
+def test_packed_rows_hold_the_same_blocks(spark, fmt, monkeypatch):
+    from blockloom.operators import blocks_arrow
+
+    rng = np.random.default_rng(13)
+    rows = [(k, f"t{k % 3}", np.where(rng.random(n) < 0.3, 0, rng.normal(0, 10.0 ** rng.integers(-4, 4), n)).tolist()) for k, n in enumerate([0, 1, 7, 8, 9, 16, 33, 64, 64, 0])]
+    df = spark.createDataFrame([*rows, (10, "t0", [0.0] * 20)], "row long, name string, values array<double>").coalesce(1)
+    plain, packed = B.encode(df, fmt, carry=("name",)), blocks_arrow.pack(df, fmt, carry=("name",))
+    key = lambda d: sorted((r.row_group, r.block, str(tuple(r))) for r in d.collect())
+    back = blocks_arrow.relational(packed, fmt, ("name",))
+    assert back.columns == plain.columns and key(back) == key(plain)
+    values = {r.row: r["values"] for r in blocks_arrow.unpack(packed, fmt, ("name",)).collect()}
+    want = {r.row: r["values"] for r in B.decode_rows(plain.drop("name"), fmt).collect()}
+    assert set(values) - set(want) == {0, 9} and all(values[k] == [] for k in (0, 9))
+    assert all(np.allclose(values[k], want[k], rtol=1e-12, atol=0) for k in want)
+    for name in ("t0", "t1", "t2"):
+        counts = packed.where(F.col("name") == name).agg(F.sum("nnz"), F.sum("shifted")).first()
+        assert tuple(counts) == tuple(B.statistics(plain.where(F.col("name") == name), fmt).select("nnz", "shifted").first())
+
+    columns = blocks_arrow.pack_lists(np.arange(1.0, 31.0), np.array([0, 10, 10, 25, 30]), 8, 4)
+    monkeypatch.setattr(blocks_arrow, "RUN_VALUES", 12)
+    cut = list(blocks_arrow.runs(columns[0]))
+    assert cut == [(0, 2), (2, 3), (3, 4)]
+    parts = [blocks_arrow.unpack_lists([c.slice(a, b - a) for c in columns], 8, 4)[0] for a, b in cut]
+    assert np.array_equal(np.concatenate(parts), blocks_arrow.unpack_lists(columns, 8, 4)[0])
+
+
 def test_arrow_records_have_the_same_bytes(spark):
     from blockloom.operators import gguf as G
     from blockloom.operators import gguf_arrow
