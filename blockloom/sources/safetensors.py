@@ -222,8 +222,7 @@ def _batches(s: _Slice, blocks: str | None = None) -> Iterator[pa.RecordBatch]:
                 raise ValueError(f"{s.name} has values that aren't finite")
             at = np.arange(first, first + n)
             if blocks:
-                f = FORMATS[blocks]
-                made = BA.pack_lists(values, np.arange(n + 1) * cols, f.size, f.bits)
+                made = BA.pack_lists(values, np.arange(n + 1) * cols, FORMATS[blocks].size, FORMATS[blocks].bits)
                 fixed = [pa.array([x] * n, pa.string()) for x in (s.path, s.name)]
                 yield pa.RecordBatch.from_arrays([*fixed, pa.array(at // rows, pa.int64()), pa.array(at % rows, pa.int64()), *made], names=[c.split()[0] for c in BLOCKS.split(", ")])
                 continue

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import naming as N
 from blockloom.operators import blocks as B
+from blockloom.operators import blocks_arrow as BA
 from blockloom.operators import catalog as K
 from blockloom.operators import quant_groups as Q
 from blockloom.operators import sparse as S
@@ -84,6 +85,14 @@ def test_large_tensors_are_read_in_slices(spark, tmp_path, monkeypatch):
         planes, n, cols = safetensors.matrix_shape(list(a.shape))
         assert [(r["plane"], r["row"]) for r in own] == [(k // n, k % n) for k in range(planes * n)]
         assert np.allclose([r["values"] for r in own], a.reshape(planes * n, cols)) if own else not a.size
+    monkeypatch.setattr(safetensors, "BATCH_VALUES", 100)  # several batches of a slice
+    for name, a in arrays.items():
+        own = [b for s in slices if s.name == name for b in safetensors._batches(s, "B8x8")]
+        planes, n, cols = safetensors.matrix_shape(list(a.shape))
+        assert [(p, r) for b in own for p, r in zip(b["plane"].to_pylist(), b["row"].to_pylist(), strict=True)] == [(k // n, k % n) for k in range(planes * n)]
+        flat = np.concatenate([BA.unpack_lists(b.columns[4:], 8, 8)[0] for b in own] or [[]])
+        plain = BA.pack_lists(a.reshape(-1).astype(float), np.arange(planes * n + 1) * cols, 8, 8)
+        assert np.array_equal(flat, BA.unpack_lists(plain, 8, 8)[0])
     got = safetensors.tensors(spark, str(tmp_path), ["c, d", "b"])
     assert sorted({r.name for r in got.collect()}) == ["b", "c, d"]
     bad = np.ones((2, 2), np.float32)
