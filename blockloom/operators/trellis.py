@@ -51,20 +51,26 @@ def _first_at(values: np.ndarray, running: np.ndarray, last: bool = False) -> np
     return np.maximum.accumulate(np.where(new, np.arange(values.shape[1]), 0), axis=1)
 
 
-SCALE_BLOCKS = 256  #: super-blocks whose scales are tried at once: 64 scales for each element
+SCALE_BLOCKS, PATH_BLOCKS = 16, 512  #: super-blocks whose scales are tried, and whose paths are made, at once; for the caches
 
 
 def group_scales(logs: np.ndarray, log_d: np.ndarray, penalty: float = LAMBDA, cap: float = CAP) -> np.ndarray:
     """Scale of each of a super-block's groups.  logs[block, group, element], NaN where absent; ``cap``: log2 of the greatest code."""
-    with np.errstate(divide="ignore"):
-        log_s = np.log2(np.arange(SCALES))
+    log_s = np.log2(np.arange(1, SCALES))[:, None]  # scale 0 is never taken
     out = np.empty(logs.shape[:2], np.int64)
-    for at in range(0, len(logs), SCALE_BLOCKS):
-        own = slice(at, at + SCALE_BLOCKS)
-        x = logs[own, :, None, :] - log_d[own, None, None, None] - log_s[None, None, :, None]
-        err = np.nansum(np.abs(x - np.clip(x, 0, cap)), axis=3)
-        err[:, :, 0] = np.inf
-        out[own] = smooth_path(err, penalty)
+    for first in range(0, len(logs), PATH_BLOCKS):
+        stop = min(first + PATH_BLOCKS, len(logs))
+        err = np.full((stop - first, logs.shape[1], SCALES), np.inf)
+        for at in range(first, stop, SCALE_BLOCKS):
+            own = slice(at, min(at + SCALE_BLOCKS, stop))
+            y = (logs[own] - log_d[own, None, None])[:, :, None, :]
+            none = np.isnan(y)
+            below = log_s - np.where(none, np.inf, y)
+            above = np.where(none, -np.inf, y) - cap - log_s
+            both = np.maximum(below, 0, out=below)
+            both += np.maximum(above, 0, out=above)
+            err[at - first : at - first + len(y), :, 1:] = both.sum(axis=3)
+        out[first:stop] = smooth_path(err, penalty)
     return out
 
 
