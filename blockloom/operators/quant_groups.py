@@ -135,16 +135,21 @@ def _groups(rows: DataFrame, row: str, values: str, act: list[float] | None) ->
     return made.withColumn("a", F.slice(whole, F.col("grp") * GROUP + 1, F.size("g")))
 
 
-def _check(rows: DataFrame, act: list[float] | None, values: str) -> None:
+def _check(rows: DataFrame, act: list[float] | None, values: str, short: bool = False) -> None:
+    """An error unless rows have a column for each scale; with ``short`` they may end before the last one."""
     if act is not None:
-        widths = [r[0] for r in rows.select(F.size(values)).distinct().limit(2).collect()]
-        if widths and widths != [len(act)]:
+        sizes = rows.select(F.size(values).alias("n")).distinct()
+        widths = [r[0] for r in sizes.where(F.col("n") > len(act) if short else F.col("n") != len(act)).limit(2).collect()]
+        if widths:
             raise ValueError(f"{len(act)} channel scales for {widths} columns")
 
 
-def symmetric(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0, row: str = "row", values: str = "values") -> DataFrame:
-    """(row, grp, scale, codes): codes 0 to 15 around 8."""
-    _check(rows, act, values)
+def symmetric(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0, row: str = "row", values: str = "values", short: bool = False) -> DataFrame:
+    """(row, grp, scale, codes): codes 0 to 15 around 8.
+
+    With ``short`` a row may end before the last channel; it takes the scales of its own columns.
+    """
+    _check(rows, act, values, short)
     g = _groups(rows, row, values, act).withColumn("scale", scale_symmetric(F.col("g"), None if act is None else F.col("a"), clip))
     code = F.transform("g", lambda w: (C.clamp(C.round_away(w / F.col("scale")), -8.0, 7.0) + 8).cast("int"))
     return g.select("row", "grp", "scale", code.alias("codes"))

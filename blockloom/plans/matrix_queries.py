@@ -407,7 +407,7 @@ def _symmetric(name: str, clip: float, act: bool):
     sql = f"with {E256}, s as (select r as sr, c // 128 as sg, {_group_sql(weight, clip, act)} / 7 as s from m group by r, c // 128), k as (select r, c, cast({sql_clamp(sql_round('(v / s)'), -8, 7)} + 8 as integer) as code from m join s on r = sr and c // 128 = sg), {_words('select * from k')}"
 
     def run(spark, sf_dir):
-        return Q.pack_words(Q.symmetric(emb256(spark, sf_dir), ACT if act else None, clip))
+        return Q.pack_words(Q.symmetric(emb256(spark, sf_dir), ACT if act else None, clip, short=True))
 
     query(name, sql)(run)
 
