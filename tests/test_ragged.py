@@ -30,7 +30,7 @@ def ragged(request, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["quant_awq_act"])
+@pytest.mark.parametrize("name", ["quant_awq_act", "quant_awq_act_clip"])
 def test_last_row_is_short(spark, ragged, name):
     same(spark, ragged, name, "embeddings")
 
