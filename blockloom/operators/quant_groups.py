@@ -155,9 +155,9 @@ def symmetric(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0
     return g.select("row", "grp", "scale", code.alias("codes"))
 
 
-def affine(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0, row: str = "row", values: str = "values") -> DataFrame:
-    """(row, grp, scale, zero, codes): codes 0 to 15 from a zero point."""
-    _check(rows, act, values)
+def affine(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0, row: str = "row", values: str = "values", short: bool = False) -> DataFrame:
+    """(row, grp, scale, zero, codes): codes 0 to 15 from a zero point; ``short`` as in ``symmetric``."""
+    _check(rows, act, values, short)
     g = _groups(rows, row, values, act).withColumn("r", range_affine(F.col("g"), None if act is None else F.col("a"), clip))
     flat = F.col("r.high") == F.col("r.low")
     g = g.withColumn("scale", F.when(flat, 1.0).otherwise((F.col("r.high") - F.col("r.low")) / 15))

@@ -420,7 +420,7 @@ def _affine(name: str, clip: float, act: bool):
     sql = f"with {E256}, s0 as (select r as sr, c // 128 as sg, {ends} from m group by r, c // 128), s1 as (select sr, sg, {fit} from s0), s as (select *, (hi - lo) / 15 as scale, {zero} as zero from s1), k as (select r, c, cast({sql_clamp(sql_round('(v / scale + zero)'), 0, 15)} as integer) as code from m join s on r = sr and c // 128 = sg), {_words('select * from k')}"
 
     def run(spark, sf_dir):
-        return Q.pack_words(Q.affine(emb256(spark, sf_dir), ACT if act else None, clip))
+        return Q.pack_words(Q.affine(emb256(spark, sf_dir), ACT if act else None, clip, short=True))
 
     query(name, sql)(run)
 

@@ -30,12 +30,12 @@ def ragged(request, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["quant_awq_act", "quant_awq_act_clip"])
+@pytest.mark.parametrize("name", ["quant_awq_act", "quant_awq_act_clip", "quant_gptq_act"])
 def test_last_row_is_short(spark, ragged, name):
     same(spark, ragged, name, "embeddings")
 
 
-@pytest.mark.parametrize("made", [Q.symmetric])
+@pytest.mark.parametrize("made", [Q.symmetric, Q.affine])
 def test_more_columns_than_scales(spark, made):
     rows = spark.createDataFrame([(0, [1.0] * 64), (1, [1.0] * 65)], "row long, values array<double>")
     with pytest.raises(ValueError, match="64 channel scales"):
