@@ -61,8 +61,17 @@ def container_type(quant: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
-    unit = lambda size, name: F.concat(F.format_string("%.2f", n / F.lit(float(size))), F.lit(name))
-    return F.when(n >= 1 << 30, unit(1 << 30, " GB")).when(n >= 1 << 20, unit(1 << 20, " MB")).when(n >= 1 << 10, unit(1 << 10, " KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    """A size with two decimals; the exact quotient is rounded, halves to the even digit."""
+    whole = n.cast("double").cast("long")  # sizes beyond 2 ** 53 count as doubles
+
+    def unit(bits: int, name: str) -> Column:
+        rest = whole.bitwiseAND((1 << bits) - 1) * 100
+        cents, left = F.shiftright(rest, bits), rest.bitwiseAND((1 << bits) - 1)
+        up = (left > 1 << bits - 1) | (left == 1 << bits - 1) & (cents % 2 == 1)
+        total = cents + up.cast("long")  # 100 where it carries
+        return F.concat((F.shiftright(whole, bits) + F.floor(total / 100)).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"), F.lit(name))
+
+    return F.when(n >= 1 << 30, unit(30, " GB")).when(n >= 1 << 20, unit(20, " MB")).when(n >= 1 << 10, unit(10, " KB")).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def plane_name(name: Column, plane: Column, planes: Column) -> Column:

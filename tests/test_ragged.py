@@ -1,8 +1,12 @@
 """Queries against their SQL twins where the last row is incomplete and numbers lie half-way between two roundings."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from blockloom.functions import naming as N
 from blockloom.operators import quant_groups as Q
 from blockloom.plans.queries import ORACLES, QUERIES
 
@@ -42,3 +46,24 @@ def test_more_columns_than_scales(spark, made):
         made(rows, [1.0] * 64, short=True)
     with pytest.raises(ValueError, match="65 channel scales"):
         made(rows, [1.0] * 65)
+
+
+def test_bytes_half_way(spark):
+    """Sizes half-way between two hundredths, next to them, and where they carry, as C prints them."""
+    chance = random.Random(1)
+    sizes = [0, 1023, 1024, 1048575, 1048576, (1 << 30) - 1, 1 << 30, (1 << 53) + 1, (1 << 63) - 1]
+    for bits in (10, 20, 30):
+        halves = [(1 << bits) * k // 8 for k in range(8, 80)]  # eighths: halves of a hundredth among them
+        sizes += [h + d for h in halves for d in (-1, 0, 1)] + [chance.randrange(1 << bits, 1 << bits + 10) for _ in range(300)]
+        sizes += [(2 << bits) - 1, (2 << bits) - (1 << bits) // 200]
+    made = {r.n: r.t for r in spark.createDataFrame([(n,) for n in sizes], "n long").select("n", N.bytes_text(F.col("n")).alias("t")).collect()}
+    for n, text in made.items():
+        unit, size = next(((u, s) for u, s in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)) if n >= s), ("B", 1))
+        assert text == (f"{n} B" if unit == "B" else f"{n / size:.2f} {unit}"), n
+
+
+def test_bytes_query_half_way(spark, tmp_path):
+    """Products that end in eighths of a KB lie half-way between two hundredths."""
+    con = duckdb.connect()
+    con.execute(f"copy (select p as page_id, repeat('x', n) as html from (values (8), (16), (24), (40), (368)) t(n), unnest(range(0, 40)) u(p)) to '{tmp_path}/pages.parquet' (format parquet)")
+    same(spark, tmp_path, "format_bytes", "pages")
