@@ -216,9 +216,12 @@ def high_bits(codes: Column, bit: int = 4) -> Column:
 
 
 def records(blocks: DataFrame, quant_type: str) -> DataFrame:
-    """(row, block or sb, bytes) as hex digits: half-float factors, packed scales, then codes, low nibbles first."""
+    """(row, block or sb, bytes) as hex digits: half-float factors, packed scales, then codes, low nibbles first.
+
+    A super-block so short that its scales fill none of their packed bytes has no record: null.
+    """
     t = family(quant_type)
-    join = lambda a: F.concat_ws("", F.transform(a, C.hex_byte))
+    join = lambda a: C.let(F.filter(F.transform(a, C.hex_byte), lambda h: h.isNotNull()), lambda h: F.when(F.size(h) > 0, F.array_join(h, "")))
     half = lambda c: C.hex_le(C.f16_bits(c), 2)
     nibbles = lambda: join(C.pack_nibbles(F.col("codes")))
     key = "block" if t in SYMMETRIC or t in AFFINE else "sb"
