@@ -62,7 +62,7 @@ def import_model(spark: SparkSession, source: str, config: dict, out: str) -> Da
     stored = spark.read.parquet(f"{out}/catalog")
     places = stored.select("name", "path", "plane", "uuid")  # names and ids of one model
     rows = safetensors.packed(spark, source, [s for s, _ in wanted], fmt).join(F.broadcast(places), ["name", "path", "plane"])
-    rows.select("uuid", "row", *BA.PACKED_NAMES).write.mode("overwrite").parquet(f"{out}/blocks")  # each task has a run of a tensor's rows, in order
+    rows.select("uuid", "row", *BA.PACKED_NAMES).write.mode("overwrite").parquet(f"{out}/blocks")  # each task has runs of tensors' rows, in order
     _store_tokens(spark, source, out)
     return stored
 

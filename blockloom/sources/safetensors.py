@@ -139,7 +139,8 @@ def write(path: str, arrays: dict[str, np.ndarray]) -> None:
         f.write(struct.pack("<Q", len(text)) + text + body)
 
 
-SLICE_BYTES = 4 << 20  #: of a tensor, about, that one task reads
+SLICE_BYTES = 4 << 20  #: of a tensor, or of several small ones, about, that one task reads
+HEAD_FILES = 32  #: whose headers one task reads
 BATCH_VALUES = 1 << 18  #: values of an Arrow batch, about
 
 
@@ -154,6 +155,13 @@ class _Slice(InputPartition):
     def __init__(self, path: str, name: str, info: dict, at: int, first: int, stop: int):
         self.path, self.name, self.info, self.at, self.first, self.stop = path, name, info, at, first, stop
 
+    @property
+    def width(self) -> int:
+        """Bytes of a row."""
+        begin, end = self.info.get("data_offsets", (0, 0))
+        planes, rows, _ = matrix_shape(self.info.get("shape", []))
+        return (end - begin) // (planes * rows) if planes * rows else 0
+
 
 def _header_of(path: str) -> tuple[int, dict]:
     with open(path, "rb") as f:
@@ -204,12 +212,40 @@ class _Reader(DataSourceReader):
         yield from _batches(partition, self.blocks)
 
 
+class _Group(InputPartition):
+    """Partitions that one task reads, in their order."""
+
+    def __init__(self, parts: list[InputPartition]):
+        self.parts = parts
+
+
+class _Grouped(_Reader):
+    """The same rows with a task for many headers and for about ``SLICE_BYTES`` of small tensors, so a model of many small ones makes few tasks and files."""
+
+    def partitions(self) -> list[InputPartition]:
+        found = super().partitions()
+        if self.only_headers:
+            return [_Group(found[k : k + HEAD_FILES]) for k in range(0, len(found), HEAD_FILES)]
+        groups, held = [], 0
+        for s in found:
+            size = (s.stop - s.first) * s.width
+            if not groups or held + size > SLICE_BYTES:
+                groups.append([])
+                held = 0
+            groups[-1].append(s)
+            held += size
+        return [_Group(g) for g in groups]
+
+    def read(self, partition: InputPartition) -> Iterator:
+        for part in partition.parts:
+            yield from super().read(part)
+
+
 def _batches(s: _Slice, blocks: str | None = None) -> Iterator[pa.RecordBatch]:
     if s.stop == s.first:
         return
-    planes, rows, cols = matrix_shape(s.info["shape"])
-    begin, end = s.info["data_offsets"]
-    width = (end - begin) // (planes * rows)
+    _, rows, cols = matrix_shape(s.info["shape"])
+    width = s.width
     step = max(1, BATCH_VALUES // max(cols, 1))
     with open(s.path, "rb") as f:
         f.seek(s.at)
@@ -245,4 +281,4 @@ class TensorFileSource(DataSource):
         return BLOCKS if self.options.get("blocks") else TENSOR
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Grouped(dict(self.options))

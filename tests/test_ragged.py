@@ -1,14 +1,17 @@
-"""Queries against their SQL twins where the last row is incomplete and numbers lie half-way between two roundings."""
+"""Queries against their SQL twins where the last row is incomplete and numbers lie half-way between two roundings; many small tensors."""
 
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from blockloom.functions import naming as N
 from blockloom.operators import quant_groups as Q
+from blockloom.plans import pipeline
 from blockloom.plans.queries import ORACLES, QUERIES
+from blockloom.sources import safetensors
 
 from .conftest import SMALL
 from .test_queries import plain
@@ -67,3 +70,30 @@ def test_bytes_query_half_way(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"copy (select p as page_id, repeat('x', n) as html from (values (8), (16), (24), (40), (368)) t(n), unnest(range(0, 40)) u(p)) to '{tmp_path}/pages.parquet' (format parquet)")
     same(spark, tmp_path, "format_bytes", "pages")
+
+
+def test_small_tensors_share_a_task(spark, tmp_path, monkeypatch):
+    """Tasks, and files of blocks, grow with the bytes and not with the number of tensors; a large tensor has several tasks."""
+    source, stored = tmp_path / "source", tmp_path / "stored"
+    source.mkdir()
+    rng = np.random.default_rng(3)
+    arrays = {f"t{k:03d}": rng.normal(0, 1, (8, 32)).astype(np.float32) for k in range(120)} | {"large": rng.normal(0, 1, (3000, 32)).astype(np.float32), "none": np.ones((0, 4), np.float32)}
+    for at in range(0, 40):
+        safetensors.write(str(source / f"part-{at:03d}.safetensors"), {n: a for k, (n, a) in enumerate(arrays.items()) if k % 40 == at})
+    monkeypatch.setattr(safetensors, "SLICE_BYTES", 100_000)
+    groups = safetensors._Grouped({"path": str(source)}).partitions()
+    total = sum(a.nbytes for a in arrays.values())
+    assert total / 100_000 <= len(groups) <= 2 * total / 100_000 + 1
+    assert all(sum((s.stop - s.first) * s.width for s in g.parts) <= 100_000 for g in groups)
+    assert len(safetensors._Grouped({"path": str(source), "headers": "true"}).partitions()) == 2
+    assert [len(g.parts) for g in safetensors._Grouped({"path": str(source), "names": "none"}).partitions()] == [1]
+    assert safetensors.tensors(spark, str(source), ["none"]).count() == 0
+    monkeypatch.undo()
+    rows = safetensors.tensors(spark, str(source)).orderBy("name", "row").collect()
+    want = [(n, k) for n in sorted(arrays) for k in range(len(arrays[n]))]
+    assert [(r.name, r.row) for r in rows] == want
+    assert np.array_equal(np.stack([r["values"] for r in rows]), np.concatenate([arrays[n] for n in sorted(arrays) if n != "none"]))
+    catalog = pipeline.import_model(spark, str(source), pipeline.import_template(spark, str(source)), str(stored))
+    assert catalog.count() == len(arrays)
+    assert spark.read.parquet(f"{stored}/blocks").count() == len(want)
+    assert len(list((stored / "blocks").glob("*.parquet"))) <= 2
