@@ -2,6 +2,8 @@
 
 Groups are runs of the array of a row, so scales are found and codes made in one
 projection.  Channel weights (activation scales) are one array for the matrix.
+Columns that are null are missing: they count in no scale and have no code, and
+a group of them is left out.
 """
 
 from __future__ import annotations
@@ -105,12 +107,17 @@ def _effective(group: Column, clip: float) -> Column:
     return F.when(F.lit(clip > 0) & (F.size(some) > 1), _log_mean_bound(group, clip)).otherwise(C.max_abs(group)) if clip > 0 else C.max_abs(group)
 
 
+def _mean(act: Column) -> Column:
+    """Mean of the channel weights of columns that are there."""
+    return C.let(F.filter(act, lambda a: a.isNotNull()), lambda a: C.array_sum(a) / F.size(a))
+
+
 def scale_symmetric(group: Column, act: Column | None, clip: float) -> Column:
     """Group scale for codes -8 to 7; 1 for groups without weight."""
     if act is None:
         eff = _effective(group, clip) / 7
     else:
-        mean = C.array_sum(act) / F.size(act)
+        mean = _mean(act)
         eff = _effective(F.zip_with(group, act, lambda w, a: F.abs(w) * a), clip) / F.nullif(mean, F.lit(0.0)) / 7
     return C.let(eff, lambda s: F.when((s > 0), s).otherwise(1.0))
 
@@ -123,16 +130,16 @@ def range_affine(group: Column, act: Column | None, clip: float) -> Column:
     weights = group if act is None else F.zip_with(group, act, lambda w, a: F.abs(w) * a)
     bound = _effective(weights, clip)
     if act is not None:
-        bound = bound / F.nullif(C.array_sum(act) / F.size(act), F.lit(0.0))
+        bound = bound / F.nullif(_mean(act), F.lit(0.0))
     return C.let(bound, lambda b: F.struct(F.greatest(low, -b).alias("low"), F.least(high, b).alias("high")))
 
 
 def _groups(rows: DataFrame, row: str, values: str, act: list[float] | None) -> DataFrame:
-    made = rows.select(F.col(row).alias("row"), F.posexplode(C.slices(F.col(values), GROUP)).alias("grp", "g"))
+    made = rows.select(F.col(row).alias("row"), F.posexplode(C.slices(F.col(values), GROUP)).alias("grp", "g")).where(F.exists("g", lambda w: w.isNotNull()))
     if act is None:
         return made.withColumn("a", F.lit(None).cast("array<double>"))
     whole = F.array(*[F.lit(float(x)) for x in act])
-    return made.withColumn("a", F.slice(whole, F.col("grp") * GROUP + 1, F.size("g")))
+    return made.withColumn("a", F.zip_with("g", F.slice(whole, F.col("grp") * GROUP + 1, F.size("g")), lambda w, a: F.when(w.isNotNull(), a)))
 
 
 def _check(rows: DataFrame, act: list[float] | None, values: str, short: bool = False) -> None:
@@ -151,7 +158,7 @@ def symmetric(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0
     """
     _check(rows, act, values, short)
     g = _groups(rows, row, values, act).withColumn("scale", scale_symmetric(F.col("g"), None if act is None else F.col("a"), clip))
-    code = F.transform("g", lambda w: (C.clamp(C.round_away(w / F.col("scale")), -8.0, 7.0) + 8).cast("int"))
+    code = F.transform("g", lambda w: F.when(w.isNotNull(), (C.clamp(C.round_away(w / F.col("scale")), -8.0, 7.0) + 8).cast("int")))
     return g.select("row", "grp", "scale", code.alias("codes"))
 
 
@@ -162,14 +169,14 @@ def affine(rows: DataFrame, act: list[float] | None = None, clip: float = 0.0, r
     flat = F.col("r.high") == F.col("r.low")
     g = g.withColumn("scale", F.when(flat, 1.0).otherwise((F.col("r.high") - F.col("r.low")) / 15))
     g = g.withColumn("zero", F.when(flat, 0.0).otherwise(C.clamp(C.round_away(-F.col("r.low") / F.col("scale")), 0.0, 15.0)))
-    code = F.transform("g", lambda w: C.clamp(C.round_away(w / F.col("scale") + F.col("zero")), 0.0, 15.0).cast("int"))
+    code = F.transform("g", lambda w: F.when(w.isNotNull(), C.clamp(C.round_away(w / F.col("scale") + F.col("zero")), 0.0, 15.0).cast("int")))
     return g.select("row", "grp", "scale", F.col("zero").cast("int").alias("zero"), code.alias("codes"))
 
 
 def pack_words(groups: DataFrame) -> DataFrame:
-    """(pack_row, out_feature, word): eight codes to an unsigned 32-bit word, transposed; an incomplete last word is dropped."""
+    """(pack_row, out_feature, word): eight codes to an unsigned 32-bit word, transposed; an incomplete last word is dropped, and one with a missing column."""
     words = F.transform(F.filter(C.slices(F.col("codes").cast("array<double>"), 8), lambda s: F.size(s) == 8), lambda s: F.aggregate(F.transform(s, lambda c, i: c * F.pow(F.lit(16.0), i)), F.lit(0.0), lambda a, b: a + b).cast("long"))
-    flat = groups.select("row", "grp", F.posexplode(words).alias("k", "word"))
+    flat = groups.select("row", "grp", F.posexplode(words).alias("k", "word")).where("word is not null")
     return flat.select((F.col("grp") * (GROUP // 8) + F.col("k")).cast("long").alias("pack_row"), F.col("row").alias("out_feature"), "word")
 
 

@@ -407,7 +407,7 @@ def _symmetric(name: str, clip: float, act: bool):
     sql = f"with {E256}, s as (select r as sr, c // 128 as sg, {_group_sql(weight, clip, act)} / 7 as s from m group by r, c // 128), k as (select r, c, cast({sql_clamp(sql_round('(v / s)'), -8, 7)} + 8 as integer) as code from m join s on r = sr and c // 128 = sg), {_words('select * from k')}"
 
     def run(spark, sf_dir):
-        return Q.pack_words(Q.symmetric(emb256(spark, sf_dir), ACT if act else None, clip, short=True))
+        return Q.pack_words(Q.symmetric(emb256(spark, sf_dir, placed=True), ACT if act else None, clip, short=True))
 
     query(name, sql)(run)
 
@@ -420,7 +420,7 @@ def _affine(name: str, clip: float, act: bool):
     sql = f"with {E256}, s0 as (select r as sr, c // 128 as sg, {ends} from m group by r, c // 128), s1 as (select sr, sg, {fit} from s0), s as (select *, (hi - lo) / 15 as scale, {zero} as zero from s1), k as (select r, c, cast({sql_clamp(sql_round('(v / scale + zero)'), 0, 15)} as integer) as code from m join s on r = sr and c // 128 = sg), {_words('select * from k')}"
 
     def run(spark, sf_dir):
-        return Q.pack_words(Q.affine(emb256(spark, sf_dir), ACT if act else None, clip, short=True))
+        return Q.pack_words(Q.affine(emb256(spark, sf_dir, placed=True), ACT if act else None, clip, short=True))
 
     query(name, sql)(run)
 
@@ -436,7 +436,7 @@ _affine("quant_gptq_act", 0.1, True)
 
 @query("gptq_params", f"with {E256}, s as (select r, c // 128 as grp, min(v) as lo, max(v) as hi from m group by r, c // 128) select r as row, cast(grp as integer) as grp, round((hi - lo) / 15, 6) as scale, cast({sql_clamp(sql_round('(-lo / ((hi - lo) / 15))'), 0, 15)} as integer) as zero from s")
 def gptq_params(spark, sf_dir):
-    return Q.affine(emb256(spark, sf_dir)).select("row", "grp", F.round("scale", 6).alias("scale"), "zero")
+    return Q.affine(emb256(spark, sf_dir, placed=True)).select("row", "grp", F.round("scale", 6).alias("scale"), "zero")
 
 
 @query("static_saliency", f"with {EMBZ}, ch as (select c as cc, max(abs(v)) as u, 1e0 / (1 + c) as w from m group by c) select c as col, round(u * w, 6) as scale, round(log2(u * w), 6) as log2_scale, round(sum(abs(v) * u * w), 4) as importance from m join ch on c = cc where v <> 0 group by c, u, w")

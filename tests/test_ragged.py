@@ -42,6 +42,20 @@ def test_last_row_is_short(spark, ragged, name):
     same(spark, ragged, name, "embeddings")
 
 
+@pytest.fixture(scope="module")
+def gaps(tmp_path_factory):
+    """Vectors missing at each place of a row, two together, or null."""
+    folder = tmp_path_factory.mktemp("gaps")
+    null = "case when vec_id not in (21, 30, 39) then embedding end as embedding"
+    duckdb.connect().execute(f"copy (select vec_id, {null}, label from '{SMALL}/embeddings.parquet' where vec_id < 43 and vec_id not in (0, 5, 10, 15, 24, 25, 34, 35)) to '{folder}/embeddings.parquet' (format parquet)")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["quant_awq_act", "quant_awq_act_clip", "quant_gptq_act", "quant_awq", "quant_awq_clip", "quant_gptq", "quant_gptq_clip", "gptq_params"])
+def test_vectors_are_missing(spark, gaps, name):
+    same(spark, gaps, name, "embeddings")
+
+
 @pytest.mark.parametrize("made", [Q.symmetric, Q.affine])
 def test_more_columns_than_scales(spark, made):
     rows = spark.createDataFrame([(0, [1.0] * 64), (1, [1.0] * 65)], "row long, values array<double>")
